@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from quern.llm.lines import OP10_SQL, op10_line_dedup
+from quern.llm.mixing import op5_source_mixing
 from quern.llm.quality import op3_quality_rules
 from quern.llm.simhash import op1_simhash_near_dedup
 
-_ALL = (op1_simhash_near_dedup, op3_quality_rules, op10_line_dedup)
+_ALL = (op1_simhash_near_dedup, op3_quality_rules, op5_source_mixing, op10_line_dedup)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES: dict[str, str] = {"op10_line_dedup": OP10_SQL}
