@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quern.llm.embedding import OP2_SQL, op2_embedding_near_dedup
 from quern.llm.lines import OP10_SQL, op10_line_dedup
 from quern.llm.mixing import op5_source_mixing
 from quern.llm.packing import op9_best_fit_packing
@@ -11,6 +12,6 @@ from quern.llm.simhash import op1_simhash_near_dedup
 from quern.llm.tokens import op7_token_counts
 from quern.llm.warc import OP8_SQL, op8_warc_archive
 
-_ALL = (op1_simhash_near_dedup, op3_quality_rules, op5_source_mixing, op6_secret_scan, op7_token_counts, op8_warc_archive, op9_best_fit_packing, op10_line_dedup)
+_ALL = (op1_simhash_near_dedup, op2_embedding_near_dedup, op3_quality_rules, op5_source_mixing, op6_secret_scan, op7_token_counts, op8_warc_archive, op9_best_fit_packing, op10_line_dedup)
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLES: dict[str, str] = {"op8_warc_archive": OP8_SQL, "op10_line_dedup": OP10_SQL}
+ORACLES: dict[str, str] = {"op2_embedding_near_dedup": OP2_SQL, "op8_warc_archive": OP8_SQL, "op10_line_dedup": OP10_SQL}
