@@ -10,8 +10,9 @@ from quern.llm.quality import op3_quality_rules
 from quern.llm.secrets import op6_secret_scan
 from quern.llm.simhash import op1_simhash_near_dedup
 from quern.llm.tokens import op7_token_counts
+from quern.llm.urls import op4_url_filter
 from quern.llm.warc import OP8_SQL, op8_warc_archive
 
-_ALL = (op1_simhash_near_dedup, op2_embedding_near_dedup, op3_quality_rules, op5_source_mixing, op6_secret_scan, op7_token_counts, op8_warc_archive, op9_best_fit_packing, op10_line_dedup)
+_ALL = (op1_simhash_near_dedup, op2_embedding_near_dedup, op3_quality_rules, op4_url_filter, op5_source_mixing, op6_secret_scan, op7_token_counts, op8_warc_archive, op9_best_fit_packing, op10_line_dedup)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES: dict[str, str] = {"op2_embedding_near_dedup": OP2_SQL, "op8_warc_archive": OP8_SQL, "op10_line_dedup": OP10_SQL}
