@@ -64,10 +64,12 @@ def with_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
     share = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return counted.select(
+    made = counted.select(
         "*", failed.alias("base_failed"), share("word_chars", "n_words").alias("mean_word_chars"), share("n_symbols", "word_chars").alias("symbol_share"), share("n_dup_lines", "n_lines").alias("dup_line_share"),
         share("n_repeat_words", "n_words").alias("repeat_share"), share("n_distinct", "n_words").alias("distinct_share"), share("n_upper", "word_chars").alias("upper_share"),
     )
+    # One row stays one row; a filter on the result isn't pushed below this, where it would evaluate all of the above again, within its loops.
+    return made.select(F.explode_outer(F.array(F.struct("*"))).alias("q")).select("q.*")
 
 
 @dataclass(frozen=True)

@@ -20,7 +20,7 @@ from math import ceil, log2
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.components import components
@@ -48,15 +48,20 @@ def fingerprint(text: bytes | None, width: int = WIDTH) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """Columns of the id and ``fp``, a long with the fingerprint's bits."""
-    kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    """id, t (a hash of the text) and fp, a long with the fingerprint's bits."""
+    text = F.col(text_col).cast("string")
+    kept = docs.select(F.col(id_col).alias("id"), text_hash(text).alias("t"), text.cast("binary").alias("text"))
 
     def run(batches):
         for batch in batches:
-            fp = np.fromiter((fingerprint(t.as_py(), width) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["id", "fp"])
+            fp = np.fromiter((fingerprint(t.as_py(), width) for t in batch.column(2)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp.view(np.int64))], ["id", "t", "fp"])
 
-    return kept.mapInArrow(run, kept.select("id", F.lit(0).cast("long").alias("fp")).schema)
+    return kept.mapInArrow(run, kept.select("id", "t", F.lit(0).cast("long").alias("fp")).schema)
+
+
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())
 
 
 def _masks(bits: int, most: int) -> list[list[int]]:
@@ -124,6 +129,18 @@ def links(unique: DataFrame, distance: int = RADIUS) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(meet, "u long, v long").distinct()
 
 
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = RADIUS, width: int = WIDTH) -> DataFrame:
+    """A row per document: id, t, fp, root (a fingerprint that names its component) and component (the component's least id)."""
+    fps = staged(fingerprints(docs, id_col, text_col, width), "fingerprints")
+    unique = staged(fps.groupBy("fp").agg(F.min("id").alias("first")), "unique")
+    found = staged(components(links(unique.select("fp"), distance)), "components")
+    of = found.join(unique, found.node == unique.fp)
+    least = of.groupBy("root").agg(F.min("first").alias("least"))
+    named = staged(found.join(least, "root").select(F.col("node").alias("fp"), "root", "least"), "components")
+    by_fp = unique.join(named, "fp", "left").select(F.col("fp").bitwiseXOR(F.lit(0).cast("long")).alias("k"), F.coalesce("root", "fp").alias("root"), F.coalesce("least", "first").alias("component"))
+    return fps.join(by_fp, fps.fp == by_fp.k).select("id", "t", "fp", "root", "component")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = RADIUS, width: int = WIDTH) -> DataFrame:
     """One row per document: the id, ``fp`` and ``component`` (the least id that links reach, itself included).
 
@@ -132,14 +149,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null. Repeated rows stay, each with the same component. Further columns are
     left out, whatever their names. Empty input gives an empty result.
     """
-    fps = staged(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    unique = staged(fps.groupBy("fp").agg(F.min("id").alias("first")), "unique")
-    found = staged(components(links(unique.select("fp"), distance)), "components")
-    of = found.join(unique, found.node == unique.fp)
-    least = of.groupBy("root").agg(F.min("first").alias("least"))
-    named = staged(found.join(least, "root").select(F.col("node").alias("fp"), "least"), "components")
-    by_fp = unique.join(named, "fp", "left").select(F.col("fp").bitwiseXOR(F.lit(0).cast("long")).alias("k"), F.coalesce("least", "first").alias("component"))
-    return fps.join(by_fp, fps.fp == by_fp.k).select(F.col("id").alias(id_col), "fp", "component")
+    return grouped(docs, id_col, text_col, distance, width).select(F.col("id").alias(id_col), "fp", "component")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = RADIUS, width: int = WIDTH) -> DataFrame:
+    """The documents, all columns, one of each component: that of the least id, and of rows that share it of the least text hash.
+
+    A null id stays only where its component has no other. Of rows that repeat
+    an id and a text one stays.
+    """
+    place = F.struct(F.col("id").isNull().alias("null"), "id", "t")
+    kept = grouped(docs, id_col, text_col, distance, width).groupBy("root").agg(F.min(place).alias("p"))
+    kept = staged(kept.select(F.col("p.id").alias("ki"), F.col("p.t").alias("kt")).distinct(), "kept")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), text_hash(F.col(text_col).cast("string")).alias("t"))
+    stay = rows.join(kept, F.col("id").eqNullSafe(F.col("ki")) & (F.col("t") == F.col("kt")), "left_semi")
+    return stay.dropDuplicates(["id", "t"]).select("row.*")
 
 
 def op1_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
