@@ -24,10 +24,11 @@ def line_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     full = lines.select("id", "t", F.filter("lines", lambda x: x["x"].rlike("[^\\x20\\x09-\\x0D]")).alias("l"))
     line = lambda j, k: F.get("l", j + k)["x"]
     last = lambda j: F.least(j + (LINES - 1), F.size("l") - 1)
-    window = lambda j: F.struct(F.col("l")[j]["i"].alias("a"), F.col("l")[last(j)]["i"].alias("b"), F.xxhash64(*(line(j, k) for k in range(LINES))).alias("h1"), F.xxhash64(F.lit("again"), *(line(j, LINES - 1 - k) for k in range(LINES))).alias("h2"))
+    window = lambda j: F.struct(F.get("l", j)["i"].alias("a"), F.get("l", last(j))["i"].alias("b"), F.xxhash64(*(line(j, k) for k in range(LINES))).alias("h1"), F.xxhash64(F.lit("again"), *(line(j, LINES - 1 - k) for k in range(LINES))).alias("h2"))
     starts = F.sequence(F.lit(0), F.greatest(F.size("l") - LINES, F.lit(0)))
-    made = full.where(F.size("l") > 0).select("id", "t", F.transform(starts, window).alias("w"))
-    return made.select("id", "t", F.explode("w").alias("w")).select("id", "t", "w.*")
+    made = full.select("id", "t", F.transform(starts, window).alias("w"))
+    # An outer explode: the filter that Spark infers for a plain one would evaluate all of the above again, within its loops.
+    return made.select("id", "t", F.explode_outer("w").alias("w")).where("w.a is not null").select("id", "t", "w.*")
 
 
 def covered_lines(windows: DataFrame) -> DataFrame:
