@@ -129,6 +129,7 @@ def learned(labelled: DataFrame, max_rules: int = 12, max_conditions: int = 3, l
     while len(rules) < max_rules:
         rule: list[Condition] = []
         heldout: list[tuple[int, int]] = []
+        support: list[int] = []
         inside = left
         while len(rule) < max_conditions:
             found = inside.select("bad", "held", F.posexplode("bins").alias("f", "b")).groupBy("f", "b", "held", "bad").count().collect()
@@ -138,6 +139,7 @@ def learned(labelled: DataFrame, max_rules: int = 12, max_conditions: int = 3, l
             gain, condition, grown, kept = best
             rule.append(condition)
             heldout.append(kept)
+            support.append(grown[0] + kept[0])
             if not grown[1]:
                 break
             inside = inside.where(condition.binned())
@@ -146,7 +148,7 @@ def learned(labelled: DataFrame, max_rules: int = 12, max_conditions: int = 3, l
             break
         keep = worth.index(max(worth)) + 1
         p, n = heldout[keep - 1]
-        if p < least_support or p < least_precision * (p + n):
+        if support[keep - 1] < least_support or not p or p < least_precision * (p + n):
             break
         rules.append(tuple(rule[:keep]))
         fits = F.lit(True)
