@@ -50,8 +50,11 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     windows = staged(line_windows(docs, id_col, text_col), "windows")
     covered = covered_lines(windows).select(F.col("id").alias("k"), F.col("t").alias("kt"), "spans")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).select("row", "id", "text", F.xxhash64(text).alias("t"))
+    # The text is beside the other columns, not among them too: it is what the join shuffles.
+    others = [c for c in docs.columns if c != text_col]
+    rows = docs.select(F.struct(*others).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).select("row", "id", "text", F.xxhash64(text).alias("t"))
     met = rows.join(covered, F.col("id").eqNullSafe(F.col("k")) & (F.col("t") == F.col("kt")), "left")
+    # The lines that spans cover, each once.
     merged = F.array_distinct(F.flatten(F.transform("spans", lambda x: F.sequence(x["a"], x["b"]))))
     lines = met.select("row", "text", "spans", F.split("text", "\n").alias("lines")).select("*", F.when(F.col("spans").isNotNull(), merged).alias("gone"))
     marked = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))

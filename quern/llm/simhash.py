@@ -159,11 +159,13 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     an id and a text one stays.
     """
     place = F.struct(F.col("id").isNull().alias("null"), "id", "t")
-    kept = grouped(docs, id_col, text_col, distance, width).groupBy("root").agg(F.min(place).alias("p"))
-    kept = staged(kept.select(F.col("p.id").alias("ki"), F.col("p.t").alias("kt")).distinct(), "kept")
+    # Rows meet and are made one by two hashes of the id and the text, so that one shuffle of the texts serves both.
+    key = F.xxhash64("id", F.col("id").isNull())
+    kept = grouped(docs, id_col, text_col, distance, width).groupBy("root").agg(F.min(place).alias("p")).select("p.*")
+    kept = staged(kept.select(key.alias("h"), "t").distinct(), "kept")
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), text_hash(F.col(text_col).cast("string")).alias("t"))
-    stay = rows.join(kept, F.col("id").eqNullSafe(F.col("ki")) & (F.col("t") == F.col("kt")), "left_semi")
-    return stay.dropDuplicates(["id", "t"]).select("row.*")
+    rows = rows.select("row", key.alias("h"), "t")
+    return rows.join(kept, ["h", "t"], "left_semi").dropDuplicates(["h", "t"]).select("row.*")
 
 
 def op1_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

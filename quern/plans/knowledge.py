@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quern.operators import questions, retrieval
 from quern.plans.registry import ORACLES, QUERIES
 from quern.sources.commerce import SQL, Commerce, table
+from quern.sources.shared import kept
 
 
 def _query(name: str, sql: str | None):
@@ -193,3 +194,12 @@ def _gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     starts = table(spark, sf_dir, "events").withColumn("new", F.coalesce(F.col("ts") > last + F.expr("INTERVAL 30 MINUTES"), F.lit(True)).cast("int"))
     number = F.sum("new").over(W.partitionBy("user_id").orderBy("ts", "event_id"))
     return starts.withColumn("session", number).groupBy("user_id", "session").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+@_query("rag_answers", None)
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well each benchmark passage is answered from its tenant's chunks."""
+    from quern.operators.answers import answered
+
+    wanted = asked(spark, sf_dir).select("query_id", F.col("query").alias("question"), F.lit(None).cast("string").alias("previous"), "tenant_id")
+    return answered(wanted, kept(chunks(spark, sf_dir), "chunks"))[1]
