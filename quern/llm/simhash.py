@@ -27,6 +27,8 @@ from quern.llm.components import components
 from quern.llm.store import staged
 
 SEED, WIDTH, RADIUS = 42, 4, 4
+#: Variants that a bucket's task makes at most, and rows of a broadcast table of bucket numbers at most.
+BUCKET, FEW = 8_000_000, 100_000
 
 
 def fingerprint(text: bytes | None, width: int = WIDTH) -> int:
@@ -110,23 +112,57 @@ def _bucket_edges(fps: np.ndarray, bucket: int, bits: int, radius: int, low: lis
     return fps[moved], fps[root[moved]]
 
 
-def links(unique: DataFrame, distance: int = RADIUS) -> DataFrame:
-    """Edges u, v of a forest that joins fingerprints (column ``fp``, distinct) within ``distance`` bits, directly or by way of others."""
-    if distance % 2:
-        raise ValueError("the distance has to be even: it is met in the middle")
-    radius, n = distance // 2, unique.count()
-    bits = max(10, ceil(log2(max(n, 2) / 2048)))
-    flips = [m for group in _masks(bits, radius) for m in group]
-    low = [np.array(m, np.uint64) for m in _masks(64 - bits, radius)]
-    own = F.shiftrightunsigned("fp", 64 - bits).cast("int")
-    sent = unique.select("fp", F.explode(F.array(*map(F.lit, flips))).alias("flip")).select("fp", own.bitwiseXOR(F.col("flip")).alias("bucket"))
+def _deeper(rows: DataFrame, bits: int, radius: int, step: int) -> DataFrame:
+    """Rows (fp, bucket, used) of buckets of ``bits`` leading bits, dealt on to buckets of ``step`` more; used counts the bits that a bucket differs in."""
+    masks = _masks(step, radius)
+    within = lambda k: F.array(*(F.struct(F.lit(m).cast("long").alias("flip"), F.lit(n).alias("n")) for n in range(k + 1) for m in masks[n]))
+    flips = within(0)
+    for used in range(radius):
+        flips = F.when(F.col("used") == used, within(radius - used)).otherwise(flips)
+    own = F.shiftrightunsigned("fp", 64 - bits - step).bitwiseAND(F.lit((1 << step) - 1).cast("long"))
+    dealt = rows.select("fp", "bucket", "used", F.explode(flips).alias("f"))
+    return dealt.select("fp", F.shiftleft("bucket", step).bitwiseOR(own.bitwiseXOR(F.col("f.flip"))).alias("bucket"), (F.col("used") + F.col("f.n")).alias("used"))
 
+
+def _meeting(bits: int, radius: int, low: list[np.ndarray]):
     def meet(key, table):
         fps = np.unique(table.column("fp").to_numpy().view(np.uint64))
         u, v = _bucket_edges(fps, key[0].as_py(), bits, radius, low)
         return pa.table({"u": u.view(np.int64), "v": v.view(np.int64)})
 
-    return sent.groupBy("bucket").applyInArrow(meet, "u long, v long").distinct()
+    return meet
+
+
+def links(unique: DataFrame, distance: int = RADIUS, most: int = BUCKET) -> DataFrame:
+    """Edges u, v of a forest that joins fingerprints (column ``fp``, distinct) within ``distance`` bits, directly or by way of others.
+
+    Buckets that would make more than ``most`` variants, such as one that holds
+    a third of all fingerprints, are dealt on by six more bits, again and again
+    if need be; at 60 bits a bucket is small whatever the fingerprints are.
+    """
+    if distance % 2:
+        raise ValueError("the distance has to be even: it is met in the middle")
+    radius, n = distance // 2, unique.count()
+    bits = max(10, ceil(log2(max(n, 2) / 2048)))
+    rows = _deeper(unique.select("fp", F.lit(0).cast("long").alias("bucket"), F.lit(0).alias("used")), 0, radius, bits)
+    found = None
+    while True:
+        low = [np.array(m, np.uint64) for m in _masks(64 - bits, radius)]
+        variants = F.lit(1)
+        for used in range(radius):
+            variants = F.when(F.col("used") == used, sum(len(low[k]) for k in range(radius - used + 1))).otherwise(variants)
+        step, full = min(6, 60 - bits), None
+        if step > 0:
+            full = staged(rows.groupBy("bucket").agg(F.sum(variants).alias("n")).where(F.col("n") > most).select(F.col("bucket").alias("full")), "full")
+            held = full.count()
+            full = F.broadcast(full) if 0 < held <= FEW else full if held else None
+        met = rows.join(full, F.col("bucket") == F.col("full"), "left_anti") if full is not None else rows
+        edges = met.select("fp", "bucket").groupBy("bucket").applyInArrow(_meeting(bits, radius, low), "u long, v long")
+        found = edges if found is None else found.unionByName(edges)
+        if full is None:
+            return found.distinct()
+        rows = staged(_deeper(rows.join(full, F.col("bucket") == F.col("full"), "left_semi"), bits, radius, step), "deeper")
+        bits += step
 
 
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = RADIUS, width: int = WIDTH) -> DataFrame:

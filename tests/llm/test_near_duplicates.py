@@ -61,6 +61,17 @@ def test_links_find_every_pair_within_the_ball(spark):
             assert same == (root[i] == root[j])
 
 
+def test_full_buckets_are_dealt_on(spark):
+    rng = np.random.default_rng(4)
+    centre = int(rng.integers(0, 2**64, dtype=np.uint64))
+    fps = {centre ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 12), replace=False)) for _ in range(150)}
+    fps |= {int(x) for x in rng.integers(0, 2**64, 30, dtype=np.uint64)}
+    df = spark.createDataFrame([(x - 2**64 if x >= 2**63 else x,) for x in fps], "fp long")
+    of = lambda most: {(r.node, r.root) for r in components(simhash.links(df, most=most)).collect()}
+    whole = of(simhash.BUCKET)
+    assert whole and of(20_000) == whole == of(300)
+
+
 def test_odd_rows(odd, none):
     rows = simhash.near_duplicates(odd).collect()
     assert len(rows) == odd.count()
