@@ -14,4 +14,4 @@ def hourly(events: DataFrame) -> DataFrame:
 
 def streamed(events: DataFrame, late: str = "2 hours") -> DataFrame:
     """The stream with its watermark: later rows than that are dropped, and hours before it are final."""
-    return events.withWatermark("ts", late)
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)  # a watermark needs a time zone
