@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import lines, mixing, packing, quality, simhash
+from quern.llm import lines, minhash, mixing, packing, quality
 from quern.llm.store import staged
 
 
@@ -28,8 +28,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays, that of the least doc_id."""
-    return simhash.one_of_each(docs)
+    """Documents go whose five-word shingles are those of an earlier one to 0.8 or more; each is compared before it goes."""
+    return minhash.one_of_each(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -195,12 +195,16 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     an id and a text one stays.
     """
     place = F.struct(F.col("id").isNull().alias("null"), "id", "t")
-    # Rows meet and are made one by two hashes of the id and the text, so that one shuffle of the texts serves both.
-    key = F.xxhash64("id", F.col("id").isNull())
     kept = grouped(docs, id_col, text_col, distance, width).groupBy("root").agg(F.min(place).alias("p")).select("p.*")
-    kept = staged(kept.select(key.alias("h"), "t").distinct(), "kept")
+    return rows_of(docs, kept.select(F.xxhash64("id", F.col("id").isNull()).alias("h"), "t"), id_col, text_col)
+
+
+def rows_of(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The documents, all columns, whose hashes of the id and the text are rows (h, t) of ``kept``; one of those that share both."""
+    # Rows meet and are made one by two hashes of the id and the text, so that one shuffle of the texts serves both.
+    kept = staged(kept.distinct(), "kept")
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), text_hash(F.col(text_col).cast("string")).alias("t"))
-    rows = rows.select("row", key.alias("h"), "t")
+    rows = rows.select("row", F.xxhash64("id", F.col("id").isNull()).alias("h"), "t")
     return rows.join(kept, ["h", "t"], "left_semi").dropDuplicates(["h", "t"]).select("row.*")
 
 
