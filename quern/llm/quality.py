@@ -11,7 +11,7 @@ threshold. The list becomes one ordered CASE expression.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import log2
+from math import inf, log2, nextafter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -113,20 +113,19 @@ def _gain(p: int, n: int, all_p: int, all_n: int) -> float:
 def learned(labelled: DataFrame, max_rules: int = 12, max_conditions: int = 3, least_precision: float = 0.9, least_support: int = 5) -> DecisionList:
     """The decision list of rows with the features, ``id`` and ``bad`` (boolean).
 
-    All rows count. Thresholds are the features' quantiles. Without rows, or
+    All rows count. Each rule's thresholds are quantiles of the features among
+    the rows that the rules before it leave, of all of them and of the bad ones
+    alone, so that they are as fine where bad rows are rare. Without rows, or
     without bad rows, the list is empty and rejects nothing.
     """
     spark = labelled.sparkSession
-    steps = F.array(*(F.lit(k / CUTS) for k in range(1, CUTS)))
-    rows, path = staged_at(labelled.select("id", "bad", *FEATURES), "labelled")
-    cuts = rows.agg(*(F.percentile_approx(f, steps, 10000).alias(f) for f in FEATURES)).first()
-    cuts = {f: sorted(set(cuts[f] or ())) for f in FEATURES}
-    bin_of = lambda f: sum(((F.col(f) >= c).cast("int") for c in cuts[f]), F.lit(0))
     part = F.pmod(F.xxhash64("id", F.lit("part")), F.lit(3)) == 0
-    binned, binned_path = staged_at(rows.select("bad", part.alias("held"), F.array(*map(bin_of, FEATURES)).alias("bins")), "binned")
+    rows, path = staged_at(labelled.select("bad", part.alias("held"), *(F.col(f).cast("double").alias(f) for f in FEATURES)), "labelled")
     rules: list[tuple[Condition, ...]] = []
-    left = binned
+    remain = rows
     while len(rules) < max_rules:
+        cuts = _cuts(remain)
+        left, binned_path = staged_at(remain.select("bad", "held", F.array(*(_bin(f, cuts[f]) for f in FEATURES)).alias("bins")), "binned")
         rule: list[Condition] = []
         heldout: list[tuple[int, int]] = []
         support: list[int] = []
@@ -143,6 +142,7 @@ def learned(labelled: DataFrame, max_rules: int = 12, max_conditions: int = 3, l
             if not grown[1]:
                 break
             inside = inside.where(condition.binned())
+        dropped(spark, binned_path)
         worth = [(p - n) / (p + n) if p + n else -1.0 for p, n in heldout]
         if not worth:
             break
@@ -153,13 +153,25 @@ def learned(labelled: DataFrame, max_rules: int = 12, max_conditions: int = 3, l
         rules.append(tuple(rule[:keep]))
         fits = F.lit(True)
         for c in rule[:keep]:
-            fits = fits & c.binned()
-        left = left.where(~fits)
+            fits = fits & c.column()
+        remain = remain.where(~F.coalesce(fits, F.lit(False)))
     dropped(spark, path)
-    dropped(spark, binned_path)
     return DecisionList(tuple(rules))
 
 
+def _cuts(rows: DataFrame) -> dict[str, list[float]]:
+    """Thresholds of each feature: quantiles of all rows, and of the bad ones from their least value to just above their greatest."""
+    inner, whole = (F.array(*(F.lit(k / CUTS) for k in ks)) for ks in (range(1, CUTS), range(CUTS + 1)))
+    found = rows.agg(*(F.percentile_approx(f, inner, 10000).alias(f) for f in FEATURES), *(F.percentile_approx(F.when(F.col("bad"), F.col(f)), whole, 10000).alias(f"bad_{f}") for f in FEATURES)).first()
+    bad = {f: found[f"bad_{f}"] or () for f in FEATURES}
+    return {f: sorted({*(found[f] or ()), *bad[f], *(nextafter(x, inf) for x in bad[f])}) for f in FEATURES}
+
+
+def _bin(feature: str, cuts: list[float]) -> Column:
+    """How many thresholds the feature reaches."""
+    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(feature))) if cuts else F.lit(0)
+
+
 def _best(found: list, cuts: dict[str, list]) -> tuple | None:
     """The condition of most gain on the growing rows: gain, condition, and its (bad, good) counts there and among the held-out rows."""
     counts: dict[tuple, int] = {(r.f, r.b, r.held, r.bad): r["count"] for r in found}

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -76,6 +77,21 @@ def test_held_out_accuracy(spark, docs):
     assert right >= 0.97 * n
 
 
+def test_rules_are_learned_where_one_row_in_a_hundred_is_bad(spark):
+    """Of 3000 rows 30 are bad, of two kinds; no other row is like them, but both lie within a 32nd of all rows."""
+    rng = random.Random(3)
+    rows = []
+    for k in range(3000):
+        x = dict.fromkeys(quality.FEATURES, 0.5) | {"n_words": rng.randrange(20, 900), "n_lines": rng.randrange(2, 40), "symbol_share": rng.random() * 0.1, "upper_share": rng.random() * 0.2}
+        if k % 100 == 7:
+            x |= {"n_lines": 1} if k % 300 == 7 else {"symbol_share": 0.11 + rng.random() * 0.1}
+        rows.append((k, k % 100 == 7, *(float(x[f]) for f in quality.FEATURES)))
+    df = spark.createDataFrame(rows, ["id", "bad", *quality.FEATURES])
+    out = df.withColumn("out", quality.learned(df).rejects().isNotNull())
+    caught, lost = out.agg(F.count_if(F.col("out") & F.col("bad")), F.count_if(F.col("out") & ~F.col("bad"))).first()
+    assert caught >= 28 and lost <= 3
+
+
 def plain_dedup(rows):
     """(id, text) by id: the lines that stay."""
     first, spans = {}, {}
