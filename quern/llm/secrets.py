@@ -26,6 +26,9 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # maximal runs, as shorter ones are dropped
 _HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/]{40,}(?:\r?\n[A-Za-z0-9+/]+)*={0,2}")
+_URL64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9_-]{40,}(?:\r?\n[A-Za-z0-9_-]+)*={0,2}")
+_ESCAPE = re.compile(r"\\+[rn]")  # a line end as JSON and .env files write it
+_HEADER = re.compile(r"[A-Za-z][A-Za-z-]*:\s*\S+")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----.*?-----END \1-----", re.S)
 
@@ -69,7 +72,7 @@ def _units(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
 
 
 def is_der_key(data: bytes) -> bool:
-    """A private key in DER: PKCS#1 (nine integers after the version or more), SEC1 or PKCS#8, each length nested rightly."""
+    """A private key in DER: PKCS#1 (nine integers with the version or more), DSA (six), SEC1 or PKCS#8, each length nested rightly."""
     outer = _unit(data, 0, len(data))
     if outer is None or outer[0] != 0x30 or outer[2] != len(data):
         return False
@@ -79,6 +82,8 @@ def is_der_key(data: bytes) -> bool:
     tags = [p[0] for p in parts]
     if len(tags) >= 9 and set(tags[:9]) == {0x02}:
         return True
+    if tags == [0x02] * 6:  # version, p, q, g, y, x
+        return data[parts[0][1]] == 0
     if tags[1:2] == [0x04] and 16 <= parts[1][2] - parts[1][1] <= 72:
         return all(t in (0xA0, 0xA1) for t in tags[2:])
     if tags[1:3] == [0x30, 0x04]:
@@ -126,6 +131,27 @@ def is_signed_token(run: str) -> bool:
     return isinstance(header, dict) and isinstance(header.get("alg"), str) and isinstance(payload, dict) and (bool(parts[2]) or header["alg"].lower() == "none")
 
 
+def _pem_body(block: str) -> str:
+    """What is between the marks, without headers, white space and line ends that are written as escapes."""
+    inner = _ESCAPE.sub("\n", block[block.index("-----", 11) + 5 : block.rindex("-----END ")])
+    body = "".join(x for x in inner.split("\n") if ":" not in x)
+    return "".join((body if body.strip() else _HEADER.sub("", inner)).split())
+
+
+def _key_in(text: str, m: re.Match) -> tuple[int, int, str] | None:
+    """The span and kind of the key that the candidate starts with."""
+    if (_plain(m[0][:16]) or b"")[:1] not in (b"0", b"o"):  # a sequence's tag, or OpenSSH's magic
+        return None
+    end = m.end()
+    while end > m.start():  # words on the lines after a key look like more of it
+        data = _plain(text[m.start() : end])
+        kind = data and ("der" if is_der_key(data) else "openssh" if is_openssh_key(data) else None)
+        if kind:
+            return m.start(), end, kind
+        end = max(text.rfind("\n", m.start(), end), m.start())
+    return None
+
+
 def confirmed_spans(text: str) -> Iterator[tuple[int, int, str]]:
     """(start, end, kind) of candidates whose decoded content has the structure of a secret."""
     if "eyJ" in text:
@@ -134,21 +160,17 @@ def confirmed_spans(text: str) -> Iterator[tuple[int, int, str]]:
                 yield m.start(), m.end(), "jwt"
     if "-----BEGIN " in text:
         for m in _PEM.finditer(text):
-            body = "".join(x for x in m[0].split("\n")[1:-1] if ":" not in x)
-            data = _plain("".join(body.split()))
+            data = _plain(_pem_body(m[0]))
             if data and (is_der_key(data) or is_openssh_key(data) or "ENCRYPTED" in m[0]):
                 yield m.start(), m.end(), "pem"
+    seen = set()
     for m in _BASE64.finditer(text):
-        if (_plain(m[0][:16]) or b"")[:1] not in (b"0", b"o"):  # a sequence's tag, or OpenSSH's magic
-            continue
-        end = m.end()
-        while end > m.start():  # words on the lines after a key look like more of it
-            data = _plain(text[m.start() : end])
-            kind = data and ("der" if is_der_key(data) else "openssh" if is_openssh_key(data) else None)
-            if kind:
-                yield m.start(), end, kind
-                break
-            end = max(text.rfind("\n", m.start(), end), m.start())
+        if found := _key_in(text, m):
+            seen.add(m.start())
+            yield found
+    for m in _URL64.finditer(text):
+        if m.start() not in seen and ("-" in m[0] or "_" in m[0]) and (found := _key_in(text, m)):
+            yield found
     for m in _HEX_ANY.finditer(text):
         data = bytes.fromhex(m[0])
         kind = "der" if is_der_key(data) else "openssh" if is_openssh_key(data) else None

@@ -39,6 +39,33 @@ def test_keys_are_confirmed_and_broken_ones_not(kind, data):
     assert (0, len(pem), "pem") in list(secrets.confirmed_spans(pem))
 
 
+DSA = der(0x30, der(2, b"\0"), *(der(2, b"\x01" + bytes([k]) * n) for k, n in ((251, 128), (2, 20), (255, 127), (4, 128), (5, 19))))
+
+
+@pytest.mark.parametrize("data", [RSA, PKCS8, DSA, SSH])
+@pytest.mark.parametrize("end", [" ", "\\n", "\\r\\n", "", "\r\n", "\n"])
+def test_pem_on_one_line(data, end):
+    run = base64.b64encode(data).decode()
+    wrapped = end.join(run[k : k + 64] for k in range(0, len(run), 64))
+    pem = f"-----BEGIN PRIVATE KEY-----{end}{wrapped}{end}-----END PRIVATE KEY-----"
+    assert (4, 4 + len(pem), "pem") in list(secrets.confirmed_spans(f'x= "{pem}" y'))
+    broken = pem.replace(run[:8], "AAAAAAAA")
+    assert list(secrets.confirmed_spans(broken)) == []
+
+
+def test_encrypted_pem_on_one_line():
+    body = base64.b64encode(hashlib.sha512(b"x").digest()).decode()
+    pem = f"-----BEGIN RSA PRIVATE KEY----- Proc-Type: 4,ENCRYPTED DEK-Info: AES-128-CBC,0011 {body} -----END RSA PRIVATE KEY-----"
+    assert list(secrets.confirmed_spans(pem)) == [(0, len(pem), "pem")]
+
+
+def test_dsa_and_url_safe_keys():
+    run, safe = base64.b64encode(DSA).decode(), base64.urlsafe_b64encode(DSA).decode()
+    assert list(secrets.confirmed_spans(f"k {run} z")) == [(2, 2 + len(run), "der")]
+    assert safe != run and list(secrets.confirmed_spans(f"k {safe} z")) == [(2, 2 + len(safe), "der")]
+    assert list(secrets.confirmed_spans(f"k {base64.urlsafe_b64encode(DSA[:-1]).decode()} z")) == []
+
+
 def test_signed_tokens():
     assert list(secrets.confirmed_spans(f"a {JWT}, b")) == [(2, 2 + len(JWT), "jwt")]
     head, body, sign = JWT.split(".")
