@@ -1,4 +1,7 @@
+import itertools
+import random
 import re
+import time
 from collections import defaultdict
 
 import pytest
@@ -49,6 +52,51 @@ def test_mined_confidences_are_exact(spark):
     assert found == {"t:b": (round(20 / 22, 6), round(20 / 52, 6)), "t:a t:b": (1.0, round(18 / 52, 6))}
 
 
+def brute_rules(rows, least_support, least_confidence):
+    """All combinations of tokens with their exact shares; of equals in rows the one of the least tokens."""
+    n, out = len(rows), {}
+    tokens = sorted({t for ts, _ in rows for t in ts})
+    for k in range(1, len(tokens) + 1):
+        for c in itertools.combinations(tokens, k):
+            has = [v for ts, v in rows if set(c) <= set(ts)]
+            b = sum(v == "block" for v in has)
+            if b >= max(2, least_support * n) and b >= least_confidence * len(has):
+                if not any(out.get(d, (0,))[0] >= b / len(has) for d in itertools.combinations(c, k - 1)):
+                    out[c] = (b / len(has), b / n)
+    return out
+
+
+def test_mined_rules_equal_brute_force(spark):
+    rng = random.Random(5)
+    rows = []
+    for _ in range(400):
+        ts = [t for t in "abcdef" if rng.random() < 0.4]
+        rows.append((ts, "block" if ({"a", "b"} <= set(ts) or "f" in ts and "c" not in ts) and rng.random() < 0.98 else "allow"))
+    got = {tuple(r.tokens): (r.confidence, r.support) for r in urls.mined(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.02, 0.9).collect()}
+    want = brute_rules(rows, 0.02, 0.9)
+    # Needless are those with one item less as sure, whether that one is needless itself or not.
+    assert got and set(got) <= set(want) and all(got[c] == pytest.approx(want[c]) for c in got)
+    assert all(c in got for c in want if len(c) < 3)
+
+
+def test_urls_of_many_shared_words_end_soon(spark):
+    """Two URLs share 40 words, ten more have ever more words of one path: neither makes a combination of each set of words."""
+    words = "/".join(f"w{k}" for k in range(40))
+    rows = [(1, f"http://x.com/de/{words}/a"), (2, f"http://x.com/de/{words}/b"), (3, "http://y.com/fr/c"), (4, f"http://z.net/{words}")]
+    rows += [(10 + k, f"http://n.com/{'de' if k % 2 else 'fr'}/" + "/".join(f"v{j}" for j in range(4 * k + 4))) for k in range(10)]
+    rows += [(30, "http://z.net/" + "/".join(f"q{j}" for j in range(30000)))]
+    began = time.time()
+    out = {r.page_id: r for r in urls.judged(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert time.time() - began < 60
+    assert out[4].verdict == "block" and out[4].mined and out[30].verdict == "allow"
+
+
+def test_of_equally_long_rules_the_greatest_text_wins(spark):
+    rules = (("a.b", "/x/", "block"), ("b", "/x/yy", "allow"))
+    r = urls.judged(spark.createDataFrame([(1, "http://a.b/x/yyz")], "page_id long, url string"), rules).first()
+    assert (r.rule, r.verdict) == ("b/x/yy", "allow")
+
+
 def test_no_pages(spark):
     assert urls.judged(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
