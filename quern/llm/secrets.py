@@ -24,13 +24,14 @@ KINDS = ("assign", "access", "hex", "pem", "der", "openssh", "jwt")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # maximal runs, as shorter ones are dropped
-_HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
+# Candidates are of 30 bytes or more: no key that is in use is shorter.
+_HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){30,}(?![0-9A-Fa-f])")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/]{40,}(?:\r?\n[A-Za-z0-9+/]+)*={0,2}")
 _URL64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9_-]{40,}(?:\r?\n[A-Za-z0-9_-]+)*={0,2}")
-_ESCAPE = re.compile(r"\\+[rn]")  # a line end as JSON and .env files write it
-_HEADER = re.compile(r"[A-Za-z][A-Za-z-]*:\s*\S+")
+_ESCAPE = re.compile(r"(?<!\\)\\++[rn]")  # a line end as JSON and .env files write it
+_DEK = re.compile(r"DEK-Info:\s*([A-Z0-9-]+),([0-9A-Fa-f]+)")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----.*?-----END \1-----", re.S)
+_MARK = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]{0,64}?PRIVATE KEY)-----")
 
 
 def base_spans(text: str) -> Iterator[tuple[int, int, str]]:
@@ -92,23 +93,39 @@ def is_der_key(data: bytes) -> bool:
     return False
 
 
-def is_openssh_key(data: bytes) -> bool:
-    """An OpenSSH private key: the magic, then cipher, kdf and options, a count, and strings that fit in the rest."""
-    if not data.startswith(b"openssh-key-v1\0"):
+def is_encrypted_key(data: bytes) -> bool:
+    """An EncryptedPrivateKeyInfo in DER: an algorithm that begins with an object identifier, and an octet string, nothing more."""
+    outer = _unit(data, 0, len(data))
+    if outer is None or outer[0] != 0x30 or outer[2] != len(data):
         return False
-    at = 15
-    for _ in range(3):
-        if at + 4 > len(data):
-            return False
-        at += 4 + int.from_bytes(data[at : at + 4], "big")
-    if at + 4 > len(data):
+    parts = _units(data, outer[1], outer[2])
+    if not parts or [p[0] for p in parts] != [0x30, 0x04] or parts[1][1] == parts[1][2]:
         return False
-    count, at = int.from_bytes(data[at : at + 4], "big"), at + 4
-    for _ in range(min(count, 64) + 1):
+    algorithm = _units(data, parts[0][1], parts[0][2])
+    return bool(algorithm) and algorithm[0][0] == 0x06
+
+
+def _openssh_end(data: bytes) -> int | None:
+    """Where the OpenSSH private key that ``data`` starts with ends: the magic, cipher, kdf and options, a count, that many public keys and the private part."""
+    if not data.startswith(b"openssh-key-v1\0"):
+        return None
+    at, strings, count = 15, 3, None
+    while strings:
         if at + 4 > len(data):
-            return False
-        at += 4 + int.from_bytes(data[at : at + 4], "big")
-    return 0 < count <= 64 and at <= len(data)
+            return None
+        at, strings = at + 4 + int.from_bytes(data[at : at + 4], "big"), strings - 1
+        if not strings and count is None:
+            if at + 4 > len(data):
+                return None
+            count, at = int.from_bytes(data[at : at + 4], "big"), at + 4
+            if not 0 < count <= 64:
+                return None
+            strings = count + 1
+    return at if at <= len(data) else None
+
+
+def is_openssh_key(data: bytes) -> bool:
+    return _openssh_end(data) == len(data)
 
 
 def _plain(run: str) -> bytes | None:
@@ -131,46 +148,98 @@ def is_signed_token(run: str) -> bool:
     return isinstance(header, dict) and isinstance(header.get("alg"), str) and isinstance(payload, dict) and (bool(parts[2]) or header["alg"].lower() == "none")
 
 
-def _pem_body(block: str) -> str:
-    """What is between the marks, without headers, white space and line ends that are written as escapes."""
-    inner = _ESCAPE.sub("\n", block[block.index("-----", 11) + 5 : block.rindex("-----END ")])
+def _pem_body(inner: str) -> str:
+    """What is between the marks, without headers and white space; ``inner`` has its escaped line ends as such."""
     body = "".join(x for x in inner.split("\n") if ":" not in x)
-    return "".join((body if body.strip() else _HEADER.sub("", inner)).split())
+    if not body.strip():  # all on one line: a header's name and its value are words
+        words = inner.split()
+        body = "".join(w for before, w in zip(["", *words], words) if ":" not in w and not before.endswith(":"))
+    return "".join(body.split())
 
 
-def _key_in(text: str, m: re.Match) -> tuple[int, int, str] | None:
-    """The span and kind of the key that the candidate starts with."""
-    if (_plain(m[0][:16]) or b"")[:1] not in (b"0", b"o"):  # a sequence's tag, or OpenSSH's magic
+def _is_pem_key(label: str, inner: str) -> bool:
+    inner = _ESCAPE.sub("\n", inner)
+    data = _plain(_pem_body(inner))
+    if not data:
+        return False
+    if label.startswith("ENCRYPTED"):
+        return is_encrypted_key(data)
+    if "ENCRYPTED" in inner:  # the old form: a cipher and its start, then whole blocks
+        dek = _DEK.search(inner)
+        return dek is not None and len(data) % (16 if dek[1].startswith("AES") else 8) == 0
+    return is_der_key(data) or is_openssh_key(data)
+
+
+def _pem_spans(text: str) -> Iterator[tuple[int, int, str]]:
+    """Blocks from the last BEGIN before an END of its label, each mark looked at once."""
+    begun: dict[str, re.Match] = {}
+    for m in _MARK.finditer(text):
+        if m[1] == "BEGIN":
+            begun[m[2]] = m
+        elif m[2] in begun:
+            start = begun[m[2]]
+            begun.clear()
+            if _is_pem_key(m[2], text[start.end() : m.start()]):
+                yield start.start(), m.end(), "pem"
+
+
+def _key_in(run: str) -> tuple[int, str] | None:
+    """How much of the candidate the key that it starts with takes, and its kind.
+
+    What it decodes to says where the key ends; words on the lines after a key
+    look like more of it. The run is decoded once, however long it is.
+    """
+    if (_plain(run[:16]) or b"")[:1] not in (b"0", b"o"):  # a sequence's tag, or OpenSSH's magic
         return None
-    end = m.end()
-    while end > m.start():  # words on the lines after a key look like more of it
-        data = _plain(text[m.start() : end])
-        kind = data and ("der" if is_der_key(data) else "openssh" if is_openssh_key(data) else None)
-        if kind:
-            return m.start(), end, kind
-        end = max(text.rfind("\n", m.start(), end), m.start())
+    lines = run.split("\n")
+    sizes = [len(x.rstrip("\r=")) for x in lines]
+    whole = "".join(x.rstrip("\r=") for x in lines)
+    data = _plain(whole[: len(whole) - (len(whole) % 4 == 1)])
+    if data is None:
+        return None
+    if data[:1] == b"0":
+        outer = _unit(data, 0, len(data))
+        end, kind = outer and outer[2], "der"
+    else:
+        end, kind = _openssh_end(data), "openssh"
+    if end is None:
+        return None
+    wanted = -(-4 * end // 3)
+    if wanted < len(whole) and (_plain(whole[:wanted]) or b"") != data[:end]:
+        return None
+    if kind == "der" and not is_der_key(data[:end]):
+        return None
+    at = seen = 0
+    for line, size in zip(lines, sizes):
+        seen += size
+        if seen == wanted:  # a key ends where a line does
+            return at + len(line.rstrip("\r")), kind
+        if seen > wanted:
+            return None
+        at += len(line) + 1
     return None
 
 
 def confirmed_spans(text: str) -> Iterator[tuple[int, int, str]]:
-    """(start, end, kind) of candidates whose decoded content has the structure of a secret."""
+    """(start, end, kind) of candidates whose decoded content has the structure of a secret.
+
+    The time is in proportion to the text: candidates of a kind don't overlap,
+    and each is decoded once.
+    """
     if "eyJ" in text:
         for m in _JWT.finditer(text):
             if is_signed_token(m[0]):
                 yield m.start(), m.end(), "jwt"
     if "-----BEGIN " in text:
-        for m in _PEM.finditer(text):
-            data = _plain(_pem_body(m[0]))
-            if data and (is_der_key(data) or is_openssh_key(data) or "ENCRYPTED" in m[0]):
-                yield m.start(), m.end(), "pem"
+        yield from _pem_spans(text)
     seen = set()
     for m in _BASE64.finditer(text):
-        if found := _key_in(text, m):
+        if found := _key_in(m[0]):
             seen.add(m.start())
-            yield found
+            yield m.start(), m.start() + found[0], found[1]
     for m in _URL64.finditer(text):
-        if m.start() not in seen and ("-" in m[0] or "_" in m[0]) and (found := _key_in(text, m)):
-            yield found
+        if m.start() not in seen and ("-" in m[0] or "_" in m[0]) and (found := _key_in(m[0])):
+            yield m.start(), m.start() + found[0], found[1]
     for m in _HEX_ANY.finditer(text):
         data = bytes.fromhex(m[0])
         kind = "der" if is_der_key(data) else "openssh" if is_openssh_key(data) else None
@@ -181,8 +250,10 @@ def confirmed_spans(text: str) -> Iterator[tuple[int, int, str]]:
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: doc_id, base and spans, arrays of (start, end, kind) in code points, end exclusive.
 
-    A null text is empty and has no spans. Texts are scanned whole in one task
-    each; ids may be null or repeated, other columns are left out.
+    A null text is empty and has no spans. A text is scanned whole in one task,
+    in time and memory in proportion to its length; ids may be null or repeated,
+    an empty table gives no rows, and other columns are left out, whatever their
+    names.
     """
     kept = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     spans = "array<struct<start:int,end:int,kind:string>>"

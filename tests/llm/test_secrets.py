@@ -2,6 +2,7 @@ import base64
 import hashlib
 import json
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -66,6 +67,45 @@ def test_dsa_and_url_safe_keys():
     assert list(secrets.confirmed_spans(f"k {base64.urlsafe_b64encode(DSA[:-1]).decode()} z")) == []
 
 
+ENCRYPTED = der(0x30, der(0x30, der(6, b"\x2a\x86\x48\x86"), der(0x30, der(4, b"salt" * 2))), der(4, hashlib.sha512(b"k").digest()))
+
+
+@pytest.mark.parametrize("data,label,found", [(ENCRYPTED, "ENCRYPTED PRIVATE KEY", True), (b"letters!" * 8, "ENCRYPTED PRIVATE KEY", False), (ENCRYPTED[:-1], "ENCRYPTED PRIVATE KEY", False), (RSA, "ENCRYPTED PRIVATE KEY", False)])
+def test_encrypted_keys_are_confirmed(data, label, found):
+    pem = f"-----BEGIN {label}-----\n{base64.b64encode(data).decode()}\n-----END {label}-----"
+    assert [x for x in secrets.confirmed_spans(pem) if x[2] == "pem"] == ([(0, len(pem), "pem")] if found else [])
+
+
+@pytest.mark.parametrize("head,size,found", [("Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0011\n\n", 64, True), ("Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0011\n\n", 60, False), ("Proc-Type: 4,ENCRYPTED\n\n", 64, False), ("Proc-Type: 4,ENCRYPTED\nDEK-Info: DES-EDE3-CBC,00\n\n", 56, True)])
+def test_old_encrypted_keys_name_their_cipher(head, size, found):
+    pem = f"-----BEGIN RSA PRIVATE KEY-----\n{head}{base64.b64encode(bytes(range(size))).decode()}\n-----END RSA PRIVATE KEY-----"
+    assert list(secrets.confirmed_spans(pem)) == ([(0, len(pem), "pem")] if found else [])
+
+
+def test_a_block_starts_at_the_last_begin():
+    pem = f"-----BEGIN PRIVATE KEY-----\n{base64.b64encode(PKCS8).decode()}\n-----END PRIVATE KEY-----"
+    text = "-----BEGIN PRIVATE KEY-----\nnever closed\n" + pem
+    assert (len(text) - len(pem), len(text), "pem") in list(secrets.confirmed_spans(text))
+
+
+@pytest.mark.parametrize("kind,data", [("der", RSA), ("der", DSA), ("openssh", SSH)])
+@pytest.mark.parametrize("tail", ["words", "word", "wor", "wo", "words\nmore"])
+def test_lines_after_a_key_are_not_of_it(kind, data, tail):
+    run = base64.b64encode(data).decode().rstrip("=")
+    wrapped = "\r\n".join(run[k : k + 64] for k in range(0, len(run), 64))
+    assert list(secrets.confirmed_spans(f"{wrapped}\r\n{tail} end")) == [(0, len(wrapped), kind)]
+
+
+def test_long_texts_take_time_in_proportion():
+    junk = base64.b64encode(der(0x30, der(2, b"\0"), b"\x05" * 7_500_000)).decode()
+    texts = ["\n".join(junk[k : k + 76] for k in range(0, len(junk), 76)), "-----BEGIN PRIVATE KEY-----\n" * 100_000, "\\" * 2_000_000, "-----BEGIN " + "A" * 2_000_000, "-----BEGIN RSA PRIVATE KEY-----" + "a" * 2_000_000 + ": -----END RSA PRIVATE KEY-----", "eyJ" + "a" * 2_000_000, "token" + " " * 2_000_000, "ab" * 3_000_000 + "a"]
+    for text in texts:
+        began = time.process_time()
+        assert not list(secrets.confirmed_spans(text))
+        list(secrets.base_spans(text))
+        assert time.process_time() - began < 20
+
+
 def test_signed_tokens():
     assert list(secrets.confirmed_spans(f"a {JWT}, b")) == [(2, 2 + len(JWT), "jwt")]
     head, body, sign = JWT.split(".")
