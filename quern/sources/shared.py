@@ -1,4 +1,8 @@
-"""Tables between steps, in the folder that the cluster shares, which cut lineage and survive lost executors."""
+"""Tables between steps, in the folder that the cluster shares, which cut lineage and survive lost executors.
+
+A step is written as Parquet and read again: a lost executor costs the tasks of
+one step, never the steps before it.
+"""
 
 from __future__ import annotations
 
@@ -13,19 +17,46 @@ _own: dict[str, str] = {}
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where it is unset, as in tests."""
+    """A folder of this application's in that of ``spark.checkpoint.dir``.
+
+    Where that is unset a temporary folder of this machine serves, on a local
+    master only (tests): on a cluster executors would each write to their own.
+    """
+    application = spark.sparkContext.applicationId
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        return named.rstrip("/")
-    key = spark.sparkContext.applicationId
-    if key not in _own:
-        _own[key] = tempfile.mkdtemp(prefix="quern-")
-        atexit.register(shutil.rmtree, _own[key], ignore_errors=True)
-    return f"file://{_own[key]}"
+        return f"{named.rstrip('/')}/quern-{application}"
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"spark.checkpoint.dir isn't set: on {master} it has to name a folder that all executors share")
+    if application not in _own:
+        _own[application] = tempfile.mkdtemp(prefix="quern-")
+        atexit.register(shutil.rmtree, _own[application], ignore_errors=True)
+    return f"file://{_own[application]}"
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet and read again."""
-    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    return kept_at(df, name)[0]
+
+
+def kept_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Like ``kept``, with the table's path, for ``dropped``."""
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Removes a table that nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def cleared(spark: SparkSession) -> None:
+    """Removes all that this application has kept. Call it when results that read such tables have been written."""
+    dropped(spark, folder(spark))

@@ -92,3 +92,28 @@ def test_stream_equals_batch(spark, tmp_path):
     query.awaitTermination()
     got, want = spark.table("hourly_events"), hourly(events)
     assert got.exceptAll(want).isEmpty() and got.count() == want.count() and want.agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_the_shared_folder_is_never_machine_local_on_a_cluster():
+    from types import SimpleNamespace
+
+    from quern.sources import shared
+
+    def session(master, named=None):
+        return SimpleNamespace(sparkContext=SimpleNamespace(applicationId=f"app-{master}", master=master), conf=SimpleNamespace(get=lambda key, default: named))
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]", "k8s://x"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            shared.folder(session(master))
+        assert shared.folder(session(master, "s3a://bucket/x/")) == f"s3a://bucket/x/quern-app-{master}"
+    assert shared.folder(session("local[2]")).startswith("file://")
+
+
+def test_kept_tables_can_be_cleared(spark):
+    from quern.sources import shared
+
+    df, path = shared.kept_at(spark.range(3), "t")
+    assert df.count() == 3 and path.startswith(shared.folder(spark))
+    shared.cleared(spark)
+    with pytest.raises(Exception):
+        spark.read.parquet(path).count()
