@@ -1,52 +1,9 @@
-"""Tables between the stages of an operator, in the folder that the cluster shares.
-
-A stage is written as Parquet and read again, which cuts its lineage: a lost
-executor costs the tasks of one stage, never the stages before it.
-"""
+"""Tables between the stages of an operator: those of ``quern.sources.shared`` under the names that the operators use."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    key = spark.sparkContext.applicationId
-    if key not in _own:
-        _own[key] = tempfile.mkdtemp(prefix="quern-")
-        atexit.register(shutil.rmtree, _own[key], ignore_errors=True)
-    return f"file://{_own[key]}"
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again."""
-    return staged_at(df, name)[0]
-
-
-def staged_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Like ``staged``, with the table's path, for ``dropped``."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
+from quern.sources.shared import cleared, dropped, folder, kept, kept_at, new_path
 
+shared_dir, staged, staged_at = folder, kept, kept_at
 
-def dropped(spark: SparkSession, path: str) -> None:
-    """Removes a staged table that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+__all__ = ["cleared", "dropped", "new_path", "shared_dir", "staged", "staged_at"]
