@@ -40,13 +40,19 @@ def covered_lines(windows: DataFrame) -> DataFrame:
     return later.groupBy("id", "t").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, all columns, with ``text_col`` without covered lines, and n_lines_in and n_lines_removed added under ``line_dedup``, a struct.
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stats_col: str | None = "line_dedup") -> DataFrame:
+    """The documents, all columns, with ``text_col`` without covered lines.
+
+    ``stats_col``, unless it is None, is added: a struct of n_lines_in and
+    n_lines_removed. A column of that name in ``docs`` is an error.
 
     A null text stays null, and a text whose lines all go becomes empty. Rows
     that repeat an id and a text are one document: both stay whole or lose the
-    same lines. Null ids come last in the order. Very long texts are taken whole.
+    same lines. Null ids come last in the order. Very long texts are taken
+    whole. An empty table stays empty.
     """
+    if stats_col is not None and stats_col.lower() in map(str.lower, docs.columns):
+        raise ValueError(f"there is a column {stats_col} already: name another, or None, for the counts of lines")
     windows = staged(line_windows(docs, id_col, text_col), "windows")
     covered = covered_lines(windows).select(F.col("id").alias("k"), F.col("t").alias("kt"), "spans")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -64,7 +70,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     stats = F.struct(F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines_in"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_lines_removed"))
     made = kept.select("row", new.alias("new"), stats.alias("stats"))
     columns = [F.col("new").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns]
-    return made.select(*columns, F.col("stats").alias("line_dedup"))
+    return made.select(*columns, *([F.col("stats").alias(stats_col)] if stats_col is not None else []))
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:

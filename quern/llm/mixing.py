@@ -111,7 +111,11 @@ def mix_points(sized: DataFrame, weights: DataFrame, share: float = 1.5, epochs:
 
 
 def cycled_weights(sources: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0)) -> DataFrame:
-    """Weights dealt in turn to the distinct sources by code point, null last; one row a source."""
+    """Weights dealt in turn to the distinct sources by code point, null last; one row a source.
+
+    Sources are ranked in one task, a name each: meant for thousands of sources.
+    For millions, such as hosts, bring a table of weights instead.
+    """
     rank = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
     return sources.select("source").distinct().select("source", F.array(*map(F.lit, weights))[(rank % len(weights)).cast("int")].alias("weight"))
 
@@ -124,7 +128,8 @@ def repeated(docs: DataFrame, share: float = 1.5, epochs: float = 2.0, seed: int
     """The mixed corpus, columns as they were: each document as often as it is taken, a part of one cut after its first words.
 
     Empty and null texts are taken no words and go; so do sources without
-    weight. Ids may be null or repeated, and further columns have any names.
+    weight. Ids may be null or repeated, a very long text is taken whole or cut
+    like any, an empty table stays empty, and further columns have any names.
     """
     sized = staged(sizes(docs, id_col, text_col, source_col), "sizes")
     points = mix_points(sized, cycled_weights(sized, weights), share, epochs, seed)

@@ -210,11 +210,14 @@ def filtered(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     Nulls and empty texts have no words and are rejected; repeated rows are
     judged alike; very long texts are judged whole. Without labels only the base
-    limits decide. A column named like a feature does no harm.
+    limits decide. A column named like a feature does no harm. An empty table
+    stays empty.
+
+    Documents are written once beside their features, which the learner reads
+    alone: no text is shuffled, and no feature is computed twice.
     """
-    named = labels.where("quality is not null").select(F.col("doc_id").alias(id_col)).distinct()
-    rules = learned(with_labels(with_features(docs.join(named, id_col, "left_semi"), id_col, text_col), labels))
-    return judged(with_features(docs, id_col, text_col), rules).where("kept").select("row.*")
+    rows = staged(with_features(docs, id_col, text_col), "features")
+    return judged(rows, learned(with_labels(rows.drop("row"), labels))).where("kept").select("row.*")
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -30,15 +30,17 @@ class Encoder:
 
     ``ranks`` may name the same vocabulary as ranks. It then encodes texts of
     well-known characters about four times as fast, with the same ids; all
-    others, and all without ``ranks``, go through ``vocabulary``'s own library.
-    Strings of special tokens are ordinary text.
+    others, and all without ``ranks``, go through ``vocabulary``'s own library,
+    called without special tokens added. So do texts that hold the string of a
+    token that the vocabulary adds to its pieces, such as an end of text.
     """
 
     def __init__(self, vocabulary: str, ranks: str | None = None):
         from tokenizers import Tokenizer
 
         self._slow = Tokenizer.from_file(vocabulary)
-        self._slow.encode_special_tokens = True
+        added = (re.escape(t.content) for t in self._slow.get_added_tokens_decoder().values())
+        self._odd = re.compile("|".join((_PLAIN.pattern, *added)))
         self._fast = None
         if ranks:
             import tiktoken
@@ -50,7 +52,7 @@ class Encoder:
     def __call__(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, "<u4")
-        if self._fast is None or _PLAIN.search(text):
+        if self._fast is None or self._odd.search(text):
             return np.array(self._slow.encode(text, add_special_tokens=False).ids, "<u4")
         return np.array(self._fast.encode_ordinary(text), "<u4")
 
@@ -63,7 +65,11 @@ def encoder(vocabulary: str = VOCABULARY, ranks: str | None = RANKS) -> Encoder:
 
 
 def lengths(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABULARY, ranks: str | None = RANKS) -> DataFrame:
-    """A row per document: n_tokens. A null or empty text has none."""
+    """A row per document, n_tokens alone: other columns are left out, whatever their names.
+
+    A null or empty text has none. Repeated rows are rows of their own; a very
+    long text is encoded whole, in one task; an empty table gives no rows.
+    """
 
     def run(batches):
         encode = encoder(vocabulary, ranks)
@@ -74,7 +80,11 @@ def lengths(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABULAR
 
 
 def histogram(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABULARY, ranks: str | None = RANKS) -> DataFrame:
-    """n_tokens and n_docs, a row per length that occurs. Empty input gives no rows."""
+    """n_tokens and n_docs, a row per length that occurs.
+
+    Nulls and empty texts count at length zero, repeated rows each time; empty
+    input gives no rows.
+    """
     return lengths(docs, text_col, vocabulary, ranks).groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
 
 

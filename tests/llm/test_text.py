@@ -120,3 +120,45 @@ def test_line_dedup_of_overlaps_and_odd_rows(spark, odd, none):
     assert got == {k: v for k, (v, _) in plain_dedup(list(enumerate(texts))).items()}
     assert got[1] == "x\ny" and got[2] == "r" and got[4] == "" and got[8] is None
     assert lines.deduplicated(odd).count() == odd.count() and lines.deduplicated(none).count() == 0
+
+
+def test_line_dedup_leaves_a_column_of_its_own_name_alone(spark):
+    df = spark.createDataFrame([(1, "a\nb\nc", 7), (2, "a\nb\nc", 8)], "doc_id long, text string, line_dedup int")
+    with pytest.raises(ValueError, match="line_dedup"):
+        lines.deduplicated(df)
+    out = lines.deduplicated(df, stats_col=None)
+    assert out.columns == df.columns and {r.doc_id: (r.text, r.line_dedup) for r in out.collect()} == {1: ("a\nb\nc", 7), 2: ("", 8)}
+    assert {r.doc_id: r.n.n_lines_removed for r in lines.deduplicated(df, stats_col="n").collect()} == {1: 0, 2: 3}
+
+
+def spread(rng, bad, **values):
+    x = dict.fromkeys(quality.FEATURES, 0.5) | {"n_words": float(rng.randrange(20, 900)), "symbol_share": rng.random() * 0.3, "upper_share": rng.random() * 0.3, "distinct_share": rng.random()}
+    return bad, x | values
+
+
+def caught(spark, rows):
+    """The list learned of rows (bad, features), how many bad rows it rejects, and how many good ones."""
+    df = spark.createDataFrame([(k, bad, *(float(x[f]) for f in quality.FEATURES)) for k, (bad, x) in enumerate(rows)], ["id", "bad", *quality.FEATURES])
+    rules = quality.learned(df)
+    out = df.withColumn("out", rules.rejects().isNotNull())
+    return rules.rules, *out.agg(F.count_if(F.col("out") & F.col("bad")), F.count_if(F.col("out") & ~F.col("bad"))).first()
+
+
+def test_a_rule_of_two_conditions(spark):
+    """Bad is what has many symbols and many capitals; one of them alone is as often good."""
+    rng = random.Random(1)
+    rows = [spread(rng, False) for _ in range(2400)]
+    rows = [(x["symbol_share"] >= 0.2 and x["upper_share"] >= 0.2, x) for _, x in rows]
+    rules, bad, good = caught(spark, rows)
+    assert any({c.feature for c in r} == {"symbol_share", "upper_share"} and len(r) == 2 for r in rules)
+    assert bad >= 0.95 * sum(b for b, _ in rows) and good <= 5
+
+
+def test_two_rules_in_order(spark):
+    """Two kinds of bad rows that no one rule holds: the list has one for the larger kind first."""
+    rng = random.Random(2)
+    rows = [spread(rng, False) for _ in range(1200)]
+    rows += [spread(rng, True, symbol_share=0.5 + rng.random()) for _ in range(300)] + [spread(rng, True, distinct_share=-rng.random() - 0.1) for _ in range(120)]
+    rules, bad, good = caught(spark, rows)
+    assert [r[0].feature for r in rules][:2] == ["symbol_share", "distinct_share"]
+    assert bad >= 415 and good <= 2
