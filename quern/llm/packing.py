@@ -27,12 +27,19 @@ GROUP = 8192
 
 @dataclass(frozen=True)
 class Limits:
-    """Capacities of a sequence. The defaults of documents and cost never bind beside the tokens."""
+    """Capacities of a sequence, the weights of what is left of each, and the score that chooses among bins.
+
+    The defaults of documents and cost are those that the tokens alone imply;
+    ``sequences`` says what lower ones take. The weights and the score are those
+    of a measurement on a group of the synthetic documents: equal weights were
+    within one sequence of the fewest at all capacities tried, and the norm
+    needed up to 0.3 % fewer than the dot product.
+    """
 
     tokens: int = 1024
     documents: int = 1024
     cost: int = 1024 * 1024
-    weights: tuple[float, float, float] = (1.0, 0.001, 0.001)
+    weights: tuple[float, float, float] = (1.0, 1.0, 1.0)
     score: str = "norm"
 
 
@@ -118,6 +125,24 @@ def packed(found: DataFrame, limits: Limits = Limits(), group: int = GROUP) -> D
     return dealt.groupBy("bin_group").applyInArrow(pack, schema)
 
 
+def sequences(found: DataFrame, settings: list[Limits], group: int = GROUP) -> DataFrame:
+    """A row per setting: tokens, documents, cost, n_sequences that packing takes, and least, below which none can.
+
+    ``least`` is the greatest of the three sums of need by capacity; a piece that
+    alone exceeds the cost capacity fills a sequence. An empty table takes none.
+    """
+    length, out = F.col("length"), None
+    for limits in settings:
+        cost = F.least(length * length, F.lit(limits.cost)).cast("decimal(38,0)")
+        over = lambda total, most: F.ceil(F.coalesce(total, F.lit(0)) / most).cast("long")
+        least = found.agg(F.greatest(over(F.sum("length"), limits.tokens), over(F.count("*"), limits.documents), over(F.sum(cost), limits.cost)).alias("least"))
+        used = packed(found, limits, group).agg(F.count_distinct("sequence_id").alias("n_sequences"))
+        named = [F.lit(x).cast("long").alias(c) for c, x in (("tokens", limits.tokens), ("documents", limits.documents), ("cost", limits.cost))]
+        one = used.crossJoin(least).select(*named, "n_sequences", "least")  # a row each
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def op9_best_fit_packing(spark, sf_dir: str) -> DataFrame:
     """Every piece of every document with its sequence and its place there."""
     return packed(pieces(spark.read.parquet(f"{sf_dir}/documents.parquet")))

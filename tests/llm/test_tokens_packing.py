@@ -80,6 +80,18 @@ def test_every_capacity_holds(score):
         assert sorted(offsets[bins == b].tolist()) == sorted(np.concatenate([[0], np.cumsum(inside[np.argsort(offsets[bins == b])])[:-1]]).tolist())
 
 
+def test_what_capacities_that_bind_cost(docs, none):
+    found = packing.pieces(docs).where("length < 1024")
+    settings = [packing.Limits(), packing.Limits(documents=2), packing.Limits(cost=200_000), packing.Limits(documents=2, cost=200_000)]
+    rows = packing.sequences(found, settings).collect()
+    free, few, cheap, both = (r.n_sequences for r in rows)
+    assert free < few <= both and free < cheap <= both
+    assert all(r.least <= r.n_sequences for r in rows)
+    sizes = [r.length for r in found.collect()]
+    assert [r.least for r in rows] == [max(-(-sum(sizes) // 1024), -(-len(sizes) // s.documents), -(-sum(min(x * x, s.cost) for x in sizes) // s.cost)) for s in settings]
+    assert [(r.n_sequences, r.least) for r in packing.sequences(packing.pieces(none), settings[:1]).collect()] == [(0, 0)]
+
+
 def test_exact_fits_are_found():
     assert len(set(packing.best_fit(np.array([600, 424, 500, 524, 1024, 1000, 24]), packing.Limits())[0].tolist())) == 4
 
