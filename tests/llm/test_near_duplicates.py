@@ -130,6 +130,24 @@ def test_embeddings_equal_brute_force(spark, tile):
     assert got == {k: (n[k], root[k], root[k] == k) for k in range(len(rows))}
 
 
+def test_tiles_are_cut_along_several_axes(spark):
+    """A label of many clusters: few of its pairs of tiles are met, and no link is lost. Equal directions, which no cut parts, are salted."""
+    rng = np.random.default_rng(9)
+    centres = np.linalg.qr(rng.normal(size=(24, 24)))[0]
+    rows = [(k, [float(v) for v in centres[k % 24] + rng.normal(size=24) * 0.01], 1) for k in range(960)]
+    rows += [(k, [float(v) for v in centres[0] * k], 2) for k in range(2000, 2100)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component) for r in embedding.near_duplicates(df, tile=16).collect()}
+    assert got == {k: (39, k % 24) for k in range(960)} | {k: (99, 2000) for k in range(2000, 2100)}
+    packed = embedding.packed_vectors(df).withColumn("c", F.col("id"))
+    axes = embedding.principal_axes(packed)[24]
+    p = [(k, str(label), 24, [*(x := np.array(v) / np.linalg.norm(v) @ axes)[:8].tolist(), float(np.linalg.norm(x[8:]))]) for k, v, label in rows]
+    placed = spark.createDataFrame(p, "c long, label string, dim int, p array<double>")
+    cut = embedding._cut(placed.where("label = '1'"), 16)
+    sizes = [r["count"] for r in cut.groupBy("node").count().collect()]
+    assert sum(sizes) == 960 and max(sizes) <= 128 and len(sizes) >= 8
+
+
 def test_linked_stops_early_but_misses_nothing():
     rng = np.random.default_rng(1)
     a, b = rng.normal(size=(200, 64)), rng.normal(size=(150, 64))
