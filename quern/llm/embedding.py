@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.llm.components import components
+from quern.llm.components import components, least_reachable
 from quern.llm.store import staged
 
 #: Rows of a tile at least, of one whose label has many, and its bytes at most.
@@ -148,19 +148,6 @@ def linked(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: float) ->
     return _linked(_Side(a, axes), _Side(b, axes), threshold)
 
 
-def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The least row reachable from each of n rows by links i, j."""
-    root = np.arange(n)
-    while True:
-        least = root.copy()
-        np.minimum.at(least, i, root[j])
-        np.minimum.at(least, j, root[i])
-        least = least[least]
-        if (least == root).all():
-            return root
-        root = least
-
-
 def _compared(one: np.ndarray, two: np.ndarray | None, w: np.ndarray, axes: np.ndarray, threshold: float, reach: float) -> tuple[np.ndarray, np.ndarray]:
     """For the rows of a tile, or of two one after the other: how many vectors they link to, and the least row reachable.
 
@@ -188,7 +175,7 @@ def _compared(one: np.ndarray, two: np.ndarray | None, w: np.ndarray, axes: np.n
                 n += (np.bincount(u, w[v], len(w)) + np.bincount(v, w[u], len(w))).astype(np.int64)
                 new = root[u] != root[v]
                 if new.any():
-                    root = _forest(len(w), np.concatenate([every, u[new]]), np.concatenate([root, v[new]]))
+                    root = least_reachable(len(w), np.concatenate([every, u[new]]), np.concatenate([root, v[new]]))
     return n, root
 
 

@@ -1,60 +1,49 @@
 """Near-duplicate documents by the Jaccard similarity of their five-word shingles.
 
-Candidates share one of 24 bands of four least hashes; a pair of similarity 0.8
-is missed with a probability of (1 - 0.8 ** 4) ** 24, three in a million. A
-document goes only after its shingles and those of an earlier document were
-compared exactly.
-
-In each bucket the first documents are compared with all others. What was found
-similar to an earlier document leaves every bucket, so that a large group of
-copies is compared with its first and not pair by pair. The rest goes on with
-four times as many first documents, until each has met each in its buckets. So
-no two documents that stay have both a bucket in common and similarity 0.8.
+SimHash's meeting in the middle finds what differs in few bits; a similarity of
+0.8 lies near ten bits of 64, far beyond it. Its links are therefore completed
+by bands of least hashes: a pair of similarity 0.8 shares none of 24 bands of
+four with a probability of (1 - 0.8 ** 4) ** 24, three in a million.
+
+Both only say what is worth comparing. Documents that they join, directly or by
+way of others, are compared exactly, by their shingles' hashes of 64 bits. Many
+small groups share a task; a large one is cut into tiles by its documents'
+counts of shingles, which similarity bounds, and each pair of tiles within that
+bound is a task. A task returns the documents that have an earlier similar one,
+never the pairs.
 """
 
 from __future__ import annotations
 
+from math import log
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.llm.simhash import SEED, rows_of, text_hash
+from quern.llm.components import components
+from quern.llm.simhash import RADIUS, SEED, bits_of, links, rows_of, shingle_hashes, text_hash
 from quern.llm.store import staged
 
 WIDTH, BANDS, DEPTH = 5, 24, 4
 #: Similarity from which a document goes, as a fraction.
 SHARED, OF = 4, 5
+#: Documents of a tile, and hashes that a task holds.
+TILE, HASHES = 1024, 2 << 20
+#: Columns of the table of documents by shingles that is multiplied at once.
+COLUMNS = 2048
 
 _rng = np.random.default_rng(SEED)
 _FLIPS = _rng.integers(0, 2**64, BANDS * DEPTH, dtype=np.uint64)
 _FACTORS = _rng.integers(0, 2**64, BANDS * DEPTH, dtype=np.uint64) | np.uint64(1)
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    return text.lower().split() if text else []
-
-
-def shingles(words: list[bytes], width: int = WIDTH) -> set[bytes]:
-    """The distinct shingles; all words where they are fewer than ``width``."""
-    if len(words) <= width:
-        return {b" ".join(words)} if words else set()
-    return set(map(b" ".join, zip(*(words[k:] for k in range(width)))))
-
-
-def similar(a: set[bytes], b: set[bytes]) -> bool:
-    """Whether the Jaccard similarity is 0.8 or more; sets without shingles are alike."""
-    both = len(a & b)
-    return OF * both >= SHARED * (len(a) + len(b) - both)
-
-
-def band_keys(found: set[bytes]) -> list[int]:
-    """A key for each band; none without shingles."""
-    if not found:
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """A key for each band of distinct shingle hashes; none without any."""
+    if not len(hashes):
         return []
-    hashes = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in found), np.uint64, len(found))
     least = np.full(BANDS * DEPTH, 2**64 - 1, np.uint64)
     for part in np.array_split(hashes, len(hashes) // 8192 + 1):
         np.minimum(least, ((part[None, :] ^ _FLIPS[:, None]) * _FACTORS[:, None]).min(axis=1), out=least)
@@ -62,45 +51,107 @@ def band_keys(found: set[bytes]) -> list[int]:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """d (what a document is ordered and known by), w (a digest of the words), n (shingles) and keys, for each document."""
+    """d (what a document is ordered and known by), w (a digest of the words), fp, n (distinct shingles) and keys, for each document."""
     text = F.col(text_col).cast("string")
     kept = docs.select(F.struct(F.col(id_col).isNull().alias("null"), F.col(id_col).alias("id"), text_hash(text).alias("t")).alias("d"), text.cast("binary").alias("text"))
 
     def run(batches):
         for batch in batches:
-            digests, sizes, keys = [], [], []
+            digests, fps, sizes, keys = [], [], [], []
             for text in batch.column(1):
-                words = words_of(text.as_py())
-                found = shingles(words)
-                digests.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                sizes.append(len(found))
-                keys.append(band_keys(found))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["d", "w", "n", "keys"])
-
-    return kept.mapInArrow(run, kept.select("d", F.lit(b"").alias("w"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("array<long>").alias("keys")).schema)
-
-
-def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The d of the pairs (d, first) whose shingles are similar indeed."""
-    of = lambda name: texts.select(F.col("h").alias(f"{name}_h"), F.col("t").alias(f"{name}_t"), F.col("text").alias(f"{name}_text"))
-    met = pairs
-    for name in ("first", "d"):
-        met = met.withColumns({f"{name}_k": _hash(name), f"{name}_j": F.col(f"{name}.t")})
-        met = met.join(of(name), (F.col(f"{name}_k") == F.col(f"{name}_h")) & (F.col(f"{name}_j") == F.col(f"{name}_t")))
-    met = met.select("d", "first_text", "d_text")
-
-    def run(batches):
-        last, leading = None, set()
-        for batch in batches:
-            hits = []
-            for a, b in zip(batch.column(1), batch.column(2)):
-                a = a.as_py()
-                if a != last:
-                    last, leading = a, shingles(words_of(a))
-                hits.append(similar(leading, shingles(words_of(b.as_py()))))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(hits, pa.bool_()))], ["d"])
-
-    return met.mapInArrow(run, met.select("d").schema).distinct()
+                text = text.as_py()
+                hashes = shingle_hashes(text, WIDTH)
+                distinct = np.unique(hashes)
+                digests.append(xxhash.xxh3_128_digest(b" ".join(text.lower().split() if text else [])))
+                fps.append(bits_of(hashes))
+                sizes.append(len(distinct))
+                keys.append(band_keys(distinct))
+            fp = np.array(fps, np.uint64).view(np.int64)
+            columns = [batch.column(0), pa.array(digests, pa.binary()), pa.array(fp), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["d", "w", "fp", "n", "keys"])
+
+    zero = F.lit(0).cast("long")
+    return kept.mapInArrow(run, kept.select("d", F.lit(b"").alias("w"), zero.alias("fp"), zero.alias("n"), F.lit(None).cast("array<long>").alias("keys")).schema)
+
+
+def candidates(unique: DataFrame) -> DataFrame:
+    """node and root for the documents (c, fp, keys) that a band or few bits of the fingerprint join to others."""
+    stars = lambda rows: rows.groupBy("key").agg(F.min("c").alias("u"), F.count("*").alias("m")).where("m > 1").select(F.col("key").alias("k"), "u")
+    met = lambda rows: rows.join(stars(rows), F.col("key").bitwiseXOR(F.lit(0).cast("long")) == F.col("k")).select("c", "u")
+    bands = met(unique.select("c", F.explode("keys").alias("key")))
+    bits = met(unique.select("c", F.col("fp").alias("key")))
+    first = staged(unique.groupBy("fp").agg(F.min("c").alias("c")), "first")
+    near = links(first.select("fp"), RADIUS).join(first.select(F.col("fp").alias("u"), F.col("c").alias("a")), "u").join(first.select(F.col("fp").alias("v"), F.col("c").alias("b")), "v")
+    return staged(components(bands.unionByName(bits).unionByName(near.select(F.col("a").alias("c"), F.col("b").alias("u"))).where("c <> u")), "candidates")
+
+
+def similar_pairs(hashes: list[np.ndarray], first: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j), i before j, of sets of similarity 0.8 or more; with ``first`` only pairs of one of the first ones and one of the others."""
+    sizes = np.array([len(h) for h in hashes], np.int64)
+    m, end = len(hashes), len(hashes) if first is None else first
+    start = 0 if first is None else first
+    values, owner = np.concatenate(hashes), np.repeat(np.arange(m), sizes)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    new = np.concatenate([[True], values[1:] != values[:-1]]) if len(values) else np.empty(0, bool)
+    code = np.cumsum(new) - 1
+    several = np.bincount(code)[code] > 1 if len(code) else np.empty(0, bool)
+    code, owner = code[several], owner[several]
+    code = np.cumsum(np.concatenate([[True], code[1:] != code[:-1]])) - 1 if len(code) else code
+    both = np.zeros((end, m - start), np.float32)  # counts below 2 ** 24 are exact
+    for low in range(0, int(code[-1]) + 1 if len(code) else 0, COLUMNS):
+        a, b = np.searchsorted(code, (low, low + COLUMNS))
+        held = np.zeros((m, COLUMNS), np.float32)
+        held[owner[a:b], code[a:b] - low] = 1
+        both += held[:end] @ held[start:].T
+    both = both.astype(np.int64)
+    i, j = np.nonzero(OF * both >= SHARED * (sizes[:end, None] + sizes[None, start:] - both))
+    j = j + start
+    keep = i < j
+    return i[keep], j[keep]
+
+
+def _compared(key, table):
+    """c of the documents of a task's groups that are similar to an earlier one of their group."""
+    table = table.sort_by([("null", "ascending"), ("id", "ascending"), ("t", "ascending")])
+    root, side, c = (table.column(x).to_numpy() for x in ("root", "side", "c"))
+    order = np.lexsort((side, root))  # places in the table tell which document is earlier
+    root, side = root[order], side[order]
+    hashes = [np.frombuffer(x.as_py(), "<u8") for x in table.column("hashes").take(pa.array(order))]
+    cuts = np.flatnonzero(np.concatenate([[True], root[1:] != root[:-1], [True]]))
+    gone = []
+    for a, b in zip(cuts, cuts[1:]):
+        split = int(np.searchsorted(side[a:b], 1))
+        i, j = similar_pairs(hashes[a:b], split if split < b - a else None)
+        gone.append(np.maximum(order[a:b][i], order[a:b][j]))
+    return pa.table({"c": c[np.unique(np.concatenate(gone))]})
+
+
+def _tasks(members: DataFrame) -> DataFrame:
+    """c, root, side and task of members (c, root, n): where each is compared.
+
+    Small groups are dealt to tasks whole. In a large one a document meets those
+    of its own cell of counts and of the next: cells are a similarity wide.
+    """
+    sizes = members.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
+    large = staged(sizes.where((F.col("m") > TILE) | (F.col("total") > HASHES)).select(F.col("root").alias("big")), "large")
+    small = members.join(large, F.col("root") == F.col("big"), "left_anti")
+    m, total = small.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    tasks = max(1, -(-m // TILE), -(-total // HASHES))
+    out = small.select("c", "root", F.lit(0).alias("side"), F.struct(F.lit(-1).cast("long").alias("root"), F.pmod(F.xxhash64("root"), F.lit(tasks)).alias("a"), F.lit(0).cast("long").alias("b")).alias("task"))
+    cell = F.floor(F.log("n") / log(OF / SHARED) + 1e-9).cast("long")
+    rows = members.where("n > 0").join(large, F.col("root") == F.col("big")).select("c", "root", "n", cell.alias("cell"))
+    salts = F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / HASHES)).cast("int")
+    cells = staged(rows.groupBy("root", "cell").agg(salts.alias("salts")), "cells")
+    tile = lambda cell, salt: F.col(cell) * (1 << 31) + F.col(salt)
+    tiles = cells.select("root", "cell", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    other = cells.select(F.col("root").alias("root2"), F.col("cell").alias("cell2"), F.col("salts").alias("salts2"))
+    met = tiles.select("*", F.explode(F.array(F.col("cell"), F.col("cell") + 1)).alias("to")).join(other, (F.col("root") == F.col("root2")) & (F.col("to") == F.col("cell2")))
+    met = met.select("root", "cell", "salt", "cell2", F.explode(F.sequence(F.lit(0), F.col("salts2") - 1)).alias("salt2")).where("cell < cell2 or salt <= salt2")
+    met = met.withColumn("task", F.struct("root", tile("cell", "salt").alias("a"), tile("cell2", "salt2").alias("b")))
+    sides = met.select("root", "cell", "salt", F.lit(0).alias("side"), "task").unionByName(met.where("task.a <> task.b").select("root", F.col("cell2").alias("cell"), F.col("salt2").alias("salt"), F.lit(1).alias("side"), "task"))
+    salted = rows.join(cells, ["root", "cell"]).select("c", "root", "cell", F.pmod(F.xxhash64("c"), F.col("salts")).cast("int").alias("salt"))
+    return out.unionByName(salted.join(sides, ["root", "cell", "salt"]).select("c", "root", "side", "task"))
 
 
 def _hash(d: str):
@@ -109,29 +160,26 @@ def _hash(d: str):
 
 def remaining(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Column d of the documents that stay: the least of those with the same words, unless an earlier one is similar."""
-    same = signatures(docs, id_col, text_col).groupBy("w").agg(F.min("d").alias("d"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    unique = staged(same.drop("w"), "unique")
-    rows = unique.select("d", "n", F.explode("keys").alias("key"))
-    # Texts of documents that are alone in all their buckets are not fetched.
-    shared = rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select(F.col("key").alias("k"))
-    rows = staged(rows.join(shared, F.col("key") == F.col("k"), "left_semi"), "buckets")
+    same = signatures(docs, id_col, text_col).groupBy("w").agg(F.min("d").alias("d"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    unique = staged(same.drop("w").withColumn("c", F.monotonically_increasing_id()), "unique")
+    joined = candidates(unique.select("c", "fp", "keys"))
+    members = staged(unique.select("c", "d", "n").join(joined, F.col("c") == F.col("node")).drop("node"), "members")
+    # The texts of documents that are joined to no other aren't fetched.
     text = F.col(text_col).cast("string")
-    wanted = rows.select(_hash("d").alias("h"), F.col("d.t").alias("t")).distinct()
+    wanted = members.select(_hash("d").alias("h"), F.col("d.t").alias("t"), "c")
     held = docs.select(F.xxhash64(F.col(id_col), F.col(id_col).isNull()).alias("h"), text_hash(text).alias("t"), text.cast("binary").alias("text"))
-    texts = staged(held.join(wanted, ["h", "t"], "left_semi").dropDuplicates(["h", "t"]), "texts")
-    gone, leaders = None, 1
-    while not rows.isEmpty():
-        place = F.row_number().over(W.partitionBy("key").orderBy("d"))
-        firsts = staged(rows.withColumn("place", place).where(F.col("place") <= leaders).select(F.col("key").alias("k"), F.col("d").alias("first"), F.col("n").alias("m")), "firsts")
-        close = OF * F.least("n", "m") >= SHARED * F.greatest("n", "m")
-        pairs = rows.join(firsts, F.col("key").bitwiseXOR(F.lit(0).cast("long")) == F.col("k")).where((F.col("first") < F.col("d")) & close).select("d", "first").distinct()
-        hit = staged(_confirmed(pairs, texts), "similar")
-        gone = hit if gone is None else gone.unionByName(hit)
-        # Firsts have met all that is left of their bucket.
-        rows = rows.join(hit, "d", "left_anti").join(firsts, (F.col("key") == F.col("k")) & (F.col("d") == F.col("first")), "left_anti")
-        rows = staged(rows.select("d", "n", "key"), "buckets")
-        leaders *= 4
-    return unique.select("d") if gone is None else unique.select("d").join(gone, "d", "left_anti")
+
+    def run(batches):
+        for batch in batches:
+            made = [np.unique(shingle_hashes(x.as_py(), WIDTH)).tobytes() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["c", "hashes"])
+
+    hashed = held.join(wanted, ["h", "t"]).select("c", "text").mapInArrow(run, "c long, hashes binary")
+    hashed = hashed.groupBy("c").agg(F.first("hashes").alias("hashes"))
+    tasks = _tasks(members.select("c", "root", "n")).join(members.select(F.col("c").alias("k"), "d.*"), F.col("c") == F.col("k")).drop("c")
+    dealt = hashed.join(tasks, F.col("c") == F.col("k")).select("task", "root", "side", "c", "null", "id", "t", "hashes")
+    gone = staged(dealt.groupBy("task").applyInArrow(_compared, "c long").distinct(), "similar")
+    return unique.join(gone, "c", "left_anti").select("d")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -139,6 +187,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Earlier is the lesser id, a null after all others, then the lesser text
     hash. Nulls and texts without words are alike. Of rows that repeat an id and
-    a text one stays.
+    a text one stays. Very long texts are compared whole, an empty table stays
+    empty, and columns may have any names.
     """
     return rows_of(docs, remaining(docs, id_col, text_col).select(_hash("d").alias("h"), F.col("d.t").alias("t")), id_col, text_col)

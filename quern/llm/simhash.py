@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.components import components
+from quern.llm.components import components, least_reachable
 from quern.llm.store import staged
 
 SEED, WIDTH, RADIUS = 42, 4, 4
@@ -31,24 +31,32 @@ SEED, WIDTH, RADIUS = 42, 4, 4
 BUCKET, FEW = 8_000_000, 100_000
 
 
-def fingerprint(text: bytes | None, width: int = WIDTH) -> int:
-    """The fingerprint of a text in UTF-8; zero without words."""
+def shingle_hashes(text: bytes | None, width: int = WIDTH) -> np.ndarray:
+    """XXH64 of each shingle of a text in UTF-8, repeats included; all words are one where they are fewer than ``width``."""
     words = text.lower().split() if text else []  # of bytes: A-Z, and the six white space characters
     if not words:
-        return 0
+        return np.empty(0, "<u8")
     if len(words) <= width:
         shingles = [b" ".join(words)]
     else:
         shingles = map(b" ".join, zip(*(words[k:] for k in range(width))))
-    n = max(1, len(words) - width + 1)
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(s, SEED) for s in shingles), "<u8", n)
-    ones = np.zeros(64, np.int64)
+    return np.fromiter((digest(s, SEED) for s in shingles), "<u8", max(1, len(words) - width + 1))
+
+
+def bits_of(hashes: np.ndarray) -> int:
+    """The fingerprint of shingle hashes: a bit is 1 if it is in more than half of them; zero without any."""
+    n, ones = len(hashes), np.zeros(64, np.int64)
     for part in np.array_split(hashes, n // 65536 + 1):
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes | None, width: int = WIDTH) -> int:
+    """The fingerprint of a text in UTF-8; zero without words."""
+    return bits_of(shingle_hashes(text, width))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """id, t (a hash of the text) and fp, a long with the fingerprint's bits."""
     text = F.col(text_col).cast("string")
@@ -99,15 +107,7 @@ def _bucket_edges(fps: np.ndarray, bucket: int, bits: int, radius: int, low: lis
     pairs = np.unique(np.stack([owner, first[group]], 1), axis=0)
     near = np.bitwise_count(fps[pairs[:, 0]] ^ fps[pairs[:, 1]]) <= 2 * radius
     pairs = pairs[near & (pairs[:, 0] != pairs[:, 1])]
-    root = np.arange(len(fps))
-    while True:
-        least = root.copy()
-        np.minimum.at(least, pairs[:, 0], root[pairs[:, 1]])
-        np.minimum.at(least, pairs[:, 1], root[pairs[:, 0]])
-        least = least[least]
-        if (least == root).all():
-            break
-        root = least
+    root = least_reachable(len(fps), pairs[:, 0], pairs[:, 1])
     moved = np.flatnonzero(root != np.arange(len(fps)))
     return fps[moved], fps[root[moved]]
 

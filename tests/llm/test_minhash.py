@@ -1,6 +1,8 @@
 import random
 
 import corpus_pipeline
+import numpy as np
+import pytest
 
 from quern.llm import minhash
 
@@ -51,6 +53,26 @@ def test_a_bucket_of_texts_that_are_not_similar(spark):
     assert sorted(r.doc_id for r in minhash.one_of_each(df).collect()) == list(range(60))
 
 
+@pytest.mark.parametrize("first", [None, 30])
+def test_similar_pairs_equal_brute_force(first):
+    sets = [minhash.shingle_hashes(x.encode(), 5) for x in families(2)[:70]] + [np.empty(0, "<u8")]
+    sets = [np.unique(x) for x in sets]
+    found = set(zip(*(x.tolist() for x in minhash.similar_pairs(sets, first))))
+    plain = [set(x.tolist()) for x in sets]
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if jaccard(plain[i], plain[j]) >= 0.8 and (first is None or i < first <= j)}
+    assert found == want and len(want) > 5
+
+
+def test_a_large_group_is_cut_into_tiles(spark, monkeypatch):
+    """With tiles of eight documents each family is a large group of many cells and salts."""
+    monkeypatch.setattr(minhash, "TILE", 8)
+    texts = [x if k % 3 else " ".join(x.split()[: 160 + k % 40]) for k, x in enumerate(families(4))]
+    sets = [plain_shingles(x) for x in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in minhash.one_of_each(df).collect()}
+    assert kept == {i for i in range(len(texts)) if not any(jaccard(sets[i], sets[j]) >= 0.8 for j in range(i))}
+
+
 def test_odd_rows_go_as_with_fingerprints(odd, none):
     kept = minhash.one_of_each(odd)
     assert kept.columns == odd.columns

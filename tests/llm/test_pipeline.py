@@ -3,8 +3,9 @@ import re
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from quern.llm import minhash, packing
+from quern.llm import packing
 from quern.llm.store import staged
+from tests.llm.test_minhash import jaccard, plain_shingles
 
 DATA = "/root/testdata/sf0.001"
 
@@ -22,8 +23,8 @@ def test_stages_keep_their_promises(spark):
     # Lines: the same documents.
     assert sorted(r.doc_id for r in lined.select("doc_id").collect()) == sorted(r.doc_id for r in kept.select("doc_id").collect())
     # Near duplicates, by brute force: of any two documents of similarity 0.8 one went, and each that went has an earlier such one.
-    found = {r.doc_id: minhash.shingles(minhash.words_of((r.text or "").encode())) for r in lined.select("doc_id", "text").collect()}
-    similar = {(a, b) for a in found for b in found if a < b and minhash.similar(found[a], found[b])}
+    found = {r.doc_id: plain_shingles(r.text) for r in lined.select("doc_id", "text").collect()}
+    similar = {(a, b) for a in found for b in found if a < b and jaccard(found[a], found[b]) >= 0.8}
     stay = {r.doc_id for r in once.select("doc_id").collect()}
     assert stay < set(found) and not any(a in stay and b in stay for a, b in similar)
     assert all(any((a, d) in similar for a in found) for d in set(found) - stay)
