@@ -72,9 +72,14 @@ def content_hash(text: Column) -> Column:
     return F.substring(F.sha1(text), 1, 16)
 
 
+def trimmed(text: Column) -> Column:
+    """``F.trim`` of one argument: a loop over an array would hand it the place as well, as what to trim."""
+    return F.trim(text)
+
+
 def sentences(text: Column) -> Column:
     """Split after 。！？；!?; (not after a full stop or a line's end), trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "(?<=[。！？；!?;])\\s*"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "(?<=[。！？；!?;])\\s*"), trimmed), lambda s: s != "")
 
 
 def fixed_chunks(text: Column, size: int = 200, overlap: int = 40) -> Column:
@@ -88,13 +93,18 @@ def fixed_chunks(text: Column, size: int = 200, overlap: int = 40) -> Column:
     return F.filter(pieces, lambda p: p != "")
 
 
-def semantic_chunks(text: Column, most: int = 220) -> Column:
-    """Sentences joined while they fit ``most`` characters; longer sentences are cut hard.
+def semantic_chunks(text: Column, most: int | Column = 220) -> Column:
+    """Sentences joined while they fit ``most`` characters (a number, or one for each row); longer sentences are cut hard.
 
     The sentence that is cut ends what was gathered before it; its last part
     starts the next chunk.
     """
-    cut = lambda s: F.transform(F.sequence(F.lit(0), F.floor((F.length(s) - 1) / most).cast("int")), lambda k: F.struct(F.substring(s, k * most + 1, F.lit(most)).alias("s"), (F.length(s) > (k + 1) * most).alias("hard")))
+    most = most if isinstance(most, Column) else F.lit(most)
+
+    def cut(s):
+        places = F.sequence(F.lit(0), F.floor((F.length(s) - 1) / most).cast("int"))
+        return F.transform(places, lambda k: F.struct(F.substring(s, k * most + 1, most).alias("s"), (F.length(s) > (k + 1) * most).alias("hard")))
+
     parts = F.flatten(F.transform(sentences(text), cut))
     none = F.array().cast("array<string>")
     start = F.struct(none.alias("done"), F.lit("").alias("buf"))
@@ -107,10 +117,38 @@ def semantic_chunks(text: Column, most: int = 220) -> Column:
         return F.when(p["hard"], hard).when(F.length(a["buf"]) + F.length(p["s"]) <= most, fits).otherwise(full)
 
     folded = F.aggregate(parts, start, step, lambda a: F.concat(a["done"], F.array(a["buf"])))
-    return F.filter(F.transform(folded, F.trim), lambda c: c != "")
+    return F.filter(F.transform(folded, trimmed), lambda c: c != "")
+
+
+def hierarchical_chunks(text: Column, title: str | Column, most: int = 220) -> Column:
+    """Semantic chunks that each begin with 【title】, which counts to their length; a chunk has room for 60 characters at least.
+
+    A null or empty title is none, and puts nothing before the chunks.
+    """
+    title = F.coalesce(title if isinstance(title, Column) else F.lit(title), F.lit(""))
+    prefix = F.when(title == "", "").otherwise(F.concat(F.lit("【"), title, F.lit("】")))
+    room = F.greatest(F.lit(60), F.lit(most) - F.length(prefix))
+    return F.transform(semantic_chunks(text, room), lambda c: F.concat(prefix, c))
+
+
+def compressed_text(query: Column, text: Column, most: Column) -> Column:
+    """The text where it fits ``most`` characters, else its sentences that share most tokens with the query, in their order, a line each.
+
+    Sentences of fewer than six characters are left out. Sentences are taken by
+    their share of the query's distinct tokens while they fit, until four fifths
+    of the room are used; without any that shares a token the text is cut.
+    """
+    asked = F.array_distinct(tokens(query))
+    parts = F.filter(sentences(text), lambda s: F.length(s) >= 6)
+    share = lambda s: F.size(F.array_intersect(asked, tokens(s))) / F.greatest(F.size(asked), F.lit(1))
+    ranked = F.array_sort(F.transform(parts, lambda s, i: F.struct((-share(s)).alias("k"), i.alias("i"), s.alias("s"))))
+    none = F.array().cast("array<string>")
 
+    def step(a, r):
+        takes = (a["used"] < 0.8 * most) & (r["k"] < 0) & (a["used"] + F.length(r["s"]) <= most)
+        taken = F.struct((a["used"] + F.length(r["s"]) + 1).alias("used"), F.concat(a["kept"], F.array(r["s"])).alias("kept"))
+        return F.when(takes, taken).otherwise(a)
 
-def hierarchical_chunks(text: Column, title: str, most: int = 220) -> Column:
-    """Semantic chunks that each begin with 【title】, which counts to their length."""
-    prefix = f"【{title}】" if title else ""
-    return F.transform(semantic_chunks(text, max(60, most - len(prefix))), lambda c: F.concat(F.lit(prefix), c))
+    kept = F.aggregate(ranked, F.struct(F.lit(0).alias("used"), none.alias("kept")), step, lambda a: a["kept"])
+    joined = F.array_join(F.filter(parts, lambda s: F.array_contains(kept, s)), "\n")
+    return F.when(F.length(text) <= most, text).when(F.size(kept) > 0, joined).otherwise(F.substring(text, F.lit(1), most))

@@ -3,8 +3,9 @@
 Questions are planned into parts, searched, and judged. A part whose own kind
 of knowledge yields too little is searched in all; parts that still yield too
 little are put in standard words and searched again. The round of the best mean
-judgement counts; neighbours of its best hits join, and what the token budget
-holds stays.
+judgement counts; neighbours of its best hits join, and what a search for the
+documents and brands that they name finds; texts are compressed, and what the
+token budget holds stays.
 """
 
 from __future__ import annotations
@@ -19,19 +20,21 @@ from quern.sources.shared import kept
 THRESHOLD, REWRITES, BUDGET, TOP_K = 0.4, 2, 3000, 4
 
 
-def _searched(parts: DataFrame, chunks: DataFrame, kind: bool, top_k: int) -> tuple[DataFrame, DataFrame]:
+def _searched(parts: DataFrame, chunks: retrieval.Index, kind: bool, top_k: int) -> tuple[DataFrame, DataFrame]:
     """Hits and judgements by ``part_id`` of parts (part_id, text, tenant_id, kb_type)."""
     wanted = parts.select(F.col("part_id").alias("query_id"), F.col("text").alias("query"), "tenant_id", F.col("kb_type") if kind else F.lit(None).cast("string").alias("kb_type"))
     hits = kept(retrieval.search(wanted, chunks, top_k), "hits")
     return hits, questions.judged(wanted, hits)
 
 
-def answered(asked: DataFrame, chunks: DataFrame, top_k: int = TOP_K, budget: int = BUDGET) -> tuple[DataFrame, DataFrame]:
-    """Context blocks (query_id, chunk_id, score, cost, used) and a row per question (query_id, attempt, confidence, degraded).
+def answered(asked: DataFrame, chunks: DataFrame | retrieval.Index, top_k: int = TOP_K, budget: int = BUDGET, hops: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Context blocks (query_id, chunk_id, score, cost, used, compressed, text) and a row per question (query_id, attempt, confidence, degraded).
 
     ``asked`` has query_id, question, previous and tenant_id. Parts that only
     name metrics aren't searched, unless a question has no others.
     """
+    index = chunks if isinstance(chunks, retrieval.Index) else retrieval.Index(chunks)
+    chunks = index.chunks
     plan = questions.planned(asked)
     known = F.max((F.col("intent") != "metric").cast("int")).over(W.partitionBy("query_id"))
     plan = plan.withColumn("known", known).where("intent <> 'metric' or (known = 0 and part = 0)")
@@ -39,10 +42,10 @@ def answered(asked: DataFrame, chunks: DataFrame, top_k: int = TOP_K, budget: in
     current = kept(parts, "parts")
     rounds = []
     for attempt in range(1 + REWRITES):
-        hits, verdict = _searched(current, chunks, True, top_k)
+        hits, verdict = _searched(current, index, True, top_k)
         verdict = kept(verdict, "verdict").withColumnRenamed("query_id", "part_id")
         weak = current.where("kb_type is not null").join(verdict.where(F.col("score") < THRESHOLD).select("part_id"), "part_id", "left_semi")
-        open_hits, open_verdict = _searched(weak, chunks, False, top_k)
+        open_hits, open_verdict = _searched(weak, index, False, top_k)
         open_verdict = kept(open_verdict, "verdict").select(F.col("query_id").alias("part_id"), F.col("score").alias("open_score"), F.col("reasons").alias("open_reasons"))
         met = verdict.join(open_verdict, "part_id", "left").withColumn("opened", F.coalesce(F.col("open_score") > F.col("score"), F.lit(False)))
         met = met.select("part_id", "opened", F.when(F.col("opened"), F.col("open_score")).otherwise(F.col("score")).alias("judge"), F.when(F.col("opened"), F.col("open_reasons")).otherwise(F.col("reasons")).alias("reasons"))
@@ -64,9 +67,15 @@ def answered(asked: DataFrame, chunks: DataFrame, top_k: int = TOP_K, budget: in
     best = every.groupBy("query_id").agg(F.max(F.struct("mean", (-F.col("attempt")).alias("k"))).alias("b")).select(F.col("query_id").alias("q"), (-F.col("b.k")).alias("a"), F.col("b.mean").alias("confidence"))
     hits = every.join(best, (F.col("query_id") == F.col("q")) & (F.col("attempt") == F.col("a")))
     order = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
-    top = hits.withColumn("rank", order).where("rank <= 3").select("query_id", "rank", "chunk_id", "doc_id", "chunk_ix")
-    near = retrieval.neighbours(top, chunks).join(chunks.select("chunk_id", "text"), "chunk_id").select("query_id", "chunk_id", F.lit(0.0).alias("score"), "text")
-    blocks = questions.in_budget(hits.select("query_id", "chunk_id", "score", "text").unionByName(near), budget)
+    top = kept(hits.withColumn("rank", order).where("rank <= 3").select("query_id", "rank", "chunk_id", "doc_id", "chunk_ix", "text"), "top")
+    every = hits.select("query_id", "chunk_id", "score", "text")
+    if hops >= 1:
+        near = retrieval.neighbours(top, chunks).join(chunks.select("chunk_id", "text"), "chunk_id")
+        every = every.unionByName(near.select("query_id", "chunk_id", F.lit(0.0).alias("score"), "text"))
+    if hops >= 2:
+        named = retrieval.entity_hop(asked, top, index).join(chunks.select("chunk_id", "text"), "chunk_id")
+        every = every.unionByName(named.select("query_id", "chunk_id", "score", "text"))
+    blocks = questions.context(every.join(asked.select("query_id", F.col("question").alias("query")), "query_id"), budget)
     has = blocks.select("query_id").distinct().withColumn("has", F.lit(True))
     rows = asked.select("query_id").join(best, F.col("query_id") == F.col("q"), "left").join(has, "query_id", "left")
     degraded = F.when(F.col("has").isNull(), "no_useful_hits").when(F.col("confidence") < THRESHOLD, "low_retrieval_confidence")

@@ -19,7 +19,7 @@ class Rule:
     severity: str
 
 
-#: The rules. ``order_max`` is the greatest raw amount of the refund's order.
+#: The rules. ``order_max`` is the greatest raw amount of the refund's order.
 RULES = (
     Rule("DQ001", "raw_order", "not_null", "pay_amount", "pay_amount IS NOT NULL", "error"),
     Rule("DQ002", "raw_order", "range", "pay_amount", "pay_amount > 0", "error"),

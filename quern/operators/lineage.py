@@ -22,7 +22,7 @@ FLOWS = (
 
 def table_edges(spark: SparkSession) -> DataFrame:
     rows = [(s, t, task) for task, sources, targets in FLOWS for t in targets for s in sources]
-    return spark.createDataFrame(rows, "source string, target string, via string")
+    return spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "source string, target string, via string, place int")
 
 
 def metric_edges(definitions: DataFrame) -> DataFrame:
@@ -35,9 +35,10 @@ def metric_edges(definitions: DataFrame) -> DataFrame:
 
 
 def all_edges(spark: SparkSession, definitions: DataFrame) -> DataFrame:
-    """Both kinds; of several edges between two nodes the first by task stays."""
-    every = table_edges(spark).unionByName(metric_edges(definitions))
-    return every.groupBy("source", "target").agg(F.min("via").alias("via"))
+    """Both kinds; of several edges between two nodes the first stays, by the order of the flows, those of metrics after them."""
+    after = F.lit(len(FLOWS) * 1000)
+    every = table_edges(spark).unionByName(metric_edges(definitions).withColumn("place", after))
+    return every.groupBy("source", "target").agg(F.min(F.struct("place", "via")).alias("e")).select("source", "target", F.col("e.via").alias("via"))
 
 
 def upstream(edges: DataFrame, node: str, most: int = 16) -> DataFrame:

@@ -54,7 +54,7 @@ DEFINITIONS = (
     Metric("CS_RESOLVE_RATE", "v1.0", "share resolved", "dwd_cs_session", "session_dt", "AVG(CASE WHEN resolved = TRUE THEN 1.0D ELSE 0.0D END)", "1 = 1", "share", _FROM),
 )
 
-#: What materializing writes, in order: (code, dimension).
+#: What materializing writes, in order: (code, dimension).
 TARGETS = (
     ("GMV_ORDER", "tenant"), ("GMV_ORDER", "shop"), ("GMV_PAID", "tenant"), ("GMV_PAID", "shop"), ("REFUND_AMOUNT", "tenant"), ("REFUND_AMOUNT", "shop"), ("GMV_SETTLE", "tenant"), ("GMV_SETTLE", "shop"),
     ("ORDER_CNT", "tenant"), ("PAID_CNT", "tenant"), ("AOV_PAID", "tenant"), ("REFUND_RATE", "tenant"), ("CS_SESSION_CNT", "tenant"), ("CS_BOT_CNT", "tenant"), ("CS_BOT_RATIO", "tenant"),
@@ -62,7 +62,7 @@ TARGETS = (
 )
 DIMENSIONS = {"tenant": "tenant_id", "shop": "shop_id", "platform": "platform"}
 AMOUNTS = ("GMV_ORDER", "GMV_PAID", "GMV_SETTLE", "REFUND_AMOUNT")
-#: Shown as the plain mean of daily values; all others as their sum.
+#: Shown as the plain mean of daily values; all others as their sum.
 MEANS = ("REFUND_RATE", "CS_BOT_RATIO", "CS_FIRST_RESP_AVG", "CS_SATISFACTION_AVG")
 _KEYS = ["dt", "tenant_id", "dim_value"]
 

@@ -73,7 +73,8 @@ class Matcher:
         n = F.length("code")
         least, most = F.floor(n * (1 - share) / (1 + share)), F.ceil(n * (1 + share) / (1 - share))
         near = codes.select("*", F.explode(F.sequence(F.greatest(least.cast("int"), F.lit(1)), most.cast("int"))).alias("n"))
-        within = F.levenshtein("code", "matched") <= share * (n + F.length("matched")) + 1e-9
+        # Minus one beyond the bound, where the comparison is given up.
+        within = F.expr(f"levenshtein(code, matched, cast(floor({share} * (length(code) + length(matched)) + 1e-9) as int)) >= 0")
         return near.join(pool, ["tenant_id", "n"]).where(within).drop("n").withColumn("score", similarity("code", "matched")).where(F.col("score") >= cutoff)
 
     def resolved(self, raw: DataFrame) -> DataFrame:

@@ -7,12 +7,16 @@ of a hash of it, so that no two share a place.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quern.functions.text import content_hash, fixed_chunks, hierarchical_chunks, semantic_chunks, token_weight, tokens
+from quern.sources.shared import kept
 
+#: Kinds of knowledge, constants of the fusion and the reranking, lengths of vectors.
 KB_TYPES = ("cs_faq", "product", "policy", "sop")
 RRF_K, POOL = 60, 30
 WEIGHT_FUSED, WEIGHT_LEXICAL = 0.55, 0.45
@@ -20,7 +24,7 @@ STRATEGIES = ("fixed", "semantic", "hierarchical")
 DIMENSIONS = 1024
 
 
-def chunked(docs: DataFrame, strategy: str = "fixed") -> DataFrame:
+def chunked(docs: DataFrame, strategy: str = "hierarchical") -> DataFrame:
     """chunk_id, doc_id, tenant_id, kb_type, chunk_ix, text, char_len, content_hash of doc_id, tenant_id, kb_type, title, content, doc_no.
 
     Of equal chunks of a tenant and kind the first by document and place stays.
@@ -31,8 +35,7 @@ def chunked(docs: DataFrame, strategy: str = "fixed") -> DataFrame:
     elif strategy == "semantic":
         pieces = semantic_chunks(content)
     elif strategy == "hierarchical":
-        # Titles differ by row: the room that they leave does too, so they are cut at the longest's.
-        pieces = F.transform(semantic_chunks(content, 200), lambda c: F.concat(F.lit("【"), F.coalesce("title", F.lit("")), F.lit("】"), c))
+        pieces = hierarchical_chunks(content, F.col("title"))
     else:
         raise ValueError(f"no such strategy: {strategy}")
     each = docs.select("doc_id", "doc_no", "tenant_id", "kb_type", F.posexplode(pieces).alias("chunk_ix", "text")).withColumn("content_hash", content_hash(F.col("text")))
@@ -40,11 +43,6 @@ def chunked(docs: DataFrame, strategy: str = "fixed") -> DataFrame:
     return first.select(F.format_string("%s#%03d", "c.doc_id", "c.chunk_ix").alias("chunk_id"), F.col("c.doc_id").alias("doc_id"), "tenant_id", "kb_type", F.col("c.chunk_ix").alias("chunk_ix"), F.col("c.text").alias("text"), F.length("c.text").alias("char_len"), "content_hash")
 
 
-def with_title(title: str):
-    """The hierarchical strategy for documents of one title."""
-    return lambda text: hierarchical_chunks(text, title)
-
-
 def postings(rows: DataFrame, *keys: str, text: str = "text") -> DataFrame:
     """keys, token, weight: 1 + ln(count), 6 places."""
     each = rows.select(*keys, F.explode(tokens(F.col(text))).alias("token"))
@@ -53,6 +51,8 @@ def postings(rows: DataFrame, *keys: str, text: str = "text") -> DataFrame:
 
 def _best(scored: DataFrame, limit: int) -> DataFrame:
     """The first ``limit`` by score of each query and kind, ranked over all kinds."""
+    # Sums of doubles depend on their order in the last places, which must not decide.
+    scored = scored.withColumn("score", F.round("score", 9))
     by_kind = F.row_number().over(W.partitionBy("query_id", "kb_type").orderBy(F.desc("score"), "chunk_id"))
     overall = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
     return scored.withColumn("k", by_kind).where(F.col("k") <= limit).drop("k").withColumn("rank", overall)
@@ -62,31 +62,63 @@ def _asked(queries: DataFrame) -> DataFrame:
     return queries.where("tenant_id is not null and trim(query) <> ''")
 
 
-def sparse_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """query_id, kb_type, chunk_id, score. Document frequencies are of a kind's chunks of all tenants; a query's kb_type, if it has one, narrows."""
-    found = postings(chunks, "chunk_id", "tenant_id", "kb_type")
-    sizes = chunks.groupBy("kb_type").agg(F.count("*").alias("n"))
-    idf = found.groupBy("kb_type", "token").agg(F.count("*").alias("df")).join(sizes, "kb_type").select("kb_type", "token", F.log(1 + F.col("n") / (1 + F.col("df"))).alias("idf"))
-    asked = _asked(queries)
+class Index:
+    """Chunks and what searching them needs, each written when first wanted and read from then on: postings, document frequencies, hashed vectors."""
+
+    def __init__(self, chunks: DataFrame):
+        self.chunks = kept(chunks, "chunks")
+
+    @cached_property
+    def postings(self) -> DataFrame:
+        return kept(postings(self.chunks, "chunk_id", "tenant_id", "kb_type"), "postings")
+
+    @cached_property
+    def idf(self) -> DataFrame:
+        """Over a kind's chunks of all tenants."""
+        sizes = self.chunks.groupBy("kb_type").agg(F.count("*").alias("n"))
+        counts = self.postings.groupBy("kb_type", "token").agg(F.count("*").alias("df")).join(sizes, "kb_type")
+        return kept(counts.select("kb_type", "token", F.log(1 + F.col("n") / (1 + F.col("df"))).alias("idf")), "idf")
+
+    @cached_property
+    def vectors(self) -> DataFrame:
+        return kept(hashed_vectors(self.chunks, "chunk_id", "tenant_id", "kb_type"), "vectors")
+
+
+def _index(chunks: DataFrame | Index) -> Index:
+    return chunks if isinstance(chunks, Index) else Index(chunks)
+
+
+def sparse_scores(queries: DataFrame, chunks: DataFrame | Index) -> DataFrame:
+    """query_id, kb_type, chunk_id, score. Document frequencies are of a kind's chunks of all tenants; a query's kb_type, if it has one, narrows.
+
+    The queries' terms are written first: where they are few, as their size
+    then tells, they go to the postings and not the other way round.
+    """
+    index, asked = _index(chunks), _asked(queries)
     asked = asked.select("query_id", "query", "tenant_id", (F.col("kb_type") if "kb_type" in queries.columns else F.lit(None).cast("string")).alias("want"))
-    terms = postings(asked, "query_id", "tenant_id", "want", text="query").withColumnRenamed("weight", "qw")
-    met = terms.join(found, ["token", "tenant_id"]).where("want is null or want = kb_type").join(idf, ["kb_type", "token"])
-    return met.groupBy("query_id", "kb_type", "chunk_id").agg(F.sum(F.col("qw") * F.col("weight") * F.col("idf")).alias("score"))
+    terms = kept(postings(asked, "query_id", "tenant_id", "want", text="query").withColumnRenamed("weight", "qw"), "terms")
+    weighed = kept(index.idf.join(terms, "token").select("query_id", "tenant_id", "want", "token", "kb_type", (F.col("qw") * F.col("idf")).alias("qw")), "weighed")
+    met = index.postings.join(weighed.where("want is null or want = kb_type"), ["token", "tenant_id", "kb_type"])
+    return met.groupBy("query_id", "kb_type", "chunk_id").agg(F.sum(F.col("qw") * F.col("weight")).alias("score"))
+
+
+def place_of(token: Column, dimensions: int) -> Column:
+    """A token's place in a hashed vector: the leading 32 bits of its MD5, by ``dimensions``."""
+    return (F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("long") % dimensions).cast("int")
 
 
 def hashed_vectors(rows: DataFrame, *keys: str, text: str = "text", dimensions: int = DIMENSIONS) -> DataFrame:
     """keys, dim, x: token counts in hashed places, 1 + ln(count), to length one. Empty texts have no rows."""
     each = rows.select(*keys, F.explode(tokens(F.col(text))).alias("token"))
-    counts = each.groupBy(*keys, F.pmod(F.xxhash64("token"), F.lit(dimensions)).alias("dim")).agg((1 + F.log(F.count("*"))).alias("x"))
+    counts = each.groupBy(*keys, place_of(F.col("token"), dimensions).alias("dim")).agg((1 + F.log(F.count("*"))).alias("x"))
     norms = counts.groupBy(*keys).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     return counts.join(norms, list(keys)).select(*keys, "dim", (F.col("x") / F.col("norm")).alias("x"))
 
 
-def hashed_dense_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+def hashed_dense_scores(queries: DataFrame, chunks: DataFrame | Index) -> DataFrame:
     """query_id, kb_type, chunk_id, score: cosine of hashed vectors, met by place."""
-    q = hashed_vectors(_asked(queries), "query_id", "tenant_id", text="query").withColumnRenamed("x", "qx")
-    c = hashed_vectors(chunks, "chunk_id", "tenant_id", "kb_type")
-    return q.join(c, ["dim", "tenant_id"]).groupBy("query_id", "kb_type", "chunk_id").agg(F.sum(F.col("qx") * F.col("x")).alias("score"))
+    q = kept(hashed_vectors(_asked(queries), "query_id", "tenant_id", text="query").withColumnRenamed("x", "qx"), "asked")
+    return _index(chunks).vectors.join(q, ["dim", "tenant_id"]).groupBy("query_id", "kb_type", "chunk_id").agg(F.sum(F.col("qx") * F.col("x")).alias("score"))
 
 
 def fused(rankings: list[DataFrame], k: int = RRF_K) -> DataFrame:
@@ -94,7 +126,7 @@ def fused(rankings: list[DataFrame], k: int = RRF_K) -> DataFrame:
     every = rankings[0].select("query_id", "chunk_id", "rank")
     for r in rankings[1:]:
         every = every.unionByName(r.select("query_id", "chunk_id", "rank"))
-    return every.groupBy("query_id", "chunk_id").agg(F.sum(1 / (F.lit(float(k)) + F.col("rank"))).alias("fused"))
+    return every.groupBy("query_id", "chunk_id").agg(F.round(F.sum(1 / (F.lit(float(k)) + F.col("rank"))), 12).alias("fused"))
 
 
 def lexical_score(query: Column, text: Column) -> Column:
@@ -104,32 +136,101 @@ def lexical_score(query: Column, text: Column) -> Column:
     return F.coalesce(F.round(total(F.array_intersect(asked, tokens(text))) / F.nullif(total(asked), F.lit(0.0)), 4), F.lit(0.0))
 
 
-def search(queries: DataFrame, chunks: DataFrame, top_k: int = 5, mode: str = "hybrid", rerank: bool = True) -> DataFrame:
+MODES = ("dense", "sparse", "hybrid")
+
+
+def channels(queries: DataFrame, chunks: DataFrame | Index, top_k: int = 5, modes: tuple[str, ...] = ("dense", "sparse")) -> dict[str, DataFrame]:
+    """The best of each channel (query_id, kb_type, chunk_id, score, rank), written: six times top_k (20 at least) of each kind."""
+    index, limit = _index(chunks), max(20, 6 * top_k)
+    scores = {"dense": hashed_dense_scores, "sparse": sparse_scores}
+    return {m: kept(_best(scores[m](queries, index), limit), m) for m in modes}
+
+
+def search(queries: DataFrame, chunks: DataFrame | Index, top_k: int = 5, mode: str = "hybrid", rerank: bool = True, found: dict[str, DataFrame] | None = None) -> DataFrame:
     """query_id, rank, chunk_id, doc_id, kb_type, score, rrf_score, lexical_score, source for queries (query_id, query, tenant_id).
 
     Each kind is asked for six times top_k (20 at least), each channel is
     ranked over all kinds, ranks are fused, and of the 30 best the order by
-    fused score and lexical share decides.
+    fused score and lexical share decides. ``found`` may hold the channels.
     """
-    if mode not in ("dense", "sparse", "hybrid"):
+    if mode not in MODES:
         raise ValueError(f"no such mode: {mode}")
-    limit = max(20, 6 * top_k)
-    dense = _best(hashed_dense_scores(queries, chunks), limit) if mode != "sparse" else None
-    sparse = _best(sparse_scores(queries, chunks), limit) if mode != "dense" else None
+    index = _index(chunks)
+    found = found or channels(queries, index, top_k, MODES[:2] if mode == "hybrid" else (mode,))
     if mode == "hybrid":
-        both = fused([dense, sparse])
-        source = dense.select("query_id", "chunk_id", F.lit(True).alias("d"))
+        both = fused([found["dense"], found["sparse"]])
+        source = found["dense"].select("query_id", "chunk_id", F.lit(True).alias("d"))
         both = both.join(source, ["query_id", "chunk_id"], "left").select("query_id", "chunk_id", "fused", F.when(F.col("d"), "dense").otherwise("sparse").alias("source"))
     else:
-        both = (dense if mode == "dense" else sparse).select("query_id", "chunk_id", F.col("score").alias("fused"), F.lit(mode).alias("source"))
+        both = found[mode].select("query_id", "chunk_id", F.col("score").alias("fused"), F.lit(mode).alias("source"))
     pool = both.withColumn("k", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("fused"), "chunk_id"))).where(F.col("k") <= POOL)
     pool = pool.withColumn("most", F.max("fused").over(W.partitionBy("query_id")))
-    met = pool.join(queries.select("query_id", "query"), "query_id").join(chunks.select("chunk_id", "doc_id", "kb_type", "chunk_ix", "text"), "chunk_id")
+    met = pool.join(queries.select("query_id", "query"), "query_id").join(index.chunks.select("chunk_id", "doc_id", "kb_type", "chunk_ix", "text"), "chunk_id")
     share = F.when(F.col("most") > 0, F.col("fused") / F.col("most")).otherwise(0.0)
     lexical = lexical_score(F.col("query"), F.col("text")) if rerank else F.lit(0.0)
-    scored = met.withColumn("lexical_score", lexical).withColumn("final", WEIGHT_FUSED * share + WEIGHT_LEXICAL * F.col("lexical_score") if rerank else share)
+    final = WEIGHT_FUSED * share + WEIGHT_LEXICAL * F.col("lexical_score") if rerank else share
+    scored = met.withColumn("lexical_score", lexical).withColumn("final", F.round(final, 9))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("final"), "k"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= top_k).select("query_id", "rank", "chunk_id", "doc_id", "kb_type", "chunk_ix", "text", F.round("final", 6).alias("score"), F.round("fused", 6).alias("rrf_score"), "lexical_score", "source")
+    top = scored.withColumn("rank", rank).where(F.col("rank") <= top_k)
+    columns = ("query_id", "rank", "chunk_id", "doc_id", "kb_type", "chunk_ix", "text")
+    return top.select(*columns, F.round("final", 6).alias("score"), F.round("fused", 6).alias("rrf_score"), "lexical_score", "source")
+
+
+def evaluated(queries: DataFrame, chunks: DataFrame | Index, truth: DataFrame, top_k: int = 5, modes: tuple[str, ...] = MODES, rerank: tuple[bool, ...] = (False, True)) -> DataFrame:
+    """A row per mode and reranking: mode, rerank, queries, recall_at_k, mrr, and best: the greatest recall, then mrr, then the first by name."""
+    index, out = _index(chunks), None
+    found = channels(queries, index, top_k, MODES[:2] if "hybrid" in modes else modes)
+    truth = kept(truth, "truth")
+    for mode in modes:
+        for again in rerank:
+            one = recall(search(queries, index, top_k, mode, again, found), truth).select(F.lit(mode).alias("mode"), F.lit(again).alias("rerank"), "*")
+            out = one if out is None else out.unionByName(one)
+    return with_best(out, "mode", "rerank")
+
+
+def with_best(rows: DataFrame, *names: str) -> DataFrame:
+    """Adds best to a few rows of recall_at_k and mrr: whether it is the one of the greatest recall, then mrr, then the first by ``names``."""
+    # One window over a row for each configuration.
+    order = W.orderBy(F.desc("recall_at_k"), F.desc("mrr"), *names)
+    return rows.withColumn("best", F.row_number().over(order) == 1)
+
+
+def compared_chunking(docs: DataFrame, queries: DataFrame, truth: DataFrame, top_k: int = 5, strategies: tuple[str, ...] = STRATEGIES) -> DataFrame:
+    """A row per strategy: strategy, chunks, mean_chars, queries, recall_at_k, mrr and best, by hybrid search with reranking."""
+    out = None
+    for strategy in strategies:
+        index = Index(chunked(docs, strategy))
+        size = index.chunks.agg(F.count("*").alias("chunks"), F.round(F.avg("char_len"), 4).alias("mean_chars"))
+        # Each is one row.
+        one = size.crossJoin(recall(search(queries, index, top_k), truth)).select(F.lit(strategy).alias("strategy"), "*")
+        out = one if out is None else out.unionByName(one)
+    return with_best(out, "strategy")
+
+
+#: Numbered documents and brands that a text may name.
+ENTITY_IDS = r"\b((?:POLICY|SOP|FAQ)-\d+)\b"
+BRANDS = r"\b(NOVA|AURORA|LUMEN|VERDE)\b"
+
+
+def entity_seeds(hits: DataFrame, enough: int = 3) -> DataFrame:
+    """query_id, place, seed: what the hits (query_id, rank, text) name, each once, hit by hit until there are ``enough`` or more."""
+    names = F.concat(*(F.regexp_extract_all("text", F.lit(p), F.lit(1)) for p in (ENTITY_IDS, BRANDS)))
+    each = hits.select("query_id", "rank", F.posexplode(names).alias("at", "seed"))
+    first = each.groupBy("query_id", "seed").agg(F.min(F.struct("rank", "at")).alias("f")).select("query_id", "seed", "f.*")
+    before = F.count("*").over(W.partitionBy("query_id").orderBy("rank").rangeBetween(W.unboundedPreceding, -1))
+    taken = first.withColumn("before", before).where(F.col("before") < enough)
+    return taken.select("query_id", F.row_number().over(W.partitionBy("query_id").orderBy("rank", "at")).alias("place"), "seed")
+
+
+def entity_hop(queries: DataFrame, hits: DataFrame, chunks: DataFrame | Index, top_k: int = 3) -> DataFrame:
+    """query_id, seed, chunk_id, score: what searching for the names in the hits finds in the query's tenant beyond the hits, each chunk by its first seed."""
+    seeds = kept(entity_seeds(hits).join(queries.select("query_id", "tenant_id"), "query_id"), "seeds")
+    asked = seeds.select(F.concat_ws("|", "query_id", "place").alias("query_id"), F.col("seed").alias("query"), "tenant_id")
+    found = search(asked, chunks, top_k).select(F.col("query_id").alias("part"), "rank", "chunk_id", "score")
+    met = found.join(seeds.select(F.concat_ws("|", "query_id", "place").alias("part"), "query_id", "place", "seed"), "part")
+    new = met.join(hits.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+    once = new.groupBy("query_id", "chunk_id").agg(F.min(F.struct("place", "rank", "seed", "score")).alias("f"))
+    return once.select("query_id", "f.seed", "chunk_id", "f.score")
 
 
 def recall(hits: DataFrame, truth: DataFrame) -> DataFrame:
@@ -148,20 +249,33 @@ def neighbours(hits: DataFrame, chunks: DataFrame, documents: int = 4) -> DataFr
     return found.join(hits.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
 
 
-def nearest_vectors(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
+#: Queries up to which nearest_vectors sends them to all vectors: 40 MB of 512 doubles each.
+FEW = 10_000
+
+
+def nearest_vectors(queries: DataFrame, vectors: DataFrame, k: int = 5, few: int = FEW) -> DataFrame:
     """query_id, rank, vec_id, score: the k vectors of the query's tenant with the greatest cosine, itself left out.
 
-    ``queries`` (query_id, tenant_id, q) may be any table: it is met by tenant,
-    and broadcast only where it is small.
+    ``queries`` (query_id, tenant_id, q) are counted: up to ``few`` go to the
+    vectors, more are dealt with them, by tenant and a salt of the vectors. Each
+    task keeps the k best of a query before they meet.
     """
     norm = lambda x: F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v))
-    unit = lambda x: F.transform(x.cast("array<double>"), lambda v: v)
-    q = queries.select("query_id", "tenant_id", unit(F.col("q")).alias("q")).withColumn("qn", norm(F.col("q")))
-    v = vectors.select("vec_id", "tenant_id", unit(F.col("embedding")).alias("v")).withColumn("vn", norm(F.col("v")))
+    q = kept(queries.select("query_id", "tenant_id", F.col("q").cast("array<double>").alias("q")), "asked").withColumn("qn", norm(F.col("q")))
+    v = vectors.select("vec_id", "tenant_id", F.col("embedding").cast("array<double>").alias("v")).withColumn("vn", norm(F.col("v")))
     dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    met = v.join(q, "tenant_id").where("vec_id <> query_id").select("query_id", "vec_id", (dot / F.nullif(F.col("qn") * F.col("vn"), F.lit(0.0))).alias("score")).where("score is not null")
+    salts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salt = F.pmod(F.xxhash64("vec_id"), F.lit(salts)).cast("int")
+    if q.count() <= few:
+        met = v.join(F.broadcast(q), "tenant_id")
+    else:
+        met = v.withColumn("salt", salt).join(q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["tenant_id", "salt"])
+    score = F.round(dot / F.nullif(F.col("qn") * F.col("vn"), F.lit(0.0)), 12)
+    scored = met.where("vec_id <> query_id").select("query_id", "vec_id", score.alias("score"), salt.alias("salt")).where("score is not null")
+    # The window by salt first: a query's best among all vectors are among the best of each salt.
+    part = F.row_number().over(W.partitionBy("query_id", "salt").orderBy(F.desc("score"), "vec_id"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return met.withColumn("rank", rank).where(F.col("rank") <= k)
+    return scored.withColumn("part", part).where(F.col("part") <= k).drop("part", "salt").withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 class VectorStore:

@@ -22,8 +22,19 @@ def _query(name: str, sql: str | None):
     return add
 
 
+_stored: dict[tuple[str, str, str], retrieval.Index] = {}
+
+
+def index(spark: SparkSession, sf_dir: str, strategy: str = "fixed") -> retrieval.Index:
+    """The knowledge base of a data folder as this application ingested it: chunks, postings and vectors, each written once and read by all queries."""
+    key = spark.sparkContext.applicationId, sf_dir, strategy
+    if key not in _stored:
+        _stored[key] = retrieval.Index(retrieval.chunked(Commerce(spark, sf_dir).kb_document(), strategy))
+    return _stored[key]
+
+
 def chunks(spark: SparkSession, sf_dir: str, strategy: str = "fixed") -> DataFrame:
-    return retrieval.chunked(Commerce(spark, sf_dir).kb_document(), strategy)
+    return index(spark, sf_dir, strategy).chunks
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,24 +57,90 @@ post AS (SELECT chunk_id, tenant_id, kb_type, token, round(1 + ln(count(*)), 6)
 q AS (SELECT item_id AS query_id, 'T' || (item_id % 5) AS tenant_id, text AS query FROM benchmark),
 qpost AS (SELECT query_id, tenant_id, token, round(1 + ln(count(*)), 6) AS qw FROM (SELECT query_id, tenant_id, unnest(list_transform(regexp_extract_all(query, '[a-zA-Z0-9]+'), lambda x: lower(x))) AS token FROM q) p GROUP BY ALL),
 idf AS (SELECT kb_type, token, ln(1 + n / (1 + count(*))) AS idf FROM post JOIN (SELECT kb_type, count(*) AS n FROM kb_chunk GROUP BY 1) c USING (kb_type) GROUP BY kb_type, token, n),
-sparse AS (SELECT query_id, kb_type, chunk_id, sum(qw * w * idf) AS score FROM qpost JOIN post USING (token, tenant_id) JOIN idf USING (kb_type, token) GROUP BY ALL),
+sparse AS (SELECT query_id, kb_type, chunk_id, round(sum(qw * idf * w), 9) AS score FROM qpost JOIN post USING (token, tenant_id) JOIN idf USING (kb_type, token) GROUP BY ALL),
 per_kind AS (SELECT *, row_number() OVER (PARTITION BY query_id, kb_type ORDER BY score DESC, chunk_id) AS k FROM sparse),
-sparse_rank AS (SELECT query_id, kb_type, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM per_kind WHERE k <= 30)
+sparse_rank AS (SELECT query_id, kb_type, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM per_kind WHERE k <= 30),
+cplace AS (SELECT chunk_id, tenant_id, kb_type, ('0x' || left(md5(token), 8))::BIGINT % 1024 AS dim, 1 + ln(count(*)) AS x FROM (SELECT chunk_id, tenant_id, kb_type, unnest(list_transform(regexp_extract_all(text, '[a-zA-Z0-9]+'), lambda x: lower(x))) AS token FROM kb_chunk) p GROUP BY ALL),
+cvec AS (SELECT p.*, x / norm AS v FROM cplace p JOIN (SELECT chunk_id, sqrt(sum(x * x)) AS norm FROM cplace GROUP BY 1) n USING (chunk_id)),
+qplace AS (SELECT query_id, tenant_id, ('0x' || left(md5(token), 8))::BIGINT % 1024 AS dim, 1 + ln(count(*)) AS x FROM (SELECT query_id, tenant_id, unnest(list_transform(regexp_extract_all(query, '[a-zA-Z0-9]+'), lambda x: lower(x))) AS token FROM q) p GROUP BY ALL),
+qvec AS (SELECT p.*, x / norm AS v FROM qplace p JOIN (SELECT query_id, sqrt(sum(x * x)) AS norm FROM qplace GROUP BY 1) n USING (query_id)),
+dense AS (SELECT query_id, kb_type, chunk_id, round(sum(a.v * b.v), 9) AS score FROM qvec a JOIN cvec b USING (dim, tenant_id) GROUP BY ALL),
+dense_kind AS (SELECT *, row_number() OVER (PARTITION BY query_id, kb_type ORDER BY score DESC, chunk_id) AS k FROM dense),
+dense_rank AS (SELECT query_id, kb_type, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM dense_kind WHERE k <= 30),
+hybrid_rank AS (
+  SELECT query_id, chunk_id, round(sum(1 / (60.0::DOUBLE + rank)), 12) AS score, max(d) AS dense FROM (SELECT query_id, chunk_id, rank, TRUE AS d FROM dense_rank UNION ALL SELECT query_id, chunk_id, rank, FALSE FROM sparse_rank) r GROUP BY ALL
+),
+qtok AS (SELECT query_id, list_distinct(list_transform(regexp_extract_all(query, '[a-zA-Z0-9]+'), lambda x: lower(x))) AS toks FROM q),
+truth AS (SELECT DISTINCT query_id, doc_id FROM q JOIN kb_document d ON d.tenant_id = q.tenant_id AND contains(content, query))
 """
 )
 
 
+def _ranked_sql(mode: str, rerank: bool, name: str) -> str:
+    """A common table of the five best of a mode, with the columns of a search."""
+    source = f"'{mode}'" if mode != "hybrid" else "CASE WHEN dense THEN 'dense' ELSE 'sparse' END"
+    lexical = "coalesce(round(list_sum(list_transform(list_intersect(toks, list_transform(regexp_extract_all(text, '[a-zA-Z0-9]+'), lambda x: lower(x))), lambda x: 1.6::DOUBLE)) / list_sum(list_transform(toks, lambda x: 1.6::DOUBLE)), 4), 0)" if rerank else "0.0::DOUBLE"
+    share = "CASE WHEN most > 0 THEN fused / most ELSE 0 END"
+    final = f"0.55::DOUBLE * ({share}) + 0.45::DOUBLE * lexical" if rerank else share
+    return f"""{name}_pool AS (SELECT *, max(fused) OVER (PARTITION BY query_id) AS most FROM (SELECT query_id, chunk_id, score AS fused, {source} AS source, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS k FROM {mode}_rank) p WHERE k <= 30),
+{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, k) AS rank FROM (SELECT *, round({final}, 9) AS final FROM (SELECT p.*, c.doc_id, c.kb_type, c.chunk_ix, c.text, {lexical} AS lexical FROM {name}_pool p JOIN kb_chunk c USING (chunk_id) JOIN qtok USING (query_id)) a) b) c WHERE rank <= 5)"""
+
+
+_HITS = _CHUNKS.rstrip() + ",\n" + _ranked_sql("hybrid", True, "hits") + "\n"
+
+
+def _recall_sql(found: str) -> str:
+    return f"SELECT count(*) AS queries, round(avg((rank IS NOT NULL)::INT), 4) AS recall_at_k, round(avg(coalesce(1 / rank, 0)), 4) AS mrr FROM (SELECT DISTINCT query_id FROM truth) t LEFT JOIN (SELECT query_id, min(rank) AS rank FROM {found} JOIN truth USING (query_id, doc_id) GROUP BY 1) b USING (query_id)"
+
+
+def _cut_sql(most: str, prefix: str) -> str:
+    """Chunks of whole sentences, by one step for each part of a document."""
+    return (
+        "WITH RECURSIVE "
+        + SQL.strip()
+        + f""",
+sized AS (SELECT doc_id, doc_no, tenant_id, kb_type, coalesce(content, '') AS t, {prefix} AS prefix FROM kb_document),
+sentence AS (
+  SELECT doc_no, {most} AS most, i, trim(CASE WHEN i > 1 THEN regexp_replace(s, '^\\s+', '') ELSE s END, ' ') AS s
+  FROM (SELECT doc_no, prefix, unnest(regexp_extract_all(t, '[^。！？；!?;]*[。！？；!?;]|[^。！？；!?;]+')) AS s, generate_subscripts(regexp_extract_all(t, '[^。！？；!?;]*[。！？；!?;]|[^。！？；!?;]+'), 1) AS i FROM sized) x
+),
+part AS (
+  SELECT doc_no, most, row_number() OVER (PARTITION BY doc_no ORDER BY i, k) AS p, substring(s, k * most + 1, most) AS s, length(s) > (k + 1) * most AS hard
+  FROM (SELECT *, unnest(range(0, CAST(floor((length(s) - 1) / most) AS BIGINT) + 1)) AS k FROM sentence WHERE s <> '') y
+),
+fold(doc_no, p, buf, made) AS (
+  SELECT doc_no, 0::BIGINT, '', []::VARCHAR[] FROM sized
+  UNION ALL SELECT f.doc_no, f.p + 1, CASE WHEN hard THEN '' WHEN length(buf) + length(s) <= most THEN buf || s ELSE s END,
+    CASE WHEN hard AND buf <> '' THEN [buf, s] WHEN hard THEN [s] WHEN length(buf) + length(s) <= most OR buf = '' THEN []::VARCHAR[] ELSE [buf] END
+  FROM fold f JOIN part ON part.doc_no = f.doc_no AND part.p = f.p + 1
+),
+made AS (
+  SELECT doc_no, p, unnest(made) AS c, generate_subscripts(made, 1) AS k FROM fold
+  UNION ALL SELECT doc_no, p + 1, buf, 1 FROM (SELECT *, row_number() OVER (PARTITION BY doc_no ORDER BY p DESC) AS back FROM fold) z WHERE back = 1
+),
+pieces AS (
+  SELECT doc_id, doc_no, tenant_id, kb_type, row_number() OVER (PARTITION BY doc_no ORDER BY p, k) - 1 AS chunk_ix, prefix || trim(c, ' ') AS text FROM made JOIN sized USING (doc_no) WHERE trim(c, ' ') <> ''
+)
+SELECT printf('%s#%03d', doc_id, chunk_ix) AS chunk_id, doc_id, tenant_id, kb_type, chunk_ix::INTEGER AS chunk_ix, text, length(text)::INTEGER AS char_len, left(sha1(text), 16) AS content_hash
+FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, kb_type, text ORDER BY doc_no, chunk_ix) AS rn FROM pieces) y WHERE rn = 1"""
+    )
+
+
+_SEMANTIC_SQL = _cut_sql("220", "''")
+_HIERARCHICAL_SQL = _cut_sql("greatest(60, 220 - length(prefix))", "CASE WHEN coalesce(title, '') = '' THEN '' ELSE '【' || title || '】' END")
+
+
 @_query("kb_chunks", _CHUNKS + "SELECT * FROM kb_chunk")
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks(spark, sf_dir)
 
 
-@_query("kb_chunks_semantic", None)
+@_query("kb_chunks_semantic", _SEMANTIC_SQL)
 def _semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks(spark, sf_dir, "semantic")
 
 
-@_query("kb_chunks_hierarchical", None)
+@_query("kb_chunks_hierarchical", _HIERARCHICAL_SQL)
 def _hierarchical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks(spark, sf_dir, "hierarchical")
 
@@ -81,47 +158,96 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("kb_sparse_search", _CHUNKS + "SELECT query_id, rank, chunk_id, round(score, 4) AS score FROM sparse_rank WHERE rank <= 5")
 def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = retrieval._best(retrieval.sparse_scores(asked(spark, sf_dir), chunks(spark, sf_dir)), 30)
+    found = retrieval.channels(asked(spark, sf_dir), index(spark, sf_dir), modes=("sparse",))["sparse"]
     return found.where("rank <= 5").select("query_id", "rank", "chunk_id", F.round("score", 4).alias("score"))
 
 
-@_query("kb_hybrid_search", None)
+_SEARCHED = "query_id, rank, chunk_id, doc_id, kb_type, chunk_ix, text, round(final, 6) AS score, round(fused, 6) AS rrf_score, lexical AS lexical_score, source"
+
+
+@_query("kb_hybrid_search", _HITS + f"SELECT {_SEARCHED} FROM hits")
 def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.search(asked(spark, sf_dir), chunks(spark, sf_dir))
+    return retrieval.search(asked(spark, sf_dir), index(spark, sf_dir))
 
 
 def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of the query's tenant that hold the whole passage."""
     docs = Commerce(spark, sf_dir).kb_document().select("doc_id", "tenant_id", "content")
-    return asked(spark, sf_dir).join(docs, "tenant_id").where(F.expr("contains(content, query)")).select("query_id", "doc_id")
-
-
-@_query("kb_recall_sparse", _CHUNKS + """, truth AS (SELECT query_id, doc_id FROM q JOIN kb_document d ON d.tenant_id = q.tenant_id AND contains(content, query)),
-best AS (SELECT query_id, min(rank) AS rank FROM sparse_rank JOIN kb_chunk USING (chunk_id) JOIN truth USING (query_id, doc_id) WHERE rank <= 5 GROUP BY 1)
-SELECT count(*) AS queries, round(avg((rank IS NOT NULL)::INT), 4) AS recall_at_k, round(avg(coalesce(1 / rank, 0)), 4) AS mrr FROM (SELECT DISTINCT query_id FROM truth) t LEFT JOIN best USING (query_id)""")
+    # A passage is looked for only where its first five words are those of a window of the document.
+    first = lambda x: F.array_join(F.slice(x, 1, 5), " ")
+    words = lambda c: F.split(c, " ")
+    wanted = asked(spark, sf_dir).select("query_id", "tenant_id", "query", words(F.col("query")).alias("w")).where("query <> ''")
+    long, short = wanted.where(F.size("w") >= 7), wanted.where(F.size("w") < 7)
+    # The first and the last word may be the end and the beginning of longer ones.
+    keys = long.select("query_id", "tenant_id", "query", first(F.slice(F.col("w"), 2, 5)).alias("key"))
+    w = words(F.col("content"))
+    windows = docs.select("doc_id", "tenant_id", "content", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 4, F.lit(1))), lambda k: F.array_join(F.slice(w, k, 5), " ")))).alias("key"))
+    met = windows.join(keys, ["tenant_id", "key"])
+    rest = docs.join(short, "tenant_id")
+    both = met.select("query_id", "doc_id", "content", "query").unionByName(rest.select("query_id", "doc_id", "content", "query"))
+    return both.where(F.expr("contains(content, query)")).select("query_id", "doc_id").distinct()
+
+
+@_query("kb_recall_sparse", _CHUNKS.rstrip() + ", found AS (SELECT query_id, rank, doc_id FROM sparse_rank JOIN kb_chunk USING (chunk_id) WHERE rank <= 5) " + _recall_sql("found"))
 def _recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chunks(spark, sf_dir)
-    found = retrieval._best(retrieval.sparse_scores(asked(spark, sf_dir), rows), 30).where("rank <= 5").join(rows.select("chunk_id", "doc_id"), "chunk_id")
-    return retrieval.recall(found, _truth(spark, sf_dir))
+    known = index(spark, sf_dir)
+    found = retrieval.channels(asked(spark, sf_dir), known, modes=("sparse",))["sparse"].where("rank <= 5")
+    return retrieval.recall(found.join(known.chunks.select("chunk_id", "doc_id"), "chunk_id"), _truth(spark, sf_dir))
 
 
-@_query("kb_recall_hybrid", None)
+@_query("kb_recall_hybrid", _HITS + _recall_sql("hits"))
 def _recall_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.recall(_hybrid(spark, sf_dir), _truth(spark, sf_dir))
 
 
+_GRID = [(m, r, f"{m}_{'reranked' if r else 'plain'}") for m in retrieval.MODES for r in (False, True)]
+_GRID_SQL = _CHUNKS.rstrip() + "".join(",\n" + _ranked_sql(*g) for g in _GRID) + ", grid AS (" + " UNION ALL ".join(f"SELECT '{m}' AS mode, {r} AS rerank, * FROM ({_recall_sql(n)}) x" for m, r, n in _GRID) + ") SELECT *, row_number() OVER (ORDER BY recall_at_k DESC, mrr DESC, mode, rerank) = 1 AS best FROM grid"
+
+
+@_query("kb_evaluation", _GRID_SQL)
+def _evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall and reciprocal rank of each mode with and without reranking, and which configuration is best."""
+    return retrieval.evaluated(asked(spark, sf_dir), index(spark, sf_dir), _truth(spark, sf_dir))
+
+
+@_query("kb_chunking_comparison", None)
+def _chunking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for each way of cutting chunks."""
+    return retrieval.compared_chunking(Commerce(spark, sf_dir).kb_document(), asked(spark, sf_dir), kept(_truth(spark, sf_dir), "truth"))
+
+
+_ENTITIES = _HITS.rstrip() + """,
+named AS (SELECT query_id, rank, unnest(list_concat(regexp_extract_all(text, '\\b((?:POLICY|SOP|FAQ)-\\d+)\\b', 1), regexp_extract_all(text, '\\b(NOVA|AURORA|LUMEN|VERDE)\\b', 1))) AS seed,
+  generate_subscripts(list_concat(regexp_extract_all(text, '\\b((?:POLICY|SOP|FAQ)-\\d+)\\b', 1), regexp_extract_all(text, '\\b(NOVA|AURORA|LUMEN|VERDE)\\b', 1)), 1) AS place FROM hits),
+firsts AS (SELECT query_id, seed, min([rank, place]) AS f FROM named GROUP BY ALL),
+counted AS (SELECT *, count(*) OVER (PARTITION BY query_id ORDER BY f[1] RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM firsts)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY f[1], f[2]))::INTEGER AS place, seed FROM counted WHERE before < 3"""
+
+
+@_query("entity_seeds", _ENTITIES)
+def _seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the hits of each passage name: the questions of a second hop."""
+    return retrieval.entity_seeds(_hybrid(spark, sf_dir))
+
+
+@_query("entity_hop", None)
+def _hop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a second search for the names in the hits adds."""
+    return retrieval.entity_hop(asked(spark, sf_dir), _hybrid(spark, sf_dir), index(spark, sf_dir))
+
+
 @_query("kb_neighbours", _CHUNKS + """, hits AS (SELECT query_id, rank, chunk_id, doc_id, chunk_ix FROM sparse_rank JOIN kb_chunk USING (chunk_id) WHERE rank <= 5),
 best AS (SELECT query_id, doc_id, min(rank) AS rank, arg_min(chunk_ix, rank) AS ix FROM hits GROUP BY ALL), four AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS k FROM best)
 SELECT DISTINCT query_id, c.chunk_id FROM four JOIN kb_chunk c ON c.doc_id = four.doc_id AND abs(c.chunk_ix - ix) = 1 WHERE k <= 4 AND (query_id, c.chunk_id) NOT IN (SELECT (query_id, chunk_id) FROM hits)""")
 def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chunks(spark, sf_dir)
-    found = retrieval._best(retrieval.sparse_scores(asked(spark, sf_dir), rows), 30).where("rank <= 5").join(rows.select("chunk_id", "doc_id", "chunk_ix"), "chunk_id")
-    return retrieval.neighbours(found, rows).distinct()
+    known = index(spark, sf_dir)
+    found = retrieval.channels(asked(spark, sf_dir), known, modes=("sparse",))["sparse"].where("rank <= 5")
+    return retrieval.neighbours(found.join(known.chunks.select("chunk_id", "doc_id", "chunk_ix"), "chunk_id"), known.chunks).distinct()
 
 
 @_query("vector_search", """WITH v AS (SELECT vec_id, label % 5 AS tenant, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings),
 s AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e) / (q.n * v.n) AS score FROM v q JOIN v ON q.tenant = v.tenant AND q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0)
-SELECT query_id, rank, vec_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) r WHERE rank <= 5""")
+SELECT query_id, rank, vec_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, vec_id) AS rank FROM s) r WHERE rank <= 5""")
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors of its tenant for each vector whose id is a multiple of twenty."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % 5).alias("tenant_id"), "embedding")
@@ -134,42 +260,89 @@ def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return questions.last_turns(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "role", "place")
 
 
-#: Questions for the planner, each with the one before it.
-QUESTIONS = (
-    (1, "退款率最近怎么样", None),
-    (2, "那上个月呢", "退款率最近怎么样"),
-    (3, "不想要了怎么办", None),
-    (4, "支付GMV是多少？另外退货政策是什么", None),
-    (5, "快递什么时候到", "支付GMV"),
-    (6, "你好", None),
-)
+def _cases(text: str, terms, fold: bool = False) -> str:
+    """SQL for the values whose term a text holds, in order, as a list."""
+    holds = lambda t: f"contains({text}, '{t}')" + (f" OR contains(lower({text}), '{t}')" if fold else "")
+    return "list_filter([" + ", ".join(f"CASE WHEN {holds(t)} THEN '{v}' END" for t, v in terms) + "], lambda x: x IS NOT NULL)"
+
+
+def _replaced(text: str, words, by: str) -> str:
+    for w in words:
+        text = f"replace({text}, '{w}', {by})"
+    return text
 
 
-@_query("question_plan", """SELECT * FROM (VALUES (1, 0, '退款率最近怎么样', 'metric', NULL, 'REFUND_RATE'), (2, 0, '那上个月呢 退款率最近怎么样', 'metric', NULL, 'REFUND_RATE'), (3, 0, '不想要了怎么办', 'knowledge', NULL, ''), (4, 0, '支付GMV是多少', 'metric', NULL, 'GMV_PAID'),
- (4, 1, '退货政策是什么', 'knowledge', 'policy', ''), (5, 0, '快递什么时候到', 'knowledge', 'cs_faq', ''), (6, 0, '你好', 'knowledge', NULL, '')) v(query_id, part, text, intent, kb_type, codes)""")
+_ASKED_SQL = "asked AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM conversations WHERE role = 'user')"
+_BACK = " OR ".join([f"contains(trim(text, ' '), '{t}')" for t in questions.TEMPORAL_TERMS] + [f"starts_with(trim(text, ' '), '{d}')" for d in questions.DEICTIC])
+_PLAN_SQL = f"""WITH {_ASKED_SQL},
+told AS (SELECT *, trim(text, ' ') AS t, coalesce(previous, '') AS before, trim({_replaced("coalesce(previous, '')", questions.TEMPORAL_TERMS, "''")}, ' 的呢吗？?，,') AS core, ({_BACK}) AS back FROM asked WHERE text IS NOT NULL),
+whole AS (SELECT conv_id, turn, CASE WHEN before = '' OR length(t) > 12 OR NOT back THEN text WHEN len({_cases("before", questions.METRIC_TERMS, True)}) > 0 AND core <> '' AND core <> t THEN t || ' ' || core
+  WHEN len({_cases("before", questions.DOMAIN_TERMS)}) > 0 THEN t || ' ' || {_cases("before", questions.DOMAIN_TERMS)}[1] ELSE text END AS q FROM told),
+cut AS (SELECT conv_id, turn, q, list_filter(list_transform(string_split({_replaced("q", questions.CONNECTORS, "chr(1)")}, chr(1)), lambda x: trim(x, ' ')), lambda x: length(x) >= 2) AS good FROM whole),
+parts AS (SELECT conv_id, turn, unnest(CASE WHEN len(good) > 1 THEN good ELSE [q] END) AS text, generate_subscripts(CASE WHEN len(good) > 1 THEN good ELSE [q] END, 1) - 1 AS part FROM cut),
+named AS (SELECT *, {_cases("text", questions.METRIC_TERMS, True)} AS m, {_cases("text", questions.DOMAIN_TERMS)} AS d FROM parts)
+SELECT conv_id, turn, part::INTEGER AS part, text, CASE WHEN len(m) > 0 AND len(d) > 0 THEN 'hybrid' WHEN len(m) > 0 THEN 'metric' ELSE 'knowledge' END AS intent, d[1] AS kb_type, array_to_string(list_sort(list_distinct(m)), ',') AS codes FROM named"""
+
+
+def _turns_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user's turn with the one before it in its conversation."""
+    before = F.lag("text").over(W.partitionBy("conv_id").orderBy("turn"))
+    return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"), before.alias("previous"))
+
+
+@_query("question_plan", _PLAN_SQL)
 def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(list(QUESTIONS), "query_id int, question string, previous string")
-    return questions.planned(rows).select("query_id", "part", "text", "intent", "kb_type", F.array_join("metric_codes", ",").alias("codes"))
+    """The parts of every user's turn, with what they ask for."""
+    rows = _turns_asked(spark, sf_dir).select(F.struct("conv_id", "turn").alias("query_id"), "question", "previous").where("question is not null")
+    return questions.planned(rows).select("query_id.conv_id", "query_id.turn", "part", "text", "intent", "kb_type", F.array_join(F.array_sort("metric_codes"), ",").alias("codes"))
+
+
+_SYNONYM_CASES = ", ".join(f"CASE WHEN contains(text, '{t}') THEN '{s}' END" for t, s in questions.SYNONYMS)
 
 
-@_query("question_rewrite", "SELECT * FROM (VALUES (1, '退款率最近怎么样'), (2, '那上个月呢'), (3, '不想要了怎么办 无理由退货 退货政策'), (4, '支付GMV是多少？另外退货政策是什么'), (5, '快递什么时候到'), (6, '你好')) v(query_id, text)")
+@_query("question_rewrite", f"WITH {_ASKED_SQL}, words AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(array_to_string(list_filter([text, {_SYNONYM_CASES}], lambda x: x IS NOT NULL), ' '), '\\s+'), lambda x: x <> '') AS w FROM asked WHERE text IS NOT NULL) SELECT conv_id, turn, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i), ' ') AS text FROM words")
 def _rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([q[:2] for q in QUESTIONS], "query_id int, question string")
-    return rows.select("query_id", questions.rewritten(F.col("question"), F.lit(False), F.lit(None).cast("string")).alias("text"))
+    """Every user's turn in standard words."""
+    rows = _turns_asked(spark, sf_dir).where("question is not null")
+    return rows.select("conv_id", "turn", questions.rewritten(F.col("question"), F.lit(False), F.lit(None).cast("string")).alias("text"))
 
 
-@_query("retrieval_judged", None)
+_WEIGHT = "list_sum(list_transform({}, lambda t: CASE WHEN length(t) >= 2 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END))"
+_TOKENS = "list_transform(regexp_extract_all({}, '[a-zA-Z0-9]+'), lambda x: lower(x))"
+_JUDGED_SQL = _HITS.rstrip() + f""",
+per AS (SELECT query_id, count(*) AS n, avg(lexical) FILTER (WHERE rank <= 3) AS lex, list_distinct(flatten(list({_TOKENS.format("text")}) FILTER (WHERE rank <= 3))) AS seen FROM hits GROUP BY 1),
+raw AS (SELECT q.query_id, n, (0.5::DOUBLE * lex + 0.5::DOUBLE * coalesce({_WEIGHT.format("list_intersect(toks, seen)")} / {_WEIGHT.format("toks")}, 0)) * CASE WHEN n < 2 THEN 0.7::DOUBLE ELSE 1 END AS raw FROM q LEFT JOIN per USING (query_id) LEFT JOIN qtok USING (query_id))
+SELECT query_id, CASE WHEN n IS NULL THEN 0 ELSE round(least(raw, 1), 4) END AS score, CASE WHEN n IS NULL THEN 'no_hits' ELSE concat_ws(',', CASE WHEN n < 2 THEN 'few_results' END, CASE WHEN raw < 0.5 THEN 'low_coverage' END) END AS reasons FROM raw"""
+
+
+@_query("retrieval_judged", _JUDGED_SQL)
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = asked(spark, sf_dir).withColumn("kb_type", F.lit(None).cast("string"))
     return questions.judged(wanted, _hybrid(spark, sf_dir)).select("query_id", "score", F.array_join("reasons", ",").alias("reasons"))
 
 
-@_query("context_budget", None)
+#: Chunks of 200 characters are never compressed; a hit is taken while more than 200 of 400 tokens are left.
+_CONTEXT_SQL = _HITS.rstrip() + """,
+costs AS (SELECT query_id, chunk_id, round(final, 6) AS score, CAST(floor(length(text) / 4) + 1 AS INTEGER) AS cost FROM hits),
+runs AS (SELECT *, sum(cost) OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id ROWS UNBOUNDED PRECEDING)::INTEGER AS used FROM costs)
+SELECT query_id, chunk_id, score, cost, used, FALSE AS compressed FROM runs WHERE 400 - (used - cost) > 200"""
+
+
+@_query("context_budget", _CONTEXT_SQL)
 def _context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return questions.in_budget(_hybrid(spark, sf_dir), budget=400)
+    hits = _hybrid(spark, sf_dir).join(asked(spark, sf_dir).select("query_id", "query"), "query_id")
+    return questions.context(hits, budget=400).drop("text")
+
+
+_GROUNDED_SQL = _HITS.rstrip() + f""",
+cites AS (SELECT query_id, doc_id, chunk_ix FROM hits WHERE rank = 1 UNION ALL SELECT query_id, doc_id, -1 FROM hits WHERE rank = 1 AND query_id % 5 = 0),
+held AS (SELECT c.query_id, h.text, coalesce({_WEIGHT.format("list_intersect(toks, " + _TOKENS.format("h.text") + ")")} / {_WEIGHT.format("toks")}, 0) AS support FROM cites c JOIN qtok USING (query_id) LEFT JOIN hits h ON h.query_id = c.query_id AND h.doc_id = c.doc_id AND h.chunk_ix = c.chunk_ix),
+sums AS (SELECT query_id, count(*) AS citations, count(*) FILTER (WHERE text IS NULL) AS missing, avg(support) FILTER (WHERE text IS NOT NULL) AS s FROM held GROUP BY 1)
+SELECT query_id, coalesce(citations, 0) AS citations, coalesce(missing, 0) AS missing, round(coalesce(s, 0), 4) AS mean_support,
+  CASE WHEN citations IS NULL THEN 'high' WHEN missing > 0 THEN 'low' WHEN s >= 0.45 THEN 'high' WHEN s >= 0.25 THEN 'medium' ELSE 'low' END AS confidence FROM q LEFT JOIN sums USING (query_id)"""
 
 
-@_query("answer_grounding", None)
+@_query("answer_grounding", _GROUNDED_SQL)
 def _grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The passages themselves as answers, each citing its first hit and every fifth one a chunk that isn't among its hits."""
     hits = _hybrid(spark, sf_dir)
@@ -187,7 +360,8 @@ def _hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hourly(table(spark, sf_dir, "events"))
 
 
-@_query("event_sessions_gap", None)
+@_query("event_sessions_gap", """WITH e AS (SELECT user_id, event_id, ts, CASE WHEN ts > lag(ts) OVER w + INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS session FROM e) SELECT user_id, session, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM s GROUP BY ALL""")
 def _gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An extension: sessions of a user's events with gaps below 30 minutes."""
     last = F.lag("ts").over(W.partitionBy("user_id").orderBy("ts", "event_id"))
@@ -202,4 +376,4 @@ def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.operators.answers import answered
 
     wanted = asked(spark, sf_dir).select("query_id", F.col("query").alias("question"), F.lit(None).cast("string").alias("previous"), "tenant_id")
-    return answered(wanted, kept(chunks(spark, sf_dir), "chunks"))[1]
+    return answered(wanted, index(spark, sf_dir))[1]

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: Platforms by shop number modulo six.
 PLATFORMS = ("tmall", "jd", "douyin", "pdd", "xhs", "wechat_mini")
 SKUS = 200
+#: Days from events to service sessions: those of January 2024 come to March 1997, within the orders' years.
+SHIFT = 9802
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,12 +90,15 @@ class Commerce:
             F.concat(F.lit("CS"), k).alias("session_id"), "shop_id", "tenant_id", (F.col("user_id") % 3 != 0).alias("is_bot"),
             F.when(k % 200 == 9, F.lit(None)).when(k % 200 == 5, -value).otherwise(value).alias("first_response_sec"),
             F.when(k % 10 == 0, F.lit(None)).when(k % 150 == 4, 9).otherwise(1 + k % 5).cast("int").alias("satisfaction"),
-            (F.col("event_type") != "error").alias("resolved"), F.col("event_type").alias("intent_l1"), F.to_date("ts").alias("session_dt"), "copy_no",
+            (F.col("event_type") != "error").alias("resolved"), F.col("event_type").alias("intent_l1"), F.date_sub(F.to_date("ts"), SHIFT).alias("session_dt"), "copy_no",
         )
 
     def kb_document(self) -> DataFrame:
+        """Every third document names a numbered one at its beginning and a brand."""
         kind = F.element_at(F.array(*map(F.lit, ("cs_faq", "product", "policy", "sop"))), (F.col("doc_id") % 4 + 1).cast("int"))
-        return self._t("documents").select(F.concat(F.lit("D"), F.col("doc_id")).alias("doc_id"), F.concat(F.lit("T"), F.col("doc_id") % 5).alias("tenant_id"), kind.alias("kb_type"), F.col("source").alias("title"), F.col("text").alias("content"), F.col("doc_id").alias("doc_no"))
+        named = F.concat(F.lit("See POLICY-"), F.col("doc_id") % 50, F.lit(" of NOVA! "), F.coalesce("text", F.lit("")))
+        content = F.when(F.col("doc_id") % 3 == 0, named).otherwise(F.col("text"))
+        return self._t("documents").select(F.concat(F.lit("D"), F.col("doc_id")).alias("doc_id"), F.concat(F.lit("T"), F.col("doc_id") % 5).alias("tenant_id"), kind.alias("kb_type"), F.col("source").alias("title"), content.alias("content"), F.col("doc_id").alias("doc_no"))
 
 
 def _sku_id(no) -> Column:
@@ -143,9 +148,10 @@ raw_cs_session AS (
   SELECT 'CS' || event_id AS session_id, shop_id, tenant_id, user_id % 3 <> 0 AS is_bot,
     CASE WHEN event_id % 200 = 9 THEN NULL WHEN event_id % 200 = 5 THEN -1 * CAST(value AS DECIMAL(12,2)) ELSE CAST(value AS DECIMAL(12,2)) END AS first_response_sec,
     CAST(CASE WHEN event_id % 10 = 0 THEN NULL WHEN event_id % 150 = 4 THEN 9 ELSE 1 + event_id % 5 END AS INTEGER) AS satisfaction,
-    event_type <> 'error' AS resolved, event_type AS intent_l1, CAST(ts AS DATE) AS session_dt, copy_no
+    event_type <> 'error' AS resolved, event_type AS intent_l1, CAST(CAST(ts AS DATE) - 9802 AS DATE) AS session_dt, copy_no
   FROM events JOIN (SELECT 0 AS copy_no UNION ALL SELECT 1) d ON copy_no = 0 OR event_id % 200 = 0 JOIN dim_shop ON shop_no = user_id % 10
 ),
 kb_document AS (
-  SELECT 'D' || doc_id AS doc_id, 'T' || (doc_id % 5) AS tenant_id, ['cs_faq', 'product', 'policy', 'sop'][doc_id % 4 + 1] AS kb_type, source AS title, text AS content, doc_id AS doc_no FROM documents
+  SELECT 'D' || doc_id AS doc_id, 'T' || (doc_id % 5) AS tenant_id, ['cs_faq', 'product', 'policy', 'sop'][doc_id % 4 + 1] AS kb_type, source AS title,
+    CASE WHEN doc_id % 3 = 0 THEN 'See POLICY-' || (doc_id % 50) || ' of NOVA! ' || coalesce(text, '') ELSE text END AS content, doc_id AS doc_no FROM documents
 )"""

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,3 +82,52 @@ def test_common_subsequence():
 
     for a, b in (("", ""), ("abc", ""), ("TMALL-0000123", "TMALL-000012"), ("kitten", "sitting"), ("aaaa", "aa"), ("退货政策", "货政")):
         assert lcs(a, b) == plain(a, b)
+
+
+def plain_semantic(body, most):
+    parts = [p.strip(" ") for p in re.findall(r"[^。！？；!?;]*[。！？；!?;]|[^。！？；!?;]+", body)]
+    out, buf = [], ""
+    for s in parts:
+        s = s.lstrip("\n ")
+        while len(s) > most:
+            out += [buf, s[:most]]
+            s, buf = s[most:], ""
+        if s and len(buf) + len(s) <= most:
+            buf += s
+        elif s:
+            out.append(buf)
+            buf = s
+    return [c.strip(" ") for c in [*out, buf] if c.strip(" ")]
+
+
+def test_hierarchical_chunks_leave_room_for_each_title(spark):
+    body = "".join(f"{k} words of the sentence {'x' * (7 * k % 50)} end! " for k in range(30)) + "y" * 500 + " 3? 3 3"
+    titles = [None, "", "abcde", "t" * 80, "t" * 300]
+    rows = spark.createDataFrame([(k, t, body) for k, t in enumerate(titles)], "k int, title string, body string")
+    got = {r.k: r.c for r in rows.select("k", text.hierarchical_chunks(F.col("body"), F.col("title")).alias("c")).collect()}
+    for k, t in enumerate(titles):
+        prefix = f"【{t}】" if t else ""
+        room = max(60, 220 - len(prefix))
+        assert got[k] == [prefix + c for c in plain_semantic(body, room)]
+        assert max(map(len, got[k])) <= room + len(prefix)
+
+
+def plain_compressed(query, body, most):
+    if len(body) <= most:
+        return body
+    word = lambda x: set(re.findall("[a-z0-9]+", x.lower()))
+    parts = [s for s in (p.strip() for p in re.findall(r"[^!?;]*[!?;]|[^!?;]+", body)) if len(s) >= 6]
+    asked, kept, used = word(query), set(), 0
+    for _, k in sorted((-len(asked & word(s)) / max(len(asked), 1), k) for k, s in enumerate(parts)):
+        if asked & word(parts[k]) and used + len(parts[k]) <= most and used < 0.8 * most:
+            kept.add(parts[k])
+            used += len(parts[k]) + 1
+    return "\n".join(s for s in parts if s in kept) if kept else body[:most]
+
+
+@pytest.mark.parametrize("query", ["alpha beta", "gamma", "nothing", ""])
+@pytest.mark.parametrize("most", [30, 80, 400])
+def test_compressing_keeps_the_sentences_that_share_words(spark, query, most):
+    body = "alpha one two three! no match here at all; beta alpha again? tiny! " + "gamma " * 12 + "! alpha closes the text 3;"
+    row = spark.createDataFrame([(query, body)], "q string, t string")
+    assert row.select(text.compressed_text(F.col("q"), F.col("t"), F.lit(most)).alias("x")).first().x == plain_compressed(query, body, most)
