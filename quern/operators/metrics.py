@@ -103,6 +103,11 @@ def formula_parts(formula: str) -> list[str]:
     return found
 
 
+def aggregate(formula: str) -> str:
+    """The aggregate in SQL with means of decimals, which don't depend on the rows' order in their last places."""
+    return re.sub(r"\bAVG\((\w+)\)", r"AVG(CAST(\1 AS DECIMAL(24,10)))", formula)
+
+
 def formula_column(formula: str) -> Column:
     """The formula over columns named like its metrics; null where a divisor, a single metric, is zero."""
     formula_parts(formula)
@@ -146,7 +151,7 @@ class Engine:
         by = self._dim(metric.source, dim)
         if metric.source != "derived":
             rows = self._rows(metric, start, end, tenant).where(F.expr(metric.condition))
-            made = rows.groupBy(F.col(metric.day).alias("dt"), F.col("tenant_id").alias("tenant_id"), F.col(by).alias("dim_value")).agg(F.expr(metric.formula).cast("double").alias("value"))
+            made = rows.groupBy(F.col(metric.day).alias("dt"), F.col("tenant_id").alias("tenant_id"), F.col(by).alias("dim_value")).agg(F.expr(aggregate(metric.formula)).cast("double").alias("value"))
             return made.where("value is not null")
         parts = self.dictionary.parts(metric, on)
         return derived_points([(p.code, self._series(p, dim, start, end, on, tenant)) for p in parts], metric.formula)
@@ -158,7 +163,7 @@ class Engine:
 
     def _total(self, metric: Metric, start: date, end: date, on: date, tenant: str | None) -> DataFrame:
         if metric.source != "derived":
-            return self._rows(metric, start, end, tenant).where(F.expr(metric.condition)).agg(F.expr(metric.formula).cast("double").alias("value"))
+            return self._rows(metric, start, end, tenant).where(F.expr(metric.condition)).agg(F.expr(aggregate(metric.formula)).cast("double").alias("value"))
         each = [self._total(p, start, end, on, tenant).withColumnRenamed("value", p.code) for p in self.dictionary.parts(metric, on)]
         # Each is one row.
         return reduce(DataFrame.crossJoin, each).select(formula_column(metric.formula).alias("value"))
@@ -178,7 +183,7 @@ class Engine:
         for (source, day, dim), metrics in simple.items():
             by, listed = self._dim(source, dim), list(metrics.values())
             rows = self.tables[source].where(F.col(day).between(F.lit(start), F.lit(end)))
-            aggs = [x for k, m in enumerate(listed) for x in (F.expr(f"{m.formula} FILTER (WHERE {m.condition})").cast("double").alias(f"v{k}"), F.expr(f"COUNT(*) FILTER (WHERE {m.condition})").alias(f"n{k}"))]
+            aggs = [x for k, m in enumerate(listed) for x in (F.expr(f"{aggregate(m.formula)} FILTER (WHERE {m.condition})").cast("double").alias(f"v{k}"), F.expr(f"COUNT(*) FILTER (WHERE {m.condition})").alias(f"n{k}"))]
             wide = rows.groupBy(F.col(day).alias("dt"), F.col("tenant_id").alias("tenant_id"), F.col(by).alias("dim_value")).agg(*aggs)
             each = F.array(*(F.struct(F.lit(m.code).alias("metric_code"), F.lit(m.version).alias("caliber_version"), F.when(F.col(f"n{k}") > 0, F.col(f"v{k}")).alias("value")) for k, m in enumerate(listed)))
             points.append(wide.select(*_KEYS, F.lit(dim).alias("dim_type"), F.explode(each).alias("p")).select(*_KEYS, "dim_type", "p.*").where("value is not null"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -114,12 +115,16 @@ def _detail(name: str, sql: str | None):
     return add
 
 
+def _agg_sql(formula: str) -> str:
+    """A metric's aggregate for DuckDB, means as exact sums by counts."""
+    mean = re.fullmatch(r"AVG\((\w+)\)", formula)
+    if mean:
+        return f"(sum({mean[1]}::DECIMAL(24,4)) / count({mean[1]}))::DOUBLE"
+    return "avg(resolved::INT)" if formula.startswith("AVG(CASE") else f"CAST({formula} AS DOUBLE)"
+
+
 # Points of simple metrics and their totals, written out for SQL.
-_SIMPLE_SQL = {
-    (m.code, m.version): (m.source, m.day, f"CAST({m.formula.replace('1.0D', '1.0').replace('0.0D', '0.0')} AS DOUBLE)" if not m.formula.startswith("AVG(CASE") else "avg(resolved::INT)", m.condition)
-    for m in DEFINITIONS
-    if m.source != "derived"
-}
+_SIMPLE_SQL = {(m.code, m.version): (m.source, m.day, _agg_sql(m.formula), m.condition) for m in DEFINITIONS if m.source != "derived"}
 
 
 def _points_sql(code: str, version: str, dim: str, start: date = START, end: date = END) -> str:
