@@ -213,11 +213,12 @@ def filtered(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     limits decide. A column named like a feature does no harm. An empty table
     stays empty.
 
-    Documents are written once beside their features, which the learner reads
-    alone: no text is shuffled, and no feature is computed twice.
+    The learner reads features alone, written once without the documents; their
+    verdict is computed where each is read again. That costs the features twice,
+    and neither a shuffle of texts nor a copy of them in the shared folder.
     """
-    rows = staged(with_features(docs, id_col, text_col), "features")
-    return judged(rows, learned(with_labels(rows.drop("row"), labels))).where("kept").select("row.*")
+    features = staged(with_features(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text").drop("row"), "features")
+    return judged(with_features(docs, id_col, text_col), learned(with_labels(features, labels))).where("kept").select("row.*")
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
