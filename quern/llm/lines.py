@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.store import staged
+from quern.llm.store import dropped, staged, staged_at
 
 LINES = 3
 
@@ -53,8 +53,9 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     if stats_col is not None and stats_col.lower() in map(str.lower, docs.columns):
         raise ValueError(f"there is a column {stats_col} already: name another, or None, for the counts of lines")
-    windows = staged(line_windows(docs, id_col, text_col), "windows")
-    covered = covered_lines(windows).select(F.col("id").alias("k"), F.col("t").alias("kt"), "spans")
+    windows, path = staged_at(line_windows(docs, id_col, text_col), "windows")
+    covered = staged(covered_lines(windows).select(F.col("id").alias("k"), F.col("t").alias("kt"), "spans"), "covered")
+    dropped(docs.sparkSession, path)  # the covered lines alone are read from here on
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     # The text is beside the other columns, not among them too: it is what the join shuffles.
     others = [c for c in docs.columns if c != text_col]

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.components import components
 from quern.llm.simhash import RADIUS, SEED, bits_of, links, rows_of, shingle_hashes, text_hash
-from quern.llm.store import staged
+from quern.llm.store import dropped, staged, staged_at
 
 WIDTH, BANDS, DEPTH = 5, 24, 4
 #: Similarity from which a document goes, as a fraction.
@@ -161,9 +161,9 @@ def _hash(d: str):
 def remaining(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Column d of the documents that stay: the least of those with the same words, unless an earlier one is similar."""
     same = signatures(docs, id_col, text_col).groupBy("w").agg(F.min("d").alias("d"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    unique = staged(same.drop("w").withColumn("c", F.monotonically_increasing_id()), "unique")
+    unique, unique_path = staged_at(same.drop("w").withColumn("c", F.monotonically_increasing_id()), "unique")
     joined = candidates(unique.select("c", "fp", "keys"))
-    members = staged(unique.select("c", "d", "n").join(joined, F.col("c") == F.col("node")).drop("node"), "members")
+    members, members_path = staged_at(unique.select("c", "d", "n").join(joined, F.col("c") == F.col("node")).drop("node"), "members")
     # The texts of documents that are joined to no other aren't fetched.
     text = F.col(text_col).cast("string")
     wanted = members.select(_hash("d").alias("h"), F.col("d.t").alias("t"), "c")
@@ -179,7 +179,10 @@ def remaining(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     tasks = _tasks(members.select("c", "root", "n")).join(members.select(F.col("c").alias("k"), "d.*"), F.col("c") == F.col("k")).drop("c")
     dealt = hashed.join(tasks, F.col("c") == F.col("k")).select("task", "root", "side", "c", "null", "id", "t", "hashes")
     gone = staged(dealt.groupBy("task").applyInArrow(_compared, "c long").distinct(), "similar")
-    return unique.join(gone, "c", "left_anti").select("d")
+    stay = staged(unique.join(gone, "c", "left_anti").select("d"), "stay")
+    for path in (unique_path, members_path):  # what stays is all that is read from here on
+        dropped(docs.sparkSession, path)
+    return stay
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

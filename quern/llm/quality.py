@@ -217,8 +217,10 @@ def filtered(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     verdict is computed where each is read again. That costs the features twice,
     and neither a shuffle of texts nor a copy of them in the shared folder.
     """
-    features = staged(with_features(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text").drop("row"), "features")
-    return judged(with_features(docs, id_col, text_col), learned(with_labels(features, labels))).where("kept").select("row.*")
+    features, path = staged_at(with_features(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text").drop("row"), "features")
+    rules = learned(with_labels(features, labels))
+    dropped(docs.sparkSession, path)
+    return judged(with_features(docs, id_col, text_col), rules).where("kept").select("row.*")
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
