@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
+from functools import cached_property, reduce
+from itertools import combinations
+from math import ceil, comb
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 from quern.functions.text import nfkc, normalize_code
+from quern.sources.shared import kept
 
 CUTOFF = 88.0
+#: Scores looked for in turn: what is found at a higher one needs no search at a lower.
+TIERS = (92.0, CUTOFF)
+#: Subsequences of a code that are looked up at most for codes of another length; longer codes are compared by lengths.
+MOST = 4096
+#: Codes of the pool in a block, where codes are compared with all.
+BLOCK = 20_000
 
 
 def lcs(a: str, b: str) -> int:
@@ -32,6 +43,17 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([100.0 * 2 * lcs(x, y) / (len(x) + len(y)) if x or y else 100.0 for x, y in zip(a, b)])
 
 
+@pandas_udf(ArrayType(StringType()))
+def subsequences(codes: pd.Series, length: pd.Series) -> pd.Series:
+    """The different subsequences of a length of each code."""
+    return pd.Series([sorted({"".join(s) for s in combinations(c, n)}) for c, n in zip(codes, length)])
+
+
+def common(n: int, m: int, cutoff: float) -> int:
+    """Characters that codes of lengths n and m have to share, in order, for a score of ``cutoff``."""
+    return ceil(cutoff * (n + m) / 200 - 1e-9)
+
+
 def normalized(codes: DataFrame, column: str, to: str) -> DataFrame:
     """Adds the normalized code. Only texts beyond ASCII and full-width forms go through Python."""
     odd = F.when(F.col(column).rlike("[^\\x00-\\x7F\\uFF01-\\uFF5E\\u3000]"), F.col(column))
@@ -59,23 +81,59 @@ class Matcher:
         return self.mapping.join(first, ["tenant_id", "platform", "shop_id", "code"]).where("sku_id <> kept").select("tenant_id", "platform", "shop_id", "code", "kept", F.col("sku_id").alias("other"))
 
     def scored(self, codes: DataFrame, cutoff: float) -> DataFrame:
-        """Rows of ``codes`` (tenant_id, code) with each pool code of the tenant of at least ``cutoff``: matched, sku_id, score, id.
+        """Rows of ``codes`` (tenant_id, code, distinct) with each pool code of the tenant of at least ``cutoff``, above 0: matched, sku_id, score, id.
 
-        Lengths bound the similarity and so does the edit distance, which is
-        computed within a bound; only what passes is compared exactly.
+        A score says how many characters two codes of given lengths share in
+        order. They then have a subsequence of just that many in common: codes
+        meet by tenant and subsequence, never tenant by tenant. Where a code has
+        more than ``MOST`` of them, both meet by their lengths, within a bound
+        of the edit distance.
         """
+        codes = kept(codes.select("tenant_id", "code", F.length("code").alias("n")), "codes")
+        lengths = lambda df: [r[0] for r in df.select("n").distinct().collect()]
+        met = [(n, m, common(n, m, cutoff)) for n in lengths(codes) for m in lengths(self.pool)]
+        met = [(n, m, c) for n, m, c in met if 0 < c <= min(n, m)]
+        few = [x for x in met if max(comb(x[0], x[2]), comb(x[1], x[2])) <= MOST]
+        found = self._by_subsequence(codes, few).unionByName(self._by_length(codes, [x for x in met if x not in few], cutoff))
+        # A pair has many subsequences in common.
+        found = found.groupBy("tenant_id", "code", "matched").agg(F.first(F.struct("id", "sku_id")).alias("m")).select("tenant_id", "code", "matched", "m.*")
+        return found.withColumn("score", similarity("code", "matched")).where(F.col("score") >= cutoff)
+
+    @cached_property
+    def pool(self) -> DataFrame:
+        """tenant_id, matched, id, sku_id and n (length) of each code of a tenant: the least id's SKU."""
         pool = self.mapping.groupBy("tenant_id", F.col("code").alias("matched")).agg(F.min(F.struct("id", "sku_id")).alias("m"))
-        pool = pool.select("tenant_id", "matched", "m.id", "m.sku_id", F.length("matched").alias("n"))
-        if cutoff <= 0:
-            return codes.join(pool.drop("n"), "tenant_id").withColumn("score", similarity("code", "matched"))
+        return kept(pool.select("tenant_id", "matched", "m.id", "m.sku_id", F.length("matched").alias("n")), "pool")
+
+    def _tiers(self, codes: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+        """The n best matches (rank, of equal scores the least id) of the codes that have n of at least ``CUTOFF``, and the other codes."""
+        found, rest = [], codes
+        for cutoff in TIERS:
+            rest = kept(rest, "rest")
+            best = kept(_ranked(self.scored(rest, cutoff), n), "best")
+            done = best.where(F.col("rank") == n).select("tenant_id", "code")
+            found.append(best.join(done, ["tenant_id", "code"], "left_semi") if n > 1 else best)
+            rest = rest.join(done, ["tenant_id", "code"], "left_anti")
+        return reduce(DataFrame.unionByName, found), rest
+
+    def _by_subsequence(self, codes: DataFrame, met: list[tuple[int, int, int]]) -> DataFrame:
+        def emitted(df: DataFrame, code: str, own: int) -> DataFrame:
+            partners = F.array().cast("array<struct<n:int,m:int,c:int>>")
+            for n in sorted({x[own] for x in met}):
+                each = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip("nmc", x))) for x in met if x[own] == n))
+                partners = F.when(F.col("n") == n, each).otherwise(partners)
+            each = df.select("*", F.explode(partners).alias("p")).drop("n")
+            return each.select("*", "p.*", F.explode(subsequences(code, "p.c")).alias("of")).withColumn("s", F.xxhash64("of")).drop("p", "c", "of")
+
+        return emitted(codes, "code", 0).join(emitted(self.pool, "matched", 1), ["tenant_id", "n", "m", "s"]).select("tenant_id", "code", "matched", "id", "sku_id")
+
+    def _by_length(self, codes: DataFrame, met: list[tuple[int, int, int]], cutoff: float) -> DataFrame:
+        pairs = codes.sparkSession.createDataFrame([x[:2] for x in met], "n int, m int")
         share = (100 - cutoff) / 100
-        # The shorter is at least (1 - share) / (1 + share) of the longer.
-        n = F.length("code")
-        least, most = F.floor(n * (1 - share) / (1 + share)), F.ceil(n * (1 + share) / (1 - share))
-        near = codes.select("*", F.explode(F.sequence(F.greatest(least.cast("int"), F.lit(1)), most.cast("int"))).alias("n"))
         # Minus one beyond the bound, where the comparison is given up.
         within = F.expr(f"levenshtein(code, matched, cast(floor({share} * (length(code) + length(matched)) + 1e-9) as int)) >= 0")
-        return near.join(pool, ["tenant_id", "n"]).where(within).drop("n").withColumn("score", similarity("code", "matched")).where(F.col("score") >= cutoff)
+        near = codes.join(F.broadcast(pairs), "n").join(self.pool.withColumnRenamed("n", "m"), ["tenant_id", "m"]).where(within)
+        return near.select("tenant_id", "code", "matched", "id", "sku_id")
 
     def resolved(self, raw: DataFrame) -> DataFrame:
         """``raw`` (tenant_id, platform, shop_id, platform_sku_code, any more) with sku_id, map_confidence and match_type.
@@ -85,10 +143,10 @@ class Matcher:
         keys = ["tenant_id", "platform", "shop_id", "platform_sku_code"]
         codes = normalized(raw.select(*keys).distinct(), "platform_sku_code", "code")
         exact = codes.join(self.in_shop.withColumnRenamed("sku", "sku1"), ["tenant_id", "platform", "shop_id", "code"], "left")
-        exact = exact.join(self.on_platform.withColumnRenamed("sku", "sku2"), ["tenant_id", "platform", "code"], "left")
+        exact = kept(exact.join(self.on_platform.withColumnRenamed("sku", "sku2"), ["tenant_id", "platform", "code"], "left"), "exact")
         open_codes = exact.where("sku1 is null and sku2 is null and code <> ''").select("tenant_id", "code").distinct()
-        best = self.scored(open_codes, CUTOFF).groupBy("tenant_id", "code").agg(F.max(F.struct("score", (-F.col("id")).alias("k"), "sku_id")).alias("b"))
-        best = best.select("tenant_id", "code", F.col("b.sku_id").alias("sku3"), F.round(F.col("b.score") / 100, 3).alias("score3"))
+        best = self._tiers(open_codes, 1)[0]
+        best = best.select("tenant_id", "code", F.col("sku_id").alias("sku3"), F.round(F.col("score") / 100, 3).alias("score3"))
         done = exact.join(best, ["tenant_id", "code"], "left").select(
             *keys, F.coalesce("sku1", "sku2", "sku3").alias("sku_id"),
             F.when(F.col("sku1").isNotNull(), 1.0).when(F.col("sku2").isNotNull(), 0.99).otherwise(F.coalesce("score3", F.lit(0.0))).alias("map_confidence"),
@@ -99,11 +157,24 @@ class Matcher:
         return raw.join(renamed, same, "left").drop(*(f"k_{k}" for k in keys))
 
     def candidates(self, codes: DataFrame, n: int = 3) -> DataFrame:
-        """The n most similar codes of the tenant for each row of ``codes`` (tenant_id, code), whatever their score."""
-        rank = F.row_number().over(W.partitionBy("tenant_id", "code").orderBy(F.desc("score"), "id"))
-        found = self.scored(codes.distinct(), 0.0).withColumn("rank", rank).where(F.col("rank") <= n)
+        """The n most similar codes of the tenant for each row of ``codes`` (tenant_id, code), whatever their score.
+
+        Codes with n of at least ``CUTOFF`` are done. The others are a query set
+        against all of the tenant's codes, in blocks that keep n each.
+        """
+        near, rest = self._tiers(codes.select("tenant_id", "code").distinct(), n)
+        salts = self.pool.groupBy("tenant_id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("salts"))
+        salted = self.pool.join(salts, "tenant_id").withColumn("salt", F.pmod(F.xxhash64("matched"), F.col("salts")).cast("int")).drop("salts", "n")
+        rest = rest.join(salts, "tenant_id").select("tenant_id", "code", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+        best = _ranked(rest.join(salted, ["tenant_id", "salt"]).withColumn("score", similarity("code", "matched")), n, "salt")
+        found = _ranked(best.drop("salt", "rank"), n).unionByName(near)
         return found.select("tenant_id", "code", "rank", "matched", F.round(F.col("score") / 100, 3).alias("score"), "sku_id")
 
 
+def _ranked(found: DataFrame, n: int, *by: str) -> DataFrame:
+    rank = F.row_number().over(W.partitionBy("tenant_id", "code", *by).orderBy(F.desc("score"), "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= n)
+
+
 def match_stats(resolved: DataFrame) -> DataFrame:
     return resolved.groupBy("match_type").agg(F.count("*").alias("n"))

@@ -225,18 +225,24 @@ def _platforms(d: Detail) -> DataFrame:
 
 _EXACT_SQL = """, m AS (SELECT *, upper(trim(platform_sku_code)) AS code FROM map_platform_sku), m1 AS (SELECT tenant_id, platform, shop_id, code, arg_min(sku_id, id) AS sku1 FROM m GROUP BY ALL), m2 AS (SELECT tenant_id, platform, code, arg_min(sku_id, id) AS sku2 FROM m GROUP BY ALL),
 o AS (SELECT *, upper(replace(replace(coalesce(platform_sku_code, ''), ' ', ''), '－', '-')) AS code FROM dwd_order),
-resolved AS (SELECT o.*, sku1, sku2, CASE WHEN sku1 IS NOT NULL OR sku2 IS NOT NULL THEN 'exact' WHEN code <> '' THEN 'fuzzy' ELSE 'none' END AS match_type, CASE WHEN sku1 IS NOT NULL THEN 1.0 WHEN sku2 IS NOT NULL THEN 0.99 END AS exact_confidence
-  FROM o LEFT JOIN m1 USING (tenant_id, platform, shop_id, code) LEFT JOIN m2 USING (tenant_id, platform, code)) """
+met AS (SELECT o.*, sku1, sku2 FROM o LEFT JOIN m1 USING (tenant_id, platform, shop_id, code) LEFT JOIN m2 USING (tenant_id, platform, code)),
+pool AS (SELECT tenant_id, code AS matched, arg_min(sku_id, id) AS sku_id, min(id) AS id FROM m GROUP BY ALL),
+near AS (SELECT * FROM (SELECT DISTINCT tenant_id, code FROM met WHERE sku1 IS NULL AND sku2 IS NULL AND code <> '') c JOIN pool USING (tenant_id) WHERE abs(length(code) - length(matched)) * 100 <= 12 * (length(code) + length(matched)) AND levenshtein(code, matched) * 100 <= 12 * (length(code) + length(matched))),
+places AS MATERIALIZED (SELECT n.*, list_transform(string_split(matched, ''), lambda x: list_sum(list_transform(range(length(code)), lambda i: CASE WHEN code[i + 1] = x THEN 1::BIGINT << i ELSE 0 END))::BIGINT) AS masks, (1::BIGINT << length(code)) - 1 AS every FROM near n),
+common AS (SELECT tenant_id, code, sku_id, id, length(code) + length(matched) AS chars, length(code) - bit_count(list_reduce(list_prepend(every, masks), lambda v, x: ((v + (v & x)) | (v - (v & x))) & every)) AS shared FROM places),
+best AS (SELECT tenant_id, code, arg_max(struct_pack(sku := sku_id, score := round(2 * shared / chars, 3)), struct_pack(score := 2 * shared / chars, k := -id)) AS b FROM common WHERE 200 * shared >= 88 * chars GROUP BY ALL),
+resolved AS (SELECT met.*, b.sku AS sku3, b.score AS score3, CASE WHEN sku1 IS NOT NULL OR sku2 IS NOT NULL THEN 'exact' WHEN b IS NOT NULL THEN 'fuzzy' ELSE 'none' END AS match_type, CASE WHEN sku1 IS NOT NULL THEN 1.0 WHEN sku2 IS NOT NULL THEN 0.99 END AS exact_confidence
+  FROM met LEFT JOIN best USING (tenant_id, code)) """
 
 
 @_detail("sku_exact_match", _EXACT_SQL + "SELECT order_line_id, match_type, coalesce(sku1, sku2) AS exact_sku_id, exact_confidence::DOUBLE AS exact_confidence FROM resolved")
 def _exact(d: Detail) -> DataFrame:
-    """How each order line's code was resolved; SKU and confidence where exactly (every other code that isn't empty has a near one here)."""
+    """How each order line's code was resolved; SKU and confidence where exactly."""
     exact = F.col("match_type") == "exact"
     return d.dwd_order_sku().select("order_line_id", "match_type", F.when(exact, F.col("sku_id")).alias("exact_sku_id"), F.when(exact, F.col("map_confidence")).alias("exact_confidence"))
 
 
-@_detail("sku_fuzzy_match", None)
+@_detail("sku_fuzzy_match", _EXACT_SQL + "SELECT tenant_id, platform_sku_code, sku3 AS sku_id, score3::DOUBLE AS map_confidence, count(*) AS n FROM resolved WHERE match_type = 'fuzzy' GROUP BY ALL")
 def _fuzzy(d: Detail) -> DataFrame:
     """Codes that only the nearest code of the tenant resolves, with SKU and confidence."""
     return d.dwd_order_sku().where("match_type = 'fuzzy'").groupBy("tenant_id", "platform_sku_code", "sku_id", "map_confidence").agg(F.count("*").alias("n"))

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 #: Platforms by shop number modulo six.
 PLATFORMS = ("tmall", "jd", "douyin", "pdd", "xhs", "wechat_mini")
-SKUS = 200
+#: Ids of mappings by shop: two for each SKU.
+IDS = 100_000_000_000
 #: Days from events to service sessions: those of January 2024 come to March 1997, within the orders' years.
 SHIFT = 9802
 
@@ -43,18 +44,19 @@ class Commerce:
         return self._t("part").select(F.concat_ws("/", "p_brand", "p_type").alias("spu_id"), F.col("p_brand").alias("brand"), F.col("p_type").alias("category")).distinct()
 
     def dim_sku(self) -> DataFrame:
-        """One SKU for each part number modulo 200: the least part's."""
-        first = self._t("part").groupBy((F.col("p_partkey") % SKUS).alias("sku_no")).agg(F.min_by(F.struct("p_brand", "p_type", "p_name", "p_retailprice"), "p_partkey").alias("p"))
-        return first.select(_sku_id(F.col("sku_no")).alias("sku_id"), "sku_no", F.concat_ws("/", "p.p_brand", "p.p_type").alias("spu_id"), F.col("p.p_name").alias("sku_name"), F.col("p.p_retailprice").alias("list_price"))
+        """A SKU for each part."""
+        part = self._t("part")
+        return part.select(_sku_id(F.col("p_partkey")).alias("sku_id"), F.col("p_partkey").alias("sku_no"), F.concat_ws("/", "p_brand", "p_type").alias("spu_id"), F.col("p_name").alias("sku_name"), F.col("p_retailprice").alias("list_price"))
 
     def map_platform_sku(self) -> DataFrame:
-        """A row for most of the SKUs of each shop; some lack, some have a second row that contradicts the first."""
-        each = self.dim_shop().select("*", F.explode(F.sequence(F.lit(0), F.lit(SKUS - 1))).alias("sku_no"))
+        """A row for most of the SKUs that a shop has sold; some lack, some have a second row that contradicts the first."""
+        sold = self._t("lineitem").select(F.col("l_suppkey").alias("k"), F.col("l_partkey").alias("sku_no")).distinct()
+        each = self.dim_shop().join(sold, F.col("shop_no") == F.col("k"))
         each = each.where(((F.col("shop_no") + F.col("sku_no")) % 7 != 0) & (F.col("sku_no") % 40 != 13))
         code = _code(F.col("platform"), F.col("sku_no"))
-        rows = F.array(F.struct(F.lit(0).alias("k"), code.alias("c"), _sku_id(F.col("sku_no")).alias("s")), F.struct(F.lit(500).alias("k"), F.lower(code).alias("c"), F.concat(F.lit("ALT"), F.col("sku_no")).alias("s")))
+        rows = F.array(F.struct(F.lit(0).alias("k"), code.alias("c"), _sku_id(F.col("sku_no")).alias("s")), F.struct(F.lit(1).alias("k"), F.lower(code).alias("c"), F.concat(F.lit("ALT"), F.col("sku_no")).alias("s")))
         both = each.select("*", F.explode(F.when(F.col("sku_no") % 50 == 5, rows).otherwise(F.slice(rows, 1, 1))).alias("r"))
-        return both.select((F.col("shop_no") * 1000 + F.col("sku_no") + F.col("r.k")).alias("id"), "tenant_id", "platform", "shop_id", F.col("r.c").alias("platform_sku_code"), F.col("r.s").alias("sku_id"))
+        return both.select((F.col("shop_no") * IDS + F.col("sku_no") * 2 + F.col("r.k")).alias("id"), "tenant_id", "platform", "shop_id", F.col("r.c").alias("platform_sku_code"), F.col("r.s").alias("sku_id"))
 
     def raw_order(self) -> DataFrame:
         lines = self._t("lineitem").join(self._t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
@@ -62,7 +64,7 @@ class Commerce:
         met = lines.join(shop, F.col("l_suppkey") == F.col("shop_no"))
         price = (F.col("l_extendedprice").cast("decimal(14,2)") * (1 - F.col("l_discount").cast("decimal(4,2)"))).cast("decimal(18,4)")
         dirt = F.col("l_partkey") % 500
-        sku_no = F.col("l_partkey") % SKUS
+        sku_no = F.col("l_partkey")
         code, kind = _code(F.col("platform"), sku_no), F.col("l_partkey") % 50
         spelled = F.when(kind == 1, F.lower(code)).when(kind == 2, F.concat(F.lit("  "), code, F.lit(" "))).when(kind == 3, F.translate(code, "-", "－")).when(kind == 4, F.expr("substring(c, 1, length(c) - 1)")).when(kind == 5, F.lit(None)).otherwise(code)
         return met.withColumn("c", code).select(
@@ -75,7 +77,7 @@ class Commerce:
         )
 
     def raw_refund(self) -> DataFrame:
-        half = F.when(F.col("sku_no") == 199, F.lit(None)).when(F.col("sku_no") % 97 == 3, F.col("pay_amount") * 2).otherwise(F.col("pay_amount") * F.lit(0.5).cast("decimal(2,1)"))
+        half = F.when(F.col("sku_no") % 200 == 199, F.lit(None)).when(F.col("sku_no") % 97 == 3, F.col("pay_amount") * 2).otherwise(F.col("pay_amount") * F.lit(0.5).cast("decimal(2,1)"))
         return self.raw_order().where("l_returnflag = 'R'").select(
             F.concat(F.lit("R-"), F.col("order_line_id")).alias("refund_id"), "order_id", "tenant_id", "shop_id", "platform", half.cast("decimal(18,5)").alias("refund_amount"),
             F.when(F.col("sku_no") % 10 == 0, "processing").otherwise("success").alias("refund_status"), F.date_add(F.to_date("created_at"), 5).alias("refund_dt"),
@@ -106,7 +108,7 @@ def _sku_id(no) -> Column:
 
 
 def _code(platform, no) -> Column:
-    return F.concat(F.upper(platform), F.lit("-"), F.lpad(no.cast("string"), 7, "0"))
+    return F.concat(F.upper(platform), F.lit("-"), F.lpad(no.cast("string"), F.greatest(F.lit(7), F.length(no.cast("string"))), "0"))
 
 
 #: The same tables in DuckDB's SQL, as common table expressions.
@@ -117,30 +119,29 @@ dim_shop AS (
   FROM supplier JOIN nation ON s_nationkey = n_nationkey
 ),
 dim_sku AS (
-  SELECT 'SKU' || (p_partkey % 200) AS sku_id, p_partkey % 200 AS sku_no, p_brand || '/' || p_type AS spu_id, p_name AS sku_name, p_retailprice AS list_price
-  FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey % 200 ORDER BY p_partkey) AS rn FROM part) x WHERE rn = 1
+  SELECT 'SKU' || p_partkey AS sku_id, p_partkey AS sku_no, p_brand || '/' || p_type AS spu_id, p_name AS sku_name, p_retailprice AS list_price FROM part
 ),
 map_once AS (
-  SELECT s.*, sku_no, upper(platform) || '-' || lpad(sku_no::VARCHAR, 7, '0') AS code FROM dim_shop s, (SELECT unnest(range(0, 200)) AS sku_no) n
+  SELECT s.*, sku_no, upper(platform) || '-' || lpad(sku_no::VARCHAR, greatest(7, length(sku_no::VARCHAR))::INT, '0') AS code FROM dim_shop s JOIN (SELECT DISTINCT l_suppkey, l_partkey AS sku_no FROM lineitem) n ON shop_no = l_suppkey
   WHERE (shop_no + sku_no) % 7 <> 0 AND sku_no % 40 <> 13
 ),
 map_platform_sku AS (
-  SELECT shop_no * 1000 + sku_no AS id, tenant_id, platform, shop_id, code AS platform_sku_code, 'SKU' || sku_no AS sku_id FROM map_once
-  UNION ALL SELECT shop_no * 1000 + sku_no + 500, tenant_id, platform, shop_id, lower(code), 'ALT' || sku_no FROM map_once WHERE sku_no % 50 = 5
+  SELECT shop_no * 100000000000 + sku_no * 2 AS id, tenant_id, platform, shop_id, code AS platform_sku_code, 'SKU' || sku_no AS sku_id FROM map_once
+  UNION ALL SELECT shop_no * 100000000000 + sku_no * 2 + 1, tenant_id, platform, shop_id, lower(code), 'ALT' || sku_no FROM map_once WHERE sku_no % 50 = 5
 ),
 raw_order AS (
-  SELECT concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS order_line_id, tenant_id, shop_id, platform, 'O' || l_orderkey AS order_id, l_partkey % 200 AS sku_no,
+  SELECT concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS order_line_id, tenant_id, shop_id, platform, 'O' || l_orderkey AS order_id, l_partkey AS sku_no,
     CASE l_partkey % 50 WHEN 1 THEN lower(code) WHEN 2 THEN '  ' || code || ' ' WHEN 3 THEN replace(code, '-', '－') WHEN 4 THEN code[:-2] WHEN 5 THEN NULL ELSE code END AS platform_sku_code,
     CAST(l_quantity AS DECIMAL(10,2)) AS qty,
     CASE l_partkey % 500 WHEN 7 THEN NULL WHEN 11 THEN -1 ELSE 1 END * CAST(CAST(l_extendedprice AS DECIMAL(14,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))) AS DECIMAL(18,4)) AS pay_amount,
     CASE WHEN l_quantity < 10 THEN CAST(12 AS DECIMAL(10,2)) ELSE CAST(0 AS DECIMAL(10,2)) END AS freight,
     CASE o_orderstatus WHEN 'P' THEN 'cancelled' WHEN 'F' THEN 'received' ELSE 'paid' END AS order_status, o_orderpriority = '1-URGENT' AS is_presale,
     o_orderdate AS created_at, CASE WHEN o_orderstatus <> 'P' THEN l_shipdate END AS paid_at, l_returnflag
-  FROM (SELECT *, upper(platform) || '-' || lpad((l_partkey % 200)::VARCHAR, 7, '0') AS code FROM lineitem JOIN dim_shop ON shop_no = l_suppkey) l JOIN orders ON l_orderkey = o_orderkey
+  FROM (SELECT *, upper(platform) || '-' || lpad(l_partkey::VARCHAR, greatest(7, length(l_partkey::VARCHAR))::INT, '0') AS code FROM lineitem JOIN dim_shop ON shop_no = l_suppkey) l JOIN orders ON l_orderkey = o_orderkey
 ),
 raw_refund AS (
   SELECT 'R-' || order_line_id AS refund_id, order_id, tenant_id, shop_id, platform,
-    CASE WHEN sku_no = 199 THEN NULL WHEN sku_no % 97 = 3 THEN CAST(pay_amount * 2 AS DECIMAL(18,5)) ELSE CAST(pay_amount * CAST(0.5 AS DECIMAL(2,1)) AS DECIMAL(18,5)) END AS refund_amount,
+    CASE WHEN sku_no % 200 = 199 THEN NULL WHEN sku_no % 97 = 3 THEN CAST(pay_amount * 2 AS DECIMAL(18,5)) ELSE CAST(pay_amount * CAST(0.5 AS DECIMAL(2,1)) AS DECIMAL(18,5)) END AS refund_amount,
     CASE WHEN sku_no % 10 = 0 THEN 'processing' ELSE 'success' END AS refund_status, CAST(CAST(created_at AS DATE) + 5 AS DATE) AS refund_dt
   FROM raw_order WHERE l_returnflag = 'R'
 ),

@@ -4,7 +4,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import checks, warehouse
+from quern.operators import checks, products, warehouse
 from quern.operators.metrics import DEFINITIONS, Dictionary, Engine, MetricError, derived_points, formula_column, formula_parts, shifted
 from quern.operators.products import Matcher, lcs
 from quern.plans.warehouse import Detail
@@ -74,6 +74,23 @@ def test_candidates_have_no_cutoff(spark):
     assert [(r.sku_id, r.score) for r in got] == [("k1", 0.833), ("k2", 0.833), ("k3", 0.0)]
 
 
+def test_scores_and_candidates_equal_brute_force(spark, monkeypatch):
+    pool = ["ABCDEFGHIJ", "ABCDEFGHIX", "BACDEFGHIJ", "ABCDEFGHI", "A", "AABBAABBAABB", "AABBAABBAAB", "X" * 40, "X" * 37 + "YZ", "X" * 30 + "ABC" * 3]
+    mapping = spark.createDataFrame([(i, "T", "p", "s", c, f"k{i}") for i, c in enumerate(pool)], "id long, tenant_id string, platform string, shop_id string, platform_sku_code string, sku_id string")
+    asked = ["ABCDEFGHIK", "ABDEFGHIJ", "AABBAABBAABA", "B", "X" * 39, "X" * 20 + "Q" + "X" * 18, "QQQQ"]
+    codes = spark.createDataFrame([("T", c) for c in asked], "tenant_id string, code string")
+    score = lambda a, b: 200 * lcs(a, b) / (len(a) + len(b))
+    for most in (4096, 5):  # with 5 most codes are compared by their lengths
+        monkeypatch.setattr(products, "MOST", most)
+        for cutoff in (88.0, 75.0):
+            got = {(r.code, r.matched): r.score for r in Matcher(mapping).scored(codes, cutoff).collect()}
+            assert got == {(a, b): score(a, b) for a in asked for b in pool if score(a, b) >= cutoff}
+    monkeypatch.setattr(products, "BLOCK", 3)
+    got = sorted((r.code, r["rank"], r.matched) for r in Matcher(mapping).candidates(codes).collect())
+    best = {a: sorted(range(len(pool)), key=lambda i: (-score(a, pool[i]), i))[:3] for a in asked}
+    assert got == sorted((a, k + 1, pool[i]) for a, three in best.items() for k, i in enumerate(three))
+
+
 def test_versions():
     d = Dictionary()
     assert d.resolve("GMV_PAID", date(1997, 8, 15)).version == "v1.0" and d.resolve("GMV_PAID", date(1998, 9, 15)).version == "v1.1"
