@@ -32,14 +32,16 @@ class Encoder:
     well-known characters about four times as fast, with the same ids; all
     others, and all without ``ranks``, go through ``vocabulary``'s own library,
     called without special tokens added. So do texts that hold the string of a
-    token that the vocabulary adds to its pieces, such as an end of text.
+    token that the vocabulary adds to its pieces, such as an end of text; with
+    ``plain`` such a string is text like any other.
     """
 
-    def __init__(self, vocabulary: str, ranks: str | None = None):
+    def __init__(self, vocabulary: str, ranks: str | None = None, plain: bool = False):
         from tokenizers import Tokenizer
 
         self._slow = Tokenizer.from_file(vocabulary)
-        added = (re.escape(t.content) for t in self._slow.get_added_tokens_decoder().values())
+        self._slow.encode_special_tokens = plain
+        added = () if plain else (re.escape(t.content) for t in self._slow.get_added_tokens_decoder().values())
         self._odd = re.compile("|".join((_PLAIN.pattern, *added)))
         self._fast = None
         if ranks:
@@ -57,11 +59,15 @@ class Encoder:
         return np.array(self._fast.encode_ordinary(text), "<u4")
 
 
+def place(name: str | None) -> str | None:
+    """A path as it is; a name is looked up among the public tokenizers."""
+    return name if name is None or "/" in name else public_tokenizers.path(name)
+
+
 @lru_cache(maxsize=2)
-def encoder(vocabulary: str = VOCABULARY, ranks: str | None = RANKS) -> Encoder:
-    """One encoder a worker process; names are looked up among the public tokenizers, paths are taken as they are."""
-    at = lambda x: x if x is None or "/" in x else public_tokenizers.path(x)
-    return Encoder(at(vocabulary), at(ranks))
+def encoder(vocabulary: str = VOCABULARY, ranks: str | None = RANKS, plain: bool = False) -> Encoder:
+    """One encoder a worker process, of names among the public tokenizers or paths."""
+    return Encoder(place(vocabulary), place(ranks), plain)
 
 
 def lengths(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABULARY, ranks: str | None = RANKS) -> DataFrame:
