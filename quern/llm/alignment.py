@@ -67,11 +67,13 @@ class Transducer:
 
     def __init__(self, first: list[bytes], second: list[bytes], memory: int = MEMORY):
         self.first, self.second, self.memory = first, second, memory
+        # Tokens of the same bytes have the same number: from no suffix, such a pair leads back to none.
+        numbers = {x: k for k, x in enumerate(dict.fromkeys((*first, *second)))}
+        self.number_a, self.number_b = ([numbers[x] for x in side] for side in (first, second))
         self._clear()
 
     def _clear(self) -> None:
-        self.suffixes, self.numbers, self.steps, self.known = {0: b""}, {}, {}, 0
-        self.both = [{} for _ in self.first]
+        self.suffixes, self.numbers, self.steps, self.starts = {0: b""}, {}, {}, {}
 
     def _number(self, suffix: bytes, second_leads: int) -> int:
         if not suffix:
@@ -96,40 +98,36 @@ class Transducer:
             self.steps[state << 20 | token] = found
         return found
 
-    def long_groups(self, a: list[int], b: list[int]) -> list[tuple[int, int, int, int]] | None:
-        """The groups of more than a token each, as places from and to of both sides; None if the bytes differ.
-
-        All other groups are one token of each side.
-        """
-        if len(self.steps) + self.known > self.memory:
+    def inner(self, a: list[int], b: list[int]) -> tuple[list[int], list[int]] | None:
+        """Places of the tokens of both sides that end no group; None if the bytes differ."""
+        if len(self.steps) + len(self.starts) > self.memory:
             self._clear()
-        steps, both, found, i, j, n = self.steps, self.both, [], 0, 0, len(a)
-        try:
-            while i < n:
-                # A group begins with a token of each side: two transitions at once.
-                state = both[a[i]].get(b[j])
-                if state is None:
-                    state = both[a[i]][b[j]] = self.step(self.step(0, a[i]), b[j])
-                    self.known += 1
-                i += 1
-                j += 1
-                if state:
-                    start = i - 1, j - 1
-                    while state:
-                        if state < 0:
-                            return None
-                        if state & 1:
-                            token = a[i]
-                            i += 1
-                        else:
-                            token = b[j]
-                            j += 1
-                        after = steps.get(state << 20 | token)
-                        state = self.step(state, token) if after is None else after
-                    found.append((*start, i, j))
-        except IndexError:  # one side ends before the other
-            return None
-        return found if j == len(b) else None
+        steps, starts, number_a, number_b, inner_a, inner_b = self.steps, self.starts, self.number_a, self.number_b, [], []
+        rest_a, rest_b, more_a, more_b = iter(a), iter(b), 0, 0
+        for k, (x, y) in enumerate(zip(rest_a, rest_b)):
+            if number_a[x] == number_b[y]:
+                continue
+            state = starts.get(x << 20 | y)
+            if state is None:  # two transitions at once
+                state = starts[x << 20 | y] = self.step(self.step(0, x), y)
+            while state:
+                if state < 0:
+                    return None
+                # A side that goes on within a group hadn't ended it.
+                if state & 1:
+                    inner_a.append(k + more_a)
+                    token = next(rest_a, None)
+                    more_a += 1
+                else:
+                    inner_b.append(k + more_b)
+                    token = next(rest_b, None)
+                    more_b += 1
+                if token is None:  # one side ends before the other
+                    return None
+                after = steps.get(state << 20 | token)
+                state = self.step(state, token) if after is None else after
+        # Both sides have a last token in each group.
+        return (inner_a, inner_b) if len(a) - more_a == len(b) - more_b else None
 
 
 class Aligner:
@@ -142,36 +140,37 @@ class Aligner:
         self._pieces = sentencepiece.SentencePieceProcessor(model_file=place(pieces))
         self.bytes_a, self.bytes_b = byte_level_bytes(place(vocabulary)), piece_bytes(self._pieces)
         self.transducer = Transducer(self.bytes_a, self.bytes_b)
-        told = lambda n, end: np.array([b"%d%s" % (k, end) for k in range(n)], object)
-        self._a = told(len(self.bytes_a), b","), told(len(self.bytes_a), b"|")
-        self._b = told(len(self.bytes_b), b","), told(len(self.bytes_b), b";")
+        told = lambda n, end: [f"{k}{end}" for k in range(n)]
+        self._a = told(len(self.bytes_a), ","), told(len(self.bytes_a), "|")
+        self._b = told(len(self.bytes_b), ","), told(len(self.bytes_b), ";")
 
-    def __call__(self, text: str | None):
-        """Ids of both sides and which of them end a group; None without tokens: for a null or empty text, or where the bytes aren't the text's."""
+    def __call__(self, text: str | None) -> tuple[list[int], list[int], list[int], list[int]] | None:
+        """Ids of both sides and the places of those that end no group; None without tokens: for a null or empty text, or where the bytes aren't the text's."""
         if not text:
             return None
         whole = " " + text
-        ids = self.encode_a(whole)
-        a, b = ids.tolist(), self._pieces.encode(text)
+        a, b = self.encode_a.ids(whole), self._pieces.encode(text)
         if b"".join(map(self.bytes_a.__getitem__, a)) != whole.encode():
             return None
-        long = self.transducer.long_groups(a, b)
-        if long is None:
-            return None
-        last_a, last_b = np.ones(len(a), bool), np.ones(len(b), bool)
-        for from_a, from_b, to_a, to_b in long:
-            last_a[from_a : to_a - 1] = last_b[from_b : to_b - 1] = False
-        return ids, np.array(b, np.uint32), last_a, last_b
+        inner = self.transducer.inner(a, b)
+        return None if inner is None else (a, b, *inner)
 
-    def told(self, a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> bytes:
+    def told(self, a: list[int], b: list[int], inner_a: list[int], inner_b: list[int]) -> str:
         """The groups as a1,a2|b1;a3|b2,b3."""
-        out = np.empty(len(a) + len(b), object)
-        # Before a group's tokens of a side come those of the other side's earlier groups, and for the second its own.
-        ends_a, ends_b = np.flatnonzero(last_a) + 1, np.flatnonzero(last_b) + 1
-        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
-        out[np.arange(len(a)) + np.concatenate([[0], ends_b])[group_a]] = np.where(last_a, self._a[1][a], self._a[0][a])
-        out[np.arange(len(b)) + ends_a[group_b]] = np.where(last_b, self._b[1][b], self._b[0][b])
-        return b"".join(out)[:-1]
+        sides = []
+        for ids, inner, (within, end) in ((a, inner_a, self._a), (b, inner_b, self._b)):
+            parts = list(map(end.__getitem__, ids))
+            for k in inner:
+                parts[k] = within[ids[k]]
+            sides.append("".join(parts)[:-1].split(end[0][-1]))
+        return ";".join([f"{x}|{y}" for x, y in zip(*sides)])
+
+
+def _last(ids: list[int], inner: list[int]) -> np.ndarray:
+    """The ids that end a group."""
+    last = np.ones(len(ids), bool)
+    last[inner] = False
+    return np.array(ids, np.int64)[last]
 
 
 @lru_cache(maxsize=1)
@@ -218,13 +217,13 @@ def aligned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voc
                 found = align(text.as_py())
                 if found is None:
                     sizes.append((0, 0, 0))
-                    told.append(b"")
+                    told.append("")
                     pairs.append(none)
                     times.append(none)
                     continue
-                a, b, last_a, last_b = found
+                a, b, inner_a, inner_b = found
                 told.append(align.told(*found))
-                links = a[last_a].astype(np.int64) * SHIFT + b[last_b]
+                links = _last(a, inner_a) * SHIFT + _last(b, inner_b)
                 sizes.append((len(a), len(b), len(links)))
                 pair, n = np.unique(links, return_counts=True)
                 pairs.append(pair)
@@ -232,7 +231,7 @@ def aligned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voc
             n_a, n_b, n_groups = (pa.array(x, pa.int64()) for x in zip(*sizes)) if sizes else (pa.array([], pa.int64()),) * 3
             ends = pa.array(np.cumsum([0, *map(len, pairs)]), pa.int32())
             listed = lambda parts, kind: pa.ListArray.from_arrays(ends, pa.array(np.concatenate([none, *parts]).astype(kind)))
-            columns = [batch.column(0), n_a, n_b, n_groups, pa.array(told, pa.binary()).cast(pa.string()), listed(pairs, np.int64), listed(times, np.int32)]
+            columns = [batch.column(0), n_a, n_b, n_groups, pa.array(told, pa.string()), listed(pairs, np.int64), listed(times, np.int32)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_a", "n_b", "n_groups", "groups", "pairs", "times"])
 
     long = F.lit(0).cast("long")

@@ -51,12 +51,13 @@ class Encoder:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             self._fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.empty(0, "<u4")
+    def ids(self, text: str) -> list[int]:
         if self._fast is None or self._odd.search(text):
-            return np.array(self._slow.encode(text, add_special_tokens=False).ids, "<u4")
-        return np.array(self._fast.encode_ordinary(text), "<u4")
+            return self._slow.encode(text, add_special_tokens=False).ids
+        return self._fast.encode_ordinary(text)
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        return np.array(self.ids(text), "<u4") if text else np.empty(0, "<u4")
 
 
 def place(name: str | None) -> str | None:
