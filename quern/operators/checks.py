@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -42,26 +43,81 @@ def results(tables: dict[str, DataFrame], rules: tuple[Rule, ...] = RULES) -> Da
     rule of kind ``unique`` counts rows beyond the distinct values of its
     column.
     """
+    return results_by(tables, rules)
+
+
+def results_by(tables: dict[str, DataFrame], rules: tuple[Rule, ...] = RULES, *by: str) -> DataFrame:
+    """The same for each value of the columns ``by``, which all tables have."""
     spark = next(iter(tables.values())).sparkSession
     out = None
     for name in dict.fromkeys(r.table for r in rules):
         own = [r for r in rules if r.table == name]
-        failed = [(F.count("*") - F.count_distinct(r.column)) if r.kind == "unique" else F.count_if(F.expr(f"NOT ({r.predicate})")) for r in own]
-        wide = tables[name].agg(F.count("*").alias("n"), *(f.alias(f"f{k}") for k, f in enumerate(failed)))
+        wide = tables[name].groupBy(*by).agg(F.count("*").alias("n"), *(_failed(r).alias(f"f{k}") for k, r in enumerate(own)))
         each = F.array(*(F.struct(F.lit(r.id).alias("rule_id"), F.lit(name).alias("table_name"), F.lit(r.severity).alias("severity"), F.col("n").alias("checked_rows"), F.col(f"f{k}").alias("failed_rows")) for k, r in enumerate(own)))
-        rows = wide.select(F.explode(each).alias("r")).select("r.*")
+        rows = wide.select(*by, F.explode(each).alias("r")).select(*by, "r.*")
         out = rows if out is None else out.unionByName(rows)
-    if out is None:
-        return spark.createDataFrame([], "rule_id string, table_name string, severity string, checked_rows long, failed_rows long, pass_rate double, status string")
+    return _rated(spark.createDataFrame([], _COUNTED) if out is None else out)
+
+
+_COUNTED = "rule_id string, table_name string, severity string, checked_rows long, failed_rows long"
+
+
+def _failed(rule: Rule, predicate: str | None = None) -> Column:
+    if rule.kind == "unique":
+        return F.count("*") - F.count_distinct(rule.column)
+    return F.count_if(F.expr(f"NOT ({predicate or rule.predicate})"))
+
+
+def _rated(counted: DataFrame) -> DataFrame:
     rate = F.when(F.col("checked_rows") > 0, F.round((F.col("checked_rows") - F.col("failed_rows")) / F.col("checked_rows"), 6)).otherwise(1.0)
-    return out.select("*", rate.alias("pass_rate"), F.when(F.col("failed_rows") == 0, "pass").otherwise(F.col("severity")).alias("status"))
+    return counted.select("*", rate.alias("pass_rate"), F.when(F.col("failed_rows") == 0, "pass").otherwise(F.col("severity")).alias("status"))
+
+
+def observed(rows: DataFrame, rules: dict[Rule, str]) -> tuple[DataFrame, Callable[[], DataFrame]]:
+    """``rows`` that count, as they are written, what fails rules, and a function that gives the results once they are.
+
+    ``rules`` has the predicate of each over the rows' columns. No job runs for
+    the counts. A rule of kind ``unique`` can't be counted so.
+    """
+    if any(r.kind == "unique" for r in rules):
+        raise ValueError("distinct values can't be counted while rows pass by")
+    seen = Observation()
+    out = rows.observe(seen, F.count(F.lit(1)).alias("n"), *(_failed(r, p).alias(r.id) for r, p in rules.items()))
+
+    def told() -> DataFrame:
+        found = seen.get
+        return _rated(rows.sparkSession.createDataFrame([(r.id, r.table, r.severity, found["n"], found[r.id]) for r in rules], _COUNTED))
+
+    return out, told
+
+
+def logged(found: DataFrame, path: str, run: str = "run_id") -> None:
+    """Appends the results of runs to a log partitioned by run. Runs that it has stay as they are, so that an append may be repeated."""
+    spark = found.sparkSession
+    spark.createDataFrame([], found.schema).write.mode("ignore").partitionBy(run).parquet(path)
+    there = spark.read.schema(found.schema).parquet(path).select(run).distinct()
+    found.join(there, run, "left_anti").repartition(run).write.mode("append").partitionBy(run).parquet(path)
+
+
+def latest_run(log: DataFrame, run: str = "run_id") -> DataFrame:
+    """The rows of the greatest run of a log partitioned by it. Only that run's files are read: its name is a subquery's, known before the scan."""
+    return log.where(F.col(run) == log.agg(F.max(run)).scalar())
+
+
+def history(log: DataFrame, run: str = "run_id") -> DataFrame:
+    """A row per run: rules, failed_rules, overall_pass_rate by rows, mean_pass_rate over rules, and the gate."""
+    return log.groupBy(run).agg(*_summed(), F.round(F.sum(F.col("pass_rate").cast("decimal(20,6)")).cast("double") / F.count("*"), 6).alias("mean_pass_rate"))
 
 
 def summary(found: DataFrame) -> DataFrame:
     """One row: rules, failed_rules, overall_pass_rate by rows, and the gate: hold on an error, degraded on a warning, else pass."""
+    return found.agg(*_summed())
+
+
+def _summed() -> list[Column]:
     rate = 1 - F.sum("failed_rows") / F.nullif(F.sum("checked_rows"), F.lit(0))
     gate = F.when(F.count_if(F.col("status") == "error") > 0, "hold").when(F.count_if(F.col("status") == "warn") > 0, "degraded").otherwise("pass")
-    return found.agg(F.count("*").alias("rules"), F.count_if(F.col("failed_rows") > 0).alias("failed_rules"), F.round(rate, 6).alias("overall_pass_rate"), gate.alias("gate"))
+    return [F.count("*").alias("rules"), F.count_if(F.col("failed_rows") > 0).alias("failed_rules"), F.round(rate, 6).alias("overall_pass_rate"), gate.alias("gate")]
 
 
 def failing(rows: DataFrame, rule: Rule, n: int = 20, tenant: str | None = None, order: str | None = None) -> DataFrame:

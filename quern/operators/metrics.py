@@ -108,10 +108,11 @@ def aggregate(formula: str) -> str:
     return re.sub(r"\bAVG\((\w+)\)", r"AVG(CAST(\1 AS DECIMAL(24,10)))", formula)
 
 
-def formula_column(formula: str) -> Column:
-    """The formula over columns named like its metrics; null where a divisor, a single metric, is zero."""
+def formula_column(formula: str, names: dict[str, str] | None = None) -> Column:
+    """The formula over columns named like its metrics, or by ``names``; null where a divisor, a single metric, is zero."""
     formula_parts(formula)
-    return F.expr(re.sub(r"/\s*([A-Z][A-Z0-9_]*)", r"/ nullif(\1, 0)", formula))
+    named = re.sub(r"[A-Z][A-Z0-9_]*", lambda m: (names or {}).get(m[0], m[0]), re.sub(r"/\s*([A-Z][A-Z0-9_]*)", r"/ nullif(\1, 0)", formula).replace("nullif", "\0"))
+    return F.expr(named.replace("\0", "nullif"))
 
 
 def in_force(definitions: DataFrame, days: DataFrame) -> DataFrame:
@@ -168,6 +169,47 @@ class Engine:
         # Each is one row.
         return reduce(DataFrame.crossJoin, each).select(formula_column(metric.formula).alias("value"))
 
+    def totals(self, wanted: list[tuple[str, str | None, date, date]], tenant: str | None = None) -> DataFrame:
+        """A row per (code, version, start, end): place, metric_code, caliber_version, start, end and value, as ``total`` has it.
+
+        Each detail table is aggregated once, with a filter for each metric and window.
+        """
+        named = [(self.dictionary.named(c, v, end), start, end) for c, v, start, end in wanted]
+        parts = [(p, start, end) for m, start, end in named for p in ([m] if m.source != "derived" else self.dictionary.parts(m, end))]
+        column = {x: f"v{k}" for k, x in enumerate(dict.fromkeys(parts))}
+        wide = None
+        for source in dict.fromkeys(m.source for m, _, _ in column):
+            own = {x: name for x, name in column.items() if x[0].source == source}
+            when = {x: f"{x[0].day} BETWEEN DATE '{x[1]}' AND DATE '{x[2]}'" for x in own}
+            rows = self.tables[source].where(" OR ".join(dict.fromkeys(when.values())))
+            rows = rows if tenant is None else rows.where(F.col("tenant_id") == tenant)
+            one = rows.agg(*(F.expr(f"{aggregate(x[0].formula)} FILTER (WHERE ({x[0].condition}) AND {when[x]})").cast("double").alias(name) for x, name in own.items()))
+            # Each is one row.
+            wide = one if wide is None else wide.crossJoin(one)
+
+        def value(m: Metric, start: date, end: date) -> Column:
+            if m.source != "derived":
+                return F.col(column[m, start, end])
+            return formula_column(m.formula, {p.code: column[p, start, end] for p in self.dictionary.parts(m, end)})
+
+        each = [F.struct(F.lit(k).alias("place"), F.lit(m.code).alias("metric_code"), F.lit(m.version).alias("caliber_version"), F.lit(start).alias("start"), F.lit(end).alias("end"), value(m, start, end).alias("value")) for k, (m, start, end) in enumerate(named)]
+        return wide.select(F.explode(F.array(*each)).alias("t")).select("t.*")
+
+    def comparisons(self, wanted: list[tuple[str, str]], start: date, end: date, tenant: str | None = None) -> DataFrame:
+        """``compared`` for many (code, kind): a row each, from one aggregate a detail table."""
+        windows = [(c, kind, *shifted(start, end, kind)) for c, kind in wanted]
+        there = [self.dictionary.resolve(c, e) is not None for c, _, _, e in windows]
+        asked = list(dict.fromkeys([(c, None, start, end) for c, _, _, _ in windows] + [(c, None, s, e) for (c, _, s, e), t in zip(windows, there) if t]))
+        wide = self.totals(asked, tenant).select(F.round("value", 4).alias("value"), "place").groupBy().pivot("place", list(range(len(asked)))).agg(F.first("value"))
+        at = lambda key: F.col(f"`{asked.index(key)}`")
+        each = []
+        for (c, kind, s, e), t in zip(windows, there):
+            now, then = at((c, None, start, end)), at((c, None, s, e)) if t else F.lit(None).cast("double")
+            each.append(F.struct(F.lit(c).alias("metric_code"), F.lit(kind).alias("compare"), F.lit(s).alias("previous_start"), F.lit(e).alias("previous_end"), now.alias("total"), then.alias("previous_total")))
+        rows = wide.select(F.explode(F.array(*each)).alias("c")).select("c.*")
+        delta = F.round(F.col("total") - F.col("previous_total"), 4)
+        return rows.select("*", delta.alias("delta"), F.round(delta / F.nullif(F.abs("previous_total"), F.lit(0.0)), 4).alias("delta_pct"))
+
     def materialized(self, start: date, end: date, targets: tuple[tuple[str, str], ...] = TARGETS) -> DataFrame:
         """metric_code, caliber_version, tenant_id, dt, dim_type, dim_value, value (4 places) of all tenants and targets.
 

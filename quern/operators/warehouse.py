@@ -90,3 +90,16 @@ def platform_split(shop_days: DataFrame) -> DataFrame:
     sums = shop_days.groupBy("platform").agg(money("paid_gmv").alias("paid"), money("refund_amount").alias("refund"), F.sum("order_cnt").alias("order_cnt"), F.count_distinct("shop_id").alias("shop_count"))
     rate = F.when(F.col("paid") != 0, F.round(F.col("refund").cast("double") / F.col("paid").cast("double"), 4)).otherwise(0.0)
     return sums.select("platform", F.round("paid", 2).cast("double").alias("paid_gmv"), rate.alias("refund_rate"), "order_cnt", "shop_count")
+
+
+def dashboard(shop_days: DataFrame, days: int = 30) -> DataFrame:
+    """part (all, day, tenant, platform) with its dt, tenant_id or platform: sums over the last days that have data, in one pass over them."""
+    last = shop_days.agg(F.max("dt")).first()[0]
+    money = lambda c: F.sum(F.col(c).cast("decimal(20,2)"))
+    by = ("dt", "tenant_id", "platform")
+    sets = shop_days.where(F.col("dt") > F.date_sub(F.lit(last), days)).groupingSets([[], ["dt"], ["tenant_id"], ["platform"]], *by)
+    sums = sets.agg(F.grouping_id().alias("g"), *(money(c).alias(c) for c in ("order_gmv", "paid_gmv", "settlement_gmv", "refund_amount")), F.sum("order_cnt").alias("order_cnt"), F.sum("cs_session_cnt").alias("cs_session_cnt"), F.count_distinct("shop_id").alias("shop_count"))
+    share = lambda a, b, d: F.when(F.col(b) != 0, F.round(F.col(a).cast("double") / F.col(b).cast("double"), d)).otherwise(0.0)
+    part = F.when(F.col("g") == 7, "all").when(F.col("g") == 3, "day").when(F.col("g") == 5, "tenant").otherwise("platform")
+    amounts = (F.col(c).cast("double").alias(c) for c in ("order_gmv", "paid_gmv", "settlement_gmv", "refund_amount"))
+    return sums.select(part.alias("part"), *by, *amounts, "order_cnt", "cs_session_cnt", "shop_count", share("refund_amount", "paid_gmv", 4).alias("refund_rate"), share("paid_gmv", "order_cnt", 2).alias("aov"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quern.operators import questions, retrieval
 from quern.plans.registry import ORACLES, QUERIES
 from quern.sources.commerce import SQL, Commerce, table
-from quern.sources.shared import kept
+from quern.sources.shared import kept, once
 
 
 def _query(name: str, sql: str | None):
@@ -22,15 +22,9 @@ def _query(name: str, sql: str | None):
     return add
 
 
-_stored: dict[tuple[str, str, str], retrieval.Index] = {}
-
-
 def index(spark: SparkSession, sf_dir: str, strategy: str = "fixed") -> retrieval.Index:
     """The knowledge base of a data folder as this application ingested it: chunks, postings and vectors, each written once and read by all queries."""
-    key = spark.sparkContext.applicationId, sf_dir, strategy
-    if key not in _stored:
-        _stored[key] = retrieval.Index(retrieval.chunked(Commerce(spark, sf_dir).kb_document(), strategy))
-    return _stored[key]
+    return once(spark, ("index", sf_dir, strategy), lambda: retrieval.Index(retrieval.chunked(Commerce(spark, sf_dir).kb_document(), strategy)))
 
 
 def chunks(spark: SparkSession, sf_dir: str, strategy: str = "fixed") -> DataFrame:

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from quern.functions.text import extract_numeric, normalize_barcode, normalize_code, normalize_text
 from quern.operators import checks, lineage, policy, warehouse
 from quern.operators.metrics import AMOUNTS, DEFINITIONS, DIMENSIONS, TARGETS, Dictionary, Engine, daily_series, in_force, kpis, shifted
+from quern.operators.pages import Pages
 from quern.operators.products import Matcher
 from quern.plans.registry import ORACLES, QUERIES
 from quern.sources.commerce import SQL, Commerce, table
+from quern.sources.shared import kept, new_path, once
 
 START, END = date(1992, 1, 1), date(1998, 12, 31)
 #: A window of the comparisons.
@@ -21,22 +23,54 @@ MONTH = date(1997, 3, 1), date(1997, 3, 31)
 
 
 class Detail(Commerce):
-    """The cleaned tables of one data folder."""
+    """The cleaned tables of one data folder. Those of orders and refunds are written when first wanted by an application and read from then on."""
+
+    def _written(self, name: str, build) -> DataFrame:
+        return once(self.spark, (name, self.sf_dir), lambda: kept(build(), name))
 
     def dwd_order(self) -> DataFrame:
-        return warehouse.clean_orders(self.raw_order())
+        return self._written("dwd_order", lambda: warehouse.clean_orders(self.raw_order()))
+
+    def _order_sku(self):
+        def make():
+            # The raw amount is what rules of raw orders are about; every raw order is a row here.
+            raw = self.raw_order().withColumn("raw_pay_amount", F.col("pay_amount"))
+            rows = Matcher(self.map_platform_sku()).resolved(warehouse.clean_orders(raw))
+            predicates = {r: re.sub(r"\bpay_amount\b", "raw_pay_amount", r.predicate) if r.table == "raw_order" else r.predicate for r in checks.RULES if r.table != "raw_refund"}
+            counted, told = checks.observed(rows, predicates)
+            return kept(counted.drop("raw_pay_amount"), "dwd_order_sku"), told
+
+        return once(self.spark, ("dwd_order_sku", self.sf_dir), make)
 
     def dwd_order_sku(self) -> DataFrame:
-        return Matcher(self.map_platform_sku()).resolved(self.dwd_order())
+        return self._order_sku()[0]
+
+    def quality(self) -> DataFrame:
+        """Results of all rules; those of orders were counted while dwd_order_sku was written."""
+        refunds = checks.results({"raw_refund": checks.with_order_max(self.raw_refund(), self.raw_order())}, tuple(r for r in checks.RULES if r.table == "raw_refund"))
+        return self._order_sku()[1]().unionByName(refunds)
+
+    def quality_log(self) -> DataFrame:
+        """Results of all rules for each month, a run each: a log partitioned by run."""
+
+        def make():
+            month = lambda df, day: df.withColumn("run_id", F.date_format(day, "yyyy-MM"))
+            refunds = checks.with_order_max(self.raw_refund(), self.raw_order())
+            tables = {"raw_order": month(self.raw_order(), "created_at"), "raw_refund": month(refunds, "refund_dt"), "dwd_order": month(self.dwd_order_sku(), "order_dt")}
+            path, found = new_path(self.spark, "dq_result"), checks.results_by(tables, checks.RULES, "run_id")
+            checks.logged(found, path)
+            return self.spark.read.schema(found.schema).parquet(path)
+
+        return once(self.spark, ("dq_result", self.sf_dir), make)
 
     def dwd_refund(self) -> DataFrame:
-        return warehouse.clean_refunds(self.raw_refund(), self.dwd_order())
+        return self._written("dwd_refund", lambda: warehouse.clean_refunds(self.raw_refund(), self.dwd_order()))
 
     def dwd_cs_session(self) -> DataFrame:
         return warehouse.clean_sessions(self.raw_cs_session())
 
     def shop_day(self) -> DataFrame:
-        return warehouse.shop_day(self.dwd_order(), self.dwd_refund(), self.dwd_cs_session(), self.dim_shop())
+        return self._written("dws_shop_day", lambda: warehouse.shop_day(self.dwd_order(), self.dwd_refund(), self.dwd_cs_session(), self.dim_shop()))
 
     def tenant_day(self) -> DataFrame:
         return warehouse.tenant_day(self.shop_day())
@@ -266,7 +300,24 @@ def _review(d: Detail) -> DataFrame:
     return d.dwd_order_sku().where("map_confidence < 0.99").groupBy("tenant_id", "platform", "platform_sku_code").agg(F.count("*").alias("n"))
 
 
-@_detail("review_candidates", None)
+def _shared_sql(name: str, pairs: str) -> str:
+    """A common table of pairs (tenant_id, code, matched, sku_id, id) with score, by a bit for each character of the code."""
+    return f"""{name}_at AS MATERIALIZED (SELECT n.*, list_transform(string_split(matched, ''), lambda x: list_sum(list_transform(range(length(code)), lambda i: CASE WHEN code[i + 1] = x THEN 1::BIGINT << i ELSE 0 END))::BIGINT) AS masks, (1::BIGINT << length(code)) - 1 AS every FROM {pairs} n),
+{name} AS (SELECT tenant_id, code, matched, sku_id, id, 200 * (length(code) - bit_count(list_reduce(list_prepend(every, masks), lambda v, x: ((v + (v & x)) | (v - (v & x))) & every))) / (length(code) + length(matched)) AS score FROM {name}_at)"""
+
+
+# Codes with three matches of 88 or more, which few edits bound, need no other comparison.
+_REVIEW_SQL = _EXACT_SQL + f""", bad AS (SELECT DISTINCT tenant_id, code FROM resolved WHERE coalesce(exact_confidence, 0) < 0.99 AND platform_sku_code IS NOT NULL),
+few AS (SELECT tenant_id, code, matched, sku_id, id FROM bad JOIN pool USING (tenant_id) WHERE abs(length(code) - length(matched)) * 100 <= 12 * (length(code) + length(matched)) AND levenshtein(code, matched) * 100 <= 12 * (length(code) + length(matched))),
+{_shared_sql("close", "few")},
+full_three AS (SELECT tenant_id, code FROM close WHERE score >= 88 GROUP BY ALL HAVING count(*) >= 3),
+rest AS (SELECT tenant_id, code, matched, sku_id, id FROM bad ANTI JOIN full_three USING (tenant_id, code) JOIN pool USING (tenant_id)),
+{_shared_sql("far", "rest")},
+every_pair AS (SELECT * FROM close SEMI JOIN full_three USING (tenant_id, code) UNION ALL SELECT * FROM far)
+SELECT tenant_id, code, rank::INTEGER AS rank, matched, round(score / 100, 3) AS score, sku_id FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, code ORDER BY score DESC, id) AS rank FROM every_pair) r WHERE rank <= 3"""
+
+
+@_detail("review_candidates", _REVIEW_SQL)
 def _candidates(d: Detail) -> DataFrame:
     """The three most similar codes for each code that no exact rule resolves."""
     matcher = Matcher(d.map_platform_sku())
@@ -302,11 +353,8 @@ _TOTALS_SQL = " UNION ALL ".join(f"SELECT '{m.code}' AS metric_code, '{m.version
 @_detail("metric_totals", _TOTALS_SQL)
 def _totals(d: Detail) -> DataFrame:
     """Every metric over the whole period, aggregated from the detail."""
-    engine, out = d.engine(), None
-    for m in DEFINITIONS:
-        one = engine.total(m.code, m.version, start=START, end=END).select(F.lit(m.code).alias("metric_code"), F.lit(m.version).alias("caliber_version"), F.round("value", 4).alias("value"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    wanted = [(m.code, m.version, START, END) for m in DEFINITIONS]
+    return d.engine().totals(wanted).select("metric_code", "caliber_version", F.round("value", 4).alias("value"))
 
 
 def _compare_sql(code: str, kind: str) -> str:
@@ -322,11 +370,29 @@ _COMPARED = tuple((c, k) for c in ("GMV_PAID", "AOV_PAID", "ORDER_CNT") for k in
 @_detail("metric_compare", " UNION ALL ".join(_compare_sql(c, k) for c, k in _COMPARED))
 def _compare(d: Detail) -> DataFrame:
     """A month against the one before and the same a year before."""
-    engine, out = d.engine(), None
-    for c, k in _COMPARED:
-        one = engine.compared(c, start=MONTH[0], end=MONTH[1], compare=k)
-        out = one if out is None else out.unionByName(one)
-    return out
+    return d.engine().comparisons(list(_COMPARED), *MONTH)
+
+
+_PAGE = (40, 20)
+
+
+@_detail("metric_points_page", f"""SELECT dt, tenant_id, dim_value, value, place, total FROM (SELECT *, row_number() OVER (ORDER BY dt, tenant_id, dim_value) AS place FROM (SELECT dt, tenant_id, dim_value, round(value, 4) AS value FROM ({_points_sql("GMV_PAID", "v1.1", "platform")}) p WHERE dim_value IN ('jd', 'tmall')) q) r, (SELECT round(value, 4) AS total FROM ({_total_sql("GMV_PAID", "v1.1")}) t) t WHERE place BETWEEN {_PAGE[0] + 1} AND {_PAGE[0] + _PAGE[1]}""")
+def _points_page(d: Detail) -> DataFrame:
+    """A page of the points of two platforms in order, beside the total of all, which the choice of platforms doesn't touch."""
+    engine, window = d.engine(), {"start": START, "end": END}
+    points = engine.series("GMV_PAID", dim="platform", **window).where(F.col("dim_value").isin("jd", "tmall")).withColumn("value", F.round("value", 4))
+    page = Pages(points, "dt", "tenant_id", "dim_value").page(*_PAGE)
+    # One row.
+    return page.crossJoin(F.broadcast(engine.total("GMV_PAID", **window).select(F.round("value", 4).alias("total"))))
+
+
+@_detail("dashboard_summary", """SELECT CASE grouping(dt, tenant_id, platform) WHEN 7 THEN 'all' WHEN 3 THEN 'day' WHEN 5 THEN 'tenant' ELSE 'platform' END AS part, dt, tenant_id, platform, round(sum(order_gmv::DECIMAL(20,2)), 2)::DOUBLE AS order_gmv, round(sum(paid_gmv::DECIMAL(20,2)), 2)::DOUBLE AS paid_gmv,
+  round(sum(settlement_gmv::DECIMAL(20,2)), 2)::DOUBLE AS settlement_gmv, round(sum(refund_amount::DECIMAL(20,2)), 2)::DOUBLE AS refund_amount, sum(order_cnt)::BIGINT AS order_cnt, sum(cs_session_cnt)::BIGINT AS cs_session_cnt, count(DISTINCT shop_id) AS shop_count,
+  CASE WHEN sum(paid_gmv::DECIMAL(20,2)) <> 0 THEN round(sum(refund_amount::DECIMAL(20,2))::DOUBLE / sum(paid_gmv::DECIMAL(20,2))::DOUBLE, 4) ELSE 0 END AS refund_rate, CASE WHEN sum(order_cnt) <> 0 THEN round(sum(paid_gmv::DECIMAL(20,2))::DOUBLE / sum(order_cnt), 2) ELSE 0 END AS aov
+FROM dws_shop_day WHERE dt > (SELECT max(dt) FROM dws_shop_day) - 30 GROUP BY GROUPING SETS ((), (dt), (tenant_id), (platform))""")
+def _dashboard(d: Detail) -> DataFrame:
+    """The last thirty days that have data: all, by day, by tenant and by platform."""
+    return warehouse.dashboard(d.shop_day())
 
 
 @_detail("metric_result", f"SELECT * FROM ({_RESULTS_SQL}) r")
@@ -372,28 +438,48 @@ def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return in_force(Dictionary().frame(spark), days)
 
 
-def _dq_tables(d: Detail) -> dict[str, DataFrame]:
-    return {"raw_order": d.raw_order(), "raw_refund": checks.with_order_max(d.raw_refund(), d.raw_order()), "dwd_order": d.dwd_order_sku()}
-
-
-_DQ_SQL = DETAIL + """, dq AS (
+_DQ_SQL = DETAIL + _EXACT_SQL + """, dq AS (
   SELECT 'DQ001' AS rule_id, 'raw_order' AS table_name, 'error' AS severity, count(*) AS n, count(*) FILTER (WHERE NOT (pay_amount IS NOT NULL)) AS f FROM raw_order
   UNION ALL SELECT 'DQ002', 'raw_order', 'error', count(*), count(*) FILTER (WHERE NOT (pay_amount > 0)) FROM raw_order
   UNION ALL SELECT 'DQ003', 'raw_order', 'warn', count(*), count(*) FILTER (WHERE NOT (qty > 0 AND qty <= 100)) FROM raw_order
   UNION ALL SELECT 'DQ004', 'raw_refund', 'error', count(*), count(*) FILTER (WHERE NOT (refund_amount > 0 AND refund_amount <= most)) FROM raw_refund LEFT JOIN (SELECT order_id, max(pay_amount) AS most FROM raw_order GROUP BY 1) o USING (order_id)
-  UNION ALL SELECT 'DQ005', 'dwd_order', 'warn', count(*), count(*) FILTER (WHERE platform_sku_code IS NULL) FROM dwd_order
+  UNION ALL SELECT 'DQ005', 'dwd_order', 'warn', count(*), count(*) FILTER (WHERE coalesce(sku1, sku2, sku3) IS NULL) FROM resolved
   UNION ALL SELECT 'DQ006', 'dwd_order', 'error', count(*), count(*) FILTER (WHERE NOT (net_amount >= 0)) FROM dwd_order
 ) """
 
 
 @_query("dq_results", _DQ_SQL + "SELECT rule_id, table_name, severity, n AS checked_rows, f AS failed_rows, round((n - f) / n, 6) AS pass_rate, CASE WHEN f = 0 THEN 'pass' ELSE severity END AS status FROM dq")
 def _dq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.results(_dq_tables(Detail(spark, sf_dir)))
+    return Detail(spark, sf_dir).quality()
 
 
 @_query("dq_summary", _DQ_SQL + "SELECT count(*) AS rules, count(*) FILTER (WHERE f > 0) AS failed_rules, round(1 - sum(f) / sum(n), 6) AS overall_pass_rate, CASE WHEN bool_or(f > 0 AND severity = 'error') THEN 'hold' WHEN bool_or(f > 0) THEN 'degraded' ELSE 'pass' END AS gate FROM dq")
 def _dq_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.summary(checks.results(_dq_tables(Detail(spark, sf_dir))))
+    return checks.summary(Detail(spark, sf_dir).quality())
+
+
+def _run_sql(rule: str, name: str, severity: str, rows: str, day: str, bad: str) -> str:
+    return f"SELECT strftime({day}, '%Y-%m') AS run_id, '{rule}' AS rule_id, '{name}' AS table_name, '{severity}' AS severity, count(*) AS n, count(*) FILTER (WHERE NOT ({bad})) AS f FROM {rows} GROUP BY 1"
+
+
+_CAPPED = "(SELECT r.*, most AS order_max FROM raw_refund r LEFT JOIN (SELECT order_id, max(pay_amount) AS most FROM raw_order GROUP BY 1) o USING (order_id))"
+_RUN_ROWS = {"raw_order": ("raw_order", "created_at"), "raw_refund": (_CAPPED, "refund_dt"), "dwd_order": ("(SELECT d.*, coalesce(sku1, sku2, sku3) AS sku_id FROM resolved d)", "order_dt")}
+_RUNS_SQL = (
+    DETAIL + _EXACT_SQL + ", runs AS (" + " UNION ALL ".join(_run_sql(r.id, r.table, r.severity, *_RUN_ROWS[r.table], r.predicate) for r in checks.RULES) + """),
+rated AS (SELECT *, round((n - f) / n, 6) AS pass_rate, CASE WHEN f = 0 THEN 'pass' ELSE severity END AS status FROM runs) """
+)
+
+
+@_query("dq_history", _RUNS_SQL + "SELECT run_id, count(*) AS rules, count(*) FILTER (WHERE f > 0) AS failed_rules, round(1 - sum(f) / sum(n), 6) AS overall_pass_rate, CASE WHEN bool_or(status = 'error') THEN 'hold' WHEN bool_or(status = 'warn') THEN 'degraded' ELSE 'pass' END AS gate, round(sum(pass_rate::DECIMAL(20,6))::DOUBLE / count(*), 6) AS mean_pass_rate FROM rated GROUP BY 1 ORDER BY 1 DESC LIMIT 10")
+def _dq_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last ten runs of the log of quality results."""
+    return checks.history(Detail(spark, sf_dir).quality_log()).orderBy(F.desc("run_id")).limit(10)
+
+
+@_query("dq_latest_run", _RUNS_SQL + "SELECT run_id, rule_id, table_name, severity, n AS checked_rows, f AS failed_rows, pass_rate, status FROM rated WHERE run_id = (SELECT max(run_id) FROM rated)")
+def _dq_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rule's result in the latest run."""
+    return checks.latest_run(Detail(spark, sf_dir).quality_log())
 
 
 @_detail("dq_failing_orders", "SELECT order_line_id, tenant_id, pay_amount::DOUBLE AS pay_amount FROM raw_order WHERE NOT (pay_amount > 0) AND tenant_id = 'T1' ORDER BY order_line_id LIMIT 20")

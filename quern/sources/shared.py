@@ -10,10 +10,13 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_once: dict[tuple, Any] = {}
 
 
 def folder(spark: SparkSession) -> str:
@@ -51,6 +54,14 @@ def kept_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def once(spark: SparkSession, key: tuple, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, made when first wanted by this application and then held under ``key`` until ``cleared``."""
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _once:
+        _once[key] = make()
+    return _once[key]
+
+
 def dropped(spark: SparkSession, path: str) -> None:
     """Removes a table that nothing reads any more."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -58,5 +69,7 @@ def dropped(spark: SparkSession, path: str) -> None:
 
 
 def cleared(spark: SparkSession) -> None:
-    """Removes all that this application has kept. Call it when results that read such tables have been written."""
+    """Removes all that this application has kept, so that it is made anew when wanted. Call it when results that read such tables have been written."""
+    for key in [k for k in _once if k[0] == spark.sparkContext.applicationId]:
+        del _once[key]
     dropped(spark, folder(spark))
