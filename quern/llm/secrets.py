@@ -12,6 +12,7 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,9 +26,15 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # maximal runs, as shorter ones are dropped
 # Candidates are of 30 bytes or more: no key that is in use is shorter.
+LEAST = 30
 _HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){30,}(?![0-9A-Fa-f])")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/]{40,}(?:\r?\n[A-Za-z0-9+/]+)*={0,2}")
-_URL64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9_-]{40,}(?:\r?\n[A-Za-z0-9_-]+)*={0,2}")
+#: What keys begin with in base64: a sequence of a short or long length that holds a version of 0 or 1, or OpenSSH's magic.
+_HEAD = re.compile(r"M[A-H][AEIMQUYcgkosw048]CAQ[AE]|MI[E-H][\w+/-]AgE[AB]|MI[I-L][\w+/-][\w+/-][AQgw]IB|MI[M-P][\w+/-]{4}|b3BlbnNzaC1rZXktdjEA", re.A)
+#: Both alphabets of base64, in lines that may be indented and may end in line ends as JSON and .env files write them.
+_RUN = re.compile(r"[A-Za-z0-9+/_-]+(?:(?:\r?\n|\\+r\\+n|\\+n)[ \t]*+[A-Za-z0-9+/_-]+)*")
+_PIECE = re.compile(r"(?:\r?\n|\\+r\\+n|\\+n)[ \t]*+")
+#: What may stand before a key: nothing that could be a part of it, the end of a path's step, or a line end as such files write it.
+_BEFORE = re.compile(r"(?:^|[^A-Za-z0-9]|\\[rn])\Z")
 _ESCAPE = re.compile(r"(?<!\\)\\++[rn]")  # a line end as JSON and .env files write it
 _DEK = re.compile(r"DEK-Info:\s*([A-Z0-9-]+),([0-9A-Fa-f]+)")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
@@ -62,10 +69,10 @@ def _unit(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
 
 
 def _units(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
-    """The units that fill at..end exactly."""
+    """The units that fill at..end exactly; none if they are more than a key has."""
     found = []
     while at < end:
-        if (unit := _unit(data, at, end)) is None:
+        if len(found) == 10 or (unit := _unit(data, at, end)) is None:
             return None
         found.append(unit)
         at = unit[2]
@@ -73,10 +80,18 @@ def _units(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
 
 
 def is_der_key(data: bytes) -> bool:
-    """A private key in DER: PKCS#1 (nine integers with the version or more), DSA (six), SEC1 or PKCS#8, each length nested rightly."""
-    outer = _unit(data, 0, len(data))
-    if outer is None or outer[0] != 0x30 or outer[2] != len(data):
-        return False
+    return _der_end(data, 0) == len(data)
+
+
+def _der_end(data: bytes, start: int) -> int | None:
+    """Where the private key in DER at ``start`` ends: PKCS#1 (nine integers with the version or more), DSA (six), SEC1 or PKCS#8, each length nested rightly."""
+    outer = _unit(data, start, len(data))
+    if outer is None or outer[0] != 0x30 or not _is_key(data, outer):
+        return None
+    return outer[2]
+
+
+def _is_key(data: bytes, outer: tuple[int, int, int]) -> bool:
     parts = _units(data, outer[1], outer[2])
     if not parts or parts[0][0] != 0x02 or parts[0][2] - parts[0][1] != 1 or data[parts[0][1]] > 1:
         return False
@@ -105,11 +120,11 @@ def is_encrypted_key(data: bytes) -> bool:
     return bool(algorithm) and algorithm[0][0] == 0x06
 
 
-def _openssh_end(data: bytes) -> int | None:
-    """Where the OpenSSH private key that ``data`` starts with ends: the magic, cipher, kdf and options, a count, that many public keys and the private part."""
-    if not data.startswith(b"openssh-key-v1\0"):
+def _openssh_end(data: bytes, start: int = 0) -> int | None:
+    """Where the OpenSSH private key at ``start`` ends: the magic, cipher, kdf and options, a count, that many public keys and the private part."""
+    if not data.startswith(b"openssh-key-v1\0", start):
         return None
-    at, strings, count = 15, 3, None
+    at, strings, count = start + 15, 3, None
     while strings:
         if at + 4 > len(data):
             return None
@@ -183,48 +198,75 @@ def _pem_spans(text: str) -> Iterator[tuple[int, int, str]]:
                 yield start.start(), m.end(), "pem"
 
 
-def _key_in(run: str) -> tuple[int, str] | None:
-    """How much of the candidate the key that it starts with takes, and its kind.
-
-    What it decodes to says where the key ends; words on the lines after a key
-    look like more of it. The run is decoded once, however long it is.
-    """
-    if (_plain(run[:16]) or b"")[:1] not in (b"0", b"o"):  # a sequence's tag, or OpenSSH's magic
-        return None
-    lines = run.split("\n")
-    sizes = [len(x.rstrip("\r=")) for x in lines]
-    whole = "".join(x.rstrip("\r=") for x in lines)
-    data = _plain(whole[: len(whole) - (len(whole) % 4 == 1)])
-    if data is None:
-        return None
-    if data[:1] == b"0":
-        outer = _unit(data, 0, len(data))
-        end, kind = outer and outer[2], "der"
-    else:
-        end, kind = _openssh_end(data), "openssh"
-    if end is None:
+class _Run:
+    """Lines of base64 from a place in a text on, put together once; what they decode to from each of four places is made when first asked for."""
+
+    def __init__(self, text: str, start: int):
+        self.text, self.end = text, _RUN.match(text, start).end()
+        self.begins, self.places, parts, at, size = [], [], [], start, 0
+        for end, after in [*((m.start(), m.end()) for m in _PIECE.finditer(text, start, self.end)), (self.end, self.end)]:
+            self.begins.append(size)
+            self.places.append(at)
+            parts.append(text[at:end])
+            size, at = size + end - at, after
+        self.clean, self._decoded = "".join(parts), {}
+
+    def index(self, place: int) -> int:
+        k = bisect_right(self.places, place) - 1
+        return self.begins[k] + place - self.places[k]
+
+    def place(self, index: int) -> int:
+        k = bisect_right(self.begins, index) - 1
+        return self.places[k] + index - self.begins[k]
+
+    def decoded(self, phase: int) -> bytes:
+        if phase not in self._decoded:
+            part = self.clean[phase:].replace("-", "+").replace("_", "/")
+            part = part[: len(part) - (len(part) % 4 == 1)]
+            self._decoded[phase] = base64.b64decode(part + "=" * (-len(part) % 4))
+        return self._decoded[phase]
+
+
+def _key_at(run: _Run, place: int) -> tuple[int, str] | None:
+    """Where the key that begins at a place of a run ends, and its kind. What it decodes to says how long it is."""
+    i = run.index(place)
+    phase = i % 4
+    data, at = run.decoded(phase), (i - phase) // 4 * 3
+    kind = "der" if data[at : at + 1] == b"0" else "openssh"
+    end = _der_end(data, at) if kind == "der" else _openssh_end(data, at)
+    if end is None or end - at < LEAST:
         return None
-    wanted = -(-4 * end // 3)
-    if wanted < len(whole) and (_plain(whole[:wanted]) or b"") != data[:end]:
+    last = i + -(-4 * (end - at) // 3)
+    whole = run.clean[i:last]
+    if len(whole) < last - i or ("-" in whole or "_" in whole) and ("+" in whole or "/" in whole):
         return None
-    if kind == "der" and not is_der_key(data[:end]):
+    stop = run.place(last - 1) + 1
+    if run.text[stop : stop + 1].isalnum():  # a key ends where its line does
         return None
-    at = seen = 0
-    for line, size in zip(lines, sizes):
-        seen += size
-        if seen == wanted:  # a key ends where a line does
-            return at + len(line.rstrip("\r")), kind
-        if seen > wanted:
-            return None
-        at += len(line) + 1
-    return None
+    while stop < len(run.text) and run.text[stop] == "=" and (last - i) % 4:
+        stop, last = stop + 1, last + 1
+    return stop, kind
+
+
+def _key_spans(text: str) -> Iterator[tuple[int, int, str]]:
+    """Keys in base64, wherever they begin in a run of lines of it. A run is decoded four times at most, and a beginning costs a look at ten lengths."""
+    run, at = None, 0
+    while m := _HEAD.search(text, at):
+        at = m.start() + 1
+        if not _BEFORE.search(text[max(0, m.start() - 2) : m.start()]):
+            continue
+        if run is None or m.start() >= run.end:
+            run = _Run(text, m.start())
+        if found := _key_at(run, m.start()):
+            at = found[0]
+            yield m.start(), *found
 
 
 def confirmed_spans(text: str) -> Iterator[tuple[int, int, str]]:
     """(start, end, kind) of candidates whose decoded content has the structure of a secret.
 
-    The time is in proportion to the text: candidates of a kind don't overlap,
-    and each is decoded once.
+    The time is in proportion to the text: runs of base64 don't overlap, and each
+    is decoded a fixed number of times.
     """
     if "eyJ" in text:
         for m in _JWT.finditer(text):
@@ -232,14 +274,7 @@ def confirmed_spans(text: str) -> Iterator[tuple[int, int, str]]:
                 yield m.start(), m.end(), "jwt"
     if "-----BEGIN " in text:
         yield from _pem_spans(text)
-    seen = set()
-    for m in _BASE64.finditer(text):
-        if found := _key_in(m[0]):
-            seen.add(m.start())
-            yield m.start(), m.start() + found[0], found[1]
-    for m in _URL64.finditer(text):
-        if m.start() not in seen and ("-" in m[0] or "_" in m[0]) and (found := _key_in(m[0])):
-            yield m.start(), m.start() + found[0], found[1]
+    yield from _key_spans(text)
     for m in _HEX_ANY.finditer(text):
         data = bytes.fromhex(m[0])
         kind = "der" if is_der_key(data) else "openssh" if is_openssh_key(data) else None

@@ -96,6 +96,46 @@ def test_lines_after_a_key_are_not_of_it(kind, data, tail):
     assert list(secrets.confirmed_spans(f"{wrapped}\r\n{tail} end")) == [(0, len(wrapped), kind)]
 
 
+BARE = der(0x30, der(2, b"\x01"), der(4, bytes(range(32))), der(0xA0, der(6, b"\x2a\x86\x48\xce")), der(0xA1, b"\0"))
+KEY = base64.b64encode(BARE).decode()
+
+
+def keys_of(text):
+    return sorted(text[s:e] for s, e, _ in secrets.confirmed_spans(text))
+
+
+@pytest.mark.parametrize("run", [KEY, KEY.rstrip("="), base64.b64encode(RSA).decode().rstrip("=")])
+def test_every_key_of_a_run_is_found(run):
+    for end in ("\n", "\r\n", "\\n", "\\r\\n", "\n    ", "\n\t"):
+        for n in (2, 3, 5):
+            assert keys_of(end.join([run] * n)) == [run] * n, end
+    assert keys_of(hashlib.sha1(b"x").hexdigest() + "\n" + run) == [run]
+    assert keys_of("A" * 44 + "\n" + run + "\n" + "b" * 44) == [run]
+    assert keys_of("path/" + run + "\nlog/of/keys/" + run) == [run] * 2
+    assert keys_of("- " + run + "\n- " + run) == [run] * 2
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\n  ", "\r\n\t", "\\n", "\\r\\n", "\\\\n"])
+@pytest.mark.parametrize("data", [RSA, DSA, SSH])
+def test_keys_in_indented_and_escaped_lines(data, end):
+    run = base64.b64encode(data).decode()
+    wrapped = end.join(run[k : k + 64] for k in range(0, len(run), 64))
+    assert keys_of(f"key: {end}{wrapped}{end}{wrapped}{end}words") == [wrapped] * 2
+    assert keys_of(f"key: {end}{wrapped.replace(run[20], '!', 1)}") == []
+
+
+def test_a_key_within_a_word_is_none():
+    assert keys_of("x" + KEY) == [] and keys_of(KEY.rstrip("=") + "x") == []
+
+
+def test_beginnings_without_keys_take_time_in_proportion():
+    head = base64.b64encode(der(0x30, der(2, b"\0"), der(2, b"\1" * 60_000))).decode()[:16]
+    for text in ((head + "/") * 300_000, "\n".join([head] * 300_000), "MHcCAQEE\n" * 500_000, (KEY.rstrip("=")[:-1] + "\n") * 50_000):
+        began = time.process_time()
+        list(secrets.confirmed_spans(text))
+        assert time.process_time() - began < 20
+
+
 def test_long_texts_take_time_in_proportion():
     junk = base64.b64encode(der(0x30, der(2, b"\0"), b"\x05" * 7_500_000)).decode()
     texts = ["\n".join(junk[k : k + 76] for k in range(0, len(junk), 76)), "-----BEGIN PRIVATE KEY-----\n" * 100_000, "\\" * 2_000_000, "-----BEGIN " + "A" * 2_000_000, "-----BEGIN RSA PRIVATE KEY-----" + "a" * 2_000_000 + ": -----END RSA PRIVATE KEY-----", "eyJ" + "a" * 2_000_000, "token" + " " * 2_000_000, "ab" * 3_000_000 + "a"]
