@@ -91,6 +91,36 @@ def test_urls_of_many_shared_words_end_soon(spark):
     assert out[4].verdict == "block" and out[4].mined and out[30].verdict == "allow"
 
 
+def test_a_rule_is_found_among_many_surer_items(spark):
+    """Eleven items of share 0.83 and two of share 0.63 that come together on blocked rows alone: thirteen items on a row."""
+    many = [f"m{k}" for k in range(11)]
+    rows = [([*many, "a", "b"], "block")] * 100 + [(many, "allow")] * 20 + [(["a"], "allow")] * 59 + [(["b"], "allow")] * 59 + [([f"x{k}"], "allow") for k in range(400)]
+    got = {tuple(r.tokens): r.confidence for r in urls.mined(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.01, 0.9).collect()}
+    assert got[("a", "b")] == 1.0
+
+
+@pytest.mark.parametrize("most_items", [0, 3, 6])
+def test_rules_up_to_the_longest_equal_brute_force(spark, most_items):
+    """Whatever rows FP-growth is given and whatever are counted level by level."""
+    rng, names = random.Random(5), [f"t{k}" for k in range(9)]
+    rows = []
+    for _ in range(300):
+        tokens = rng.sample(names, rng.randint(1, 8))
+        rows.append((tokens, "block" if {"t1", "t2", "t3"} <= set(tokens) or rng.random() < 0.05 or {"t7", "t8"} <= set(tokens) else "allow"))
+    table = spark.createDataFrame(rows, "tokens array<string>, verdict string")
+    got = {tuple(r.tokens): (round(r.confidence, 9), round(r.support, 9)) for r in urls.mined(table, 0.03, 0.85, most_items).collect()}
+    counts = {}
+    for size in (1, 2, 3):
+        for c in itertools.combinations(names, size):
+            held = [v for t, v in rows if set(c) <= set(t)]
+            b = sum(v == "block" for v in held)
+            if b >= max(2, 0.03 * len(rows)) and b >= 0.85 * len(held):
+                counts[c] = (b / len(held), b / len(rows))
+    want = {c: v for c, v in counts.items() if not any(counts.get(p, (0,))[0] >= v[0] for p in itertools.combinations(c, len(c) - 1))}
+    assert {c: v for c, v in got.items() if len(c) <= 3} == {c: (round(a, 9), round(b, 9)) for c, (a, b) in want.items()}
+    assert any(len(c) == 3 for c in want) and any(len(c) == 2 for c in want)
+
+
 def test_of_equally_long_rules_the_greatest_text_wins(spark):
     rules = (("a.b", "/x/", "block"), ("b", "/x/yy", "allow"))
     r = urls.judged(spark.createDataFrame([(1, "http://a.b/x/yyz")], "page_id long, url string"), rules).first()
