@@ -9,8 +9,13 @@ Both only say what is worth comparing. Documents that they join, directly or by
 way of others, are compared exactly, by their shingles' hashes of 64 bits. Many
 small groups share a task; a large one is cut into tiles by its documents'
 counts of shingles, which similarity bounds, and each pair of tiles within that
-bound is a task. A task returns the documents that have an earlier similar one,
-never the pairs.
+bound is a task. A task never returns pairs.
+
+A document goes if an earlier one that stays is similar to it. A task that holds
+a whole group decides so at once. Of a group in tiles each document learns of
+the earliest one similar to it: those without one stay, those whose earliest one
+stays go, and the few that are left, which lean on documents that went, are
+compared with what stays and among each other in another round.
 """
 
 from __future__ import annotations
@@ -111,20 +116,46 @@ def similar_pairs(hashes: list[np.ndarray], first: int | None = None) -> tuple[n
     return i[keep], j[keep]
 
 
+def _gone(i: np.ndarray, j: np.ndarray, stays: np.ndarray) -> np.ndarray:
+    """Which rows go, in order: those with an earlier similar one (pairs i, j) that stays; rows of ``stays`` do so anyway."""
+    gone = np.zeros(len(stays), bool)
+    order = np.lexsort((i, j))
+    i, j = i[order], j[order]
+    cuts = np.flatnonzero(np.concatenate([[True], j[1:] != j[:-1], [True]])) if len(j) else np.zeros(1, int)
+    for a, b in zip(cuts, cuts[1:]):
+        gone[j[a]] = not stays[j[a]] and not gone[i[a:b]].all()
+    return gone
+
+
 def _compared(key, table):
-    """c of the documents of a task's groups that are similar to an earlier one of their group."""
+    """What a task learns of documents: c, gone, and in a tile the earliest undecided one that is similar, as place (null, id, t) and c."""
     table = table.sort_by([("null", "ascending"), ("id", "ascending"), ("t", "ascending")])
-    root, side, c = (table.column(x).to_numpy() for x in ("root", "side", "c"))
+    root, side, c, stays = (table.column(x).to_numpy() for x in ("root", "side", "c", "stays"))
+    whole = key[0].as_py()["root"] == -1
     order = np.lexsort((side, root))  # places in the table tell which document is earlier
     root, side = root[order], side[order]
     hashes = [np.frombuffer(x.as_py(), "<u8") for x in table.column("hashes").take(pa.array(order))]
     cuts = np.flatnonzero(np.concatenate([[True], root[1:] != root[:-1], [True]]))
-    gone = []
+    earlier, later = [], []
     for a, b in zip(cuts, cuts[1:]):
         split = int(np.searchsorted(side[a:b], 1))
         i, j = similar_pairs(hashes[a:b], split if split < b - a else None)
-        gone.append(np.maximum(order[a:b][i], order[a:b][j]))
-    return pa.table({"c": c[np.unique(np.concatenate(gone))]})
+        x, y = order[a:b][i], order[a:b][j]
+        earlier.append(np.minimum(x, y))
+        later.append(np.maximum(x, y))
+    i, j = np.concatenate(earlier), np.concatenate(later)
+    if whole:
+        gone, first = _gone(i, j, stays), np.full(len(c), -1)
+    else:
+        gone, first = np.zeros(len(c), bool), np.full(len(c), len(c))
+        gone[j[stays[i]]] = True
+        np.minimum.at(first, j[~stays[i]], i[~stays[i]])
+        first[first == len(c)] = -1
+    gone &= ~stays
+    told = np.flatnonzero(gone | (first >= 0) & ~stays)
+    at = pa.array(np.where(first[told] >= 0, first[told], 0), mask=first[told] < 0)
+    columns = [pa.array(c[told]), pa.array(gone[told]), *(table.column(x).take(at).combine_chunks() for x in ("null", "id", "t", "c"))]
+    return pa.table(columns, ["c", "gone", "null", "id", "t", "first"])
 
 
 def _tasks(members: DataFrame) -> DataFrame:
@@ -159,11 +190,33 @@ def _hash(d: str):
 
 
 def remaining(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Column d of the documents that stay: the least of those with the same words, unless an earlier one is similar."""
+    """Column d of the documents that stay: the least of those with the same words, unless an earlier one that stays is similar."""
     same = signatures(docs, id_col, text_col).groupBy("w").agg(F.min("d").alias("d"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     unique, unique_path = staged_at(same.drop("w").withColumn("c", F.monotonically_increasing_id()), "unique")
     joined = candidates(unique.select("c", "fp", "keys"))
     members, members_path = staged_at(unique.select("c", "d", "n").join(joined, F.col("c") == F.col("node")).drop("node"), "members")
+    open_ones, gone = members.withColumn("stays", F.lit(False)), None
+    while True:
+        found = staged(_told(docs, open_ones, id_col, text_col).groupBy("c").agg(F.max("gone").alias("gone"), F.min(F.when(F.col("first").isNotNull(), F.struct("null", "id", "t", "first"))).alias("f")), "told")
+        # Without an earlier undecided one a document's case is clear; with one that stays as well.
+        unclear = found.where("not gone and f is not null").select("c", F.col("f.first").alias("first"))
+        leaning = staged(unclear.join(found.select(F.col("c").alias("first"), F.lit(True).alias("open")), "first", "left"), "leaning")
+        now = found.where("gone").select("c").unionByName(leaning.where("open is null").select("c"))
+        gone = staged(now if gone is None else gone.unionByName(now), "gone")
+        rest = leaning.where("open").select("c")
+        if rest.isEmpty():
+            break
+        rest = staged(members.join(rest, "c", "left_semi"), "rest")
+        near = members.join(rest.select("root").distinct(), "root", "left_semi").join(gone, "c", "left_anti").join(rest.select("c"), "c", "left_anti")
+        open_ones = staged(rest.withColumn("stays", F.lit(False)).unionByName(near.withColumn("stays", F.lit(True)).select(*rest.columns, "stays")), "open")
+    stay = staged(unique.join(gone, "c", "left_anti").select("d"), "stay")
+    for path in (unique_path, members_path):  # what stays is all that is read from here on
+        dropped(docs.sparkSession, path)
+    return stay
+
+
+def _told(docs: DataFrame, members: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """What tasks learn of members (c, d, n, root, stays)."""
     # The texts of documents that are joined to no other aren't fetched.
     text = F.col(text_col).cast("string")
     wanted = members.select(_hash("d").alias("h"), F.col("d.t").alias("t"), "c")
@@ -176,17 +229,14 @@ def remaining(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     hashed = held.join(wanted, ["h", "t"]).select("c", "text").mapInArrow(run, "c long, hashes binary")
     hashed = hashed.groupBy("c").agg(F.first("hashes").alias("hashes"))
-    tasks = _tasks(members.select("c", "root", "n")).join(members.select(F.col("c").alias("k"), "d.*"), F.col("c") == F.col("k")).drop("c")
-    dealt = hashed.join(tasks, F.col("c") == F.col("k")).select("task", "root", "side", "c", "null", "id", "t", "hashes")
-    gone = staged(dealt.groupBy("task").applyInArrow(_compared, "c long").distinct(), "similar")
-    stay = staged(unique.join(gone, "c", "left_anti").select("d"), "stay")
-    for path in (unique_path, members_path):  # what stays is all that is read from here on
-        dropped(docs.sparkSession, path)
-    return stay
+    tasks = _tasks(members.select("c", "root", "n")).join(members.select(F.col("c").alias("k"), "d.*", "stays"), F.col("c") == F.col("k")).drop("c")
+    dealt = hashed.join(tasks, F.col("c") == F.col("k")).select("task", "root", "side", "c", "null", "id", "t", "stays", "hashes")
+    shape = dealt.select("c", F.lit(False).alias("gone"), "null", "id", "t", F.col("c").alias("first")).schema
+    return dealt.groupBy("task").applyInArrow(_compared, shape)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, all columns, without those that have an earlier one's words or are similar to one: similarity 0.8 of five-word shingles.
+    """The documents, all columns, without those that have an earlier one's words or are similar to an earlier one that stays: similarity 0.8 of five-word shingles.
 
     Earlier is the lesser id, a null after all others, then the lesser text
     hash. Nulls and texts without words are alike. Of rows that repeat an id and

@@ -44,6 +44,15 @@ def test_who_goes_has_an_earlier_one_at_0_8_and_who_stays_has_none_that_stays(sp
     assert 12 <= len(kept) < len(texts)
 
 
+def staying(sets):
+    """Documents without an earlier similar one that stays."""
+    kept = set()
+    for i in range(len(sets)):
+        if not any(jaccard(sets[i], sets[j]) >= 0.8 for j in kept):
+            kept.add(i)
+    return kept
+
+
 def test_a_bucket_of_texts_that_are_not_similar(spark):
     """Half of the words are the same in all, so buckets stay full for several rounds; one pair at the end is similar."""
     common = " ".join(f"c{k}" for k in range(150))
@@ -70,7 +79,31 @@ def test_a_large_group_is_cut_into_tiles(spark, monkeypatch):
     sets = [plain_shingles(x) for x in texts]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     kept = {r.doc_id for r in minhash.one_of_each(df).collect()}
-    assert kept == {i for i in range(len(texts)) if not any(jaccard(sets[i], sets[j]) >= 0.8 for j in range(i))}
+    assert kept == staying(sets)
+
+
+def chain(n, of=100):
+    """Texts of which each is about 0.83 similar to the one before, and less to those before that."""
+    words = [f"w{k}" for k in range(of + 10 * n)]
+    return [" ".join(words[9 * k : 9 * k + of]) for k in range(n)]
+
+
+@pytest.mark.parametrize("tile", [1024, 4])
+def test_only_what_resembles_one_that_stays_goes(spark, monkeypatch, tile):
+    monkeypatch.setattr(minhash, "TILE", tile)
+    texts = chain(12)
+    sets = [plain_shingles(x) for x in texts]
+    assert all(jaccard(a, b) >= 0.8 for a, b in zip(sets, sets[1:])) and jaccard(sets[0], sets[2]) < 0.8
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in minhash.one_of_each(df).collect()}
+    assert kept == staying(sets) == set(range(0, 12, 2))
+
+
+def test_rows_go_in_order():
+    i, j = np.array([0, 1, 2, 0, 3]), np.array([1, 2, 3, 3, 4])
+    assert minhash._gone(i, j, np.zeros(6, bool)).tolist() == [False, True, False, True, False, False]
+    assert minhash._gone(i, j, np.array([0, 1, 0, 0, 0, 0], bool)).tolist() == [False, False, True, True, False, False]
+    assert not minhash._gone(i[:0], j[:0], np.zeros(3, bool)).any()
 
 
 def test_odd_rows_go_as_with_fingerprints(odd, none):
