@@ -24,11 +24,8 @@ STRATEGIES = ("fixed", "semantic", "hierarchical")
 DIMENSIONS = 1024
 
 
-def chunked(docs: DataFrame, strategy: str = "hierarchical") -> DataFrame:
-    """chunk_id, doc_id, tenant_id, kb_type, chunk_ix, text, char_len, content_hash of doc_id, tenant_id, kb_type, title, content, doc_no.
-
-    Of equal chunks of a tenant and kind the first by document and place stays.
-    """
+def pieces_of(docs: DataFrame, strategy: str) -> DataFrame:
+    """doc_id, doc_no, tenant_id, kb_type, chunk_ix, text and content_hash of what documents are cut into, equal pieces too."""
     content = F.col("content")
     if strategy == "fixed":
         pieces = fixed_chunks(content)
@@ -38,9 +35,21 @@ def chunked(docs: DataFrame, strategy: str = "hierarchical") -> DataFrame:
         pieces = hierarchical_chunks(content, F.col("title"))
     else:
         raise ValueError(f"no such strategy: {strategy}")
-    each = docs.select("doc_id", "doc_no", "tenant_id", "kb_type", F.posexplode(pieces).alias("chunk_ix", "text")).withColumn("content_hash", content_hash(F.col("text")))
-    first = each.groupBy("tenant_id", "kb_type", "content_hash").agg(F.min(F.struct("doc_no", "chunk_ix", "doc_id", "text")).alias("c"))
-    return first.select(F.format_string("%s#%03d", "c.doc_id", "c.chunk_ix").alias("chunk_id"), F.col("c.doc_id").alias("doc_id"), "tenant_id", "kb_type", F.col("c.chunk_ix").alias("chunk_ix"), F.col("c.text").alias("text"), F.length("c.text").alias("char_len"), "content_hash")
+    return docs.select("doc_id", "doc_no", "tenant_id", "kb_type", F.posexplode(pieces).alias("chunk_ix", "text")).withColumn("content_hash", content_hash(F.col("text")))
+
+
+def with_ids(pieces: DataFrame) -> DataFrame:
+    """Pieces as chunks: chunk_id, doc_id, tenant_id, kb_type, chunk_ix, text, char_len, content_hash."""
+    return pieces.select(F.format_string("%s#%03d", "doc_id", "chunk_ix").alias("chunk_id"), "doc_id", "tenant_id", "kb_type", "chunk_ix", "text", F.length("text").alias("char_len"), "content_hash")
+
+
+def chunked(docs: DataFrame, strategy: str = "hierarchical") -> DataFrame:
+    """chunk_id, doc_id, tenant_id, kb_type, chunk_ix, text, char_len, content_hash of doc_id, tenant_id, kb_type, title, content, doc_no.
+
+    Of equal chunks of a tenant and kind the first by document and place stays.
+    """
+    first = pieces_of(docs, strategy).groupBy("tenant_id", "kb_type", "content_hash").agg(F.min(F.struct("doc_no", "chunk_ix", "doc_id", "text")).alias("c"))
+    return with_ids(first.select("tenant_id", "kb_type", "content_hash", "c.*"))
 
 
 def postings(rows: DataFrame, *keys: str, text: str = "text") -> DataFrame:

@@ -7,9 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.operators import questions, retrieval
+from quern.operators.segments import StoredIndex
 from quern.plans.registry import ORACLES, QUERIES
 from quern.sources.commerce import SQL, Commerce, table
-from quern.sources.shared import kept, once
+from quern.sources.shared import kept, new_path, once
 
 
 def _query(name: str, sql: str | None):
@@ -164,6 +165,37 @@ def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.search(asked(spark, sf_dir), index(spark, sf_dir))
 
 
+def changed_index(spark: SparkSession, sf_dir: str) -> StoredIndex:
+    """The base stored, then changed: a seventh of the documents revised, an eleventh deleted."""
+
+    def make():
+        docs = Commerce(spark, sf_dir).kb_document()
+        base = StoredIndex.created(docs, new_path(spark, "base"))
+        revised = docs.where("doc_no % 7 = 0 and doc_no % 11 <> 0").withColumn("content", F.concat(F.lit("Revised edition. "), F.coalesce("content", F.lit(""))))
+        revised = revised.withColumn("title", F.coalesce("title", F.lit("untitled")))
+        return base.changed(revised, docs.where("doc_no % 11 = 0"))
+
+    return once(spark, ("changed index", sf_dir), make)
+
+
+_CHANGED = _CHUNKS.replace("kb_document AS (", "kb_before AS (", 1).replace("\ncut AS (", """
+kb_document AS (SELECT doc_id, tenant_id, kb_type, title, CASE WHEN doc_no % 7 = 0 THEN 'Revised edition. ' || coalesce(content, '') ELSE content END AS content, doc_no FROM kb_before WHERE doc_no % 11 <> 0),
+cut AS (""", 1)
+
+
+@_query("kb_after_changes", _CHANGED + "SELECT * FROM kb_chunk")
+def _after_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of a stored base after a change of some documents, as a rebuild would have them."""
+    return changed_index(spark, sf_dir).chunks
+
+
+@_query("kb_search_after_changes", _CHANGED + "SELECT query_id, rank, chunk_id, round(score, 4) AS score FROM sparse_rank WHERE rank <= 5")
+def _search_after_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sparse search of the changed base, with document frequencies summed over its segments."""
+    found = retrieval.channels(asked(spark, sf_dir), changed_index(spark, sf_dir), modes=("sparse",))["sparse"]
+    return found.where("rank <= 5").select("query_id", "rank", "chunk_id", F.round("score", 4).alias("score"))
+
+
 def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of the query's tenant that hold the whole passage."""
     docs = Commerce(spark, sf_dir).kb_document().select("doc_id", "tenant_id", "content")
