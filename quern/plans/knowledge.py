@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.operators import questions, retrieval
+from quern.operators import answerlog, questions, retrieval
 from quern.operators.segments import StoredIndex
+from quern.operators.vectors import VectorIndex
 from quern.plans.registry import ORACLES, QUERIES
 from quern.sources.commerce import SQL, Commerce, table
 from quern.sources.shared import kept, new_path, once
@@ -271,9 +272,12 @@ def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.neighbours(found.join(known.chunks.select("chunk_id", "doc_id", "chunk_ix"), "chunk_id"), known.chunks).distinct()
 
 
-@_query("vector_search", """WITH v AS (SELECT vec_id, label % 5 AS tenant, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings),
+_VECTORS_SQL = """WITH v AS (SELECT vec_id, label % 5 AS tenant, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings),
 s AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e) / (q.n * v.n) AS score FROM v q JOIN v ON q.tenant = v.tenant AND q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0)
-SELECT query_id, rank, vec_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, vec_id) AS rank FROM s) r WHERE rank <= 5""")
+SELECT query_id, rank, vec_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, vec_id) AS rank FROM s) r WHERE rank <= 5"""
+
+
+@_query("vector_search", _VECTORS_SQL)
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors of its tenant for each vector whose id is a multiple of twenty."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % 5).alias("tenant_id"), "embedding")
@@ -281,6 +285,15 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.nearest_vectors(wanted, rows).select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
+@_query("vector_search_indexed", _VECTORS_SQL)
+def _vectors_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by cells of an index that is written once."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % 5).alias("tenant_id"), "embedding")
+    index = once(spark, ("vectors", sf_dir), lambda: VectorIndex(rows))
+    wanted = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "tenant_id", F.col("embedding").alias("q"))
+    return index.nearest(wanted).select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
+
+
 @_query("conversation_last_turns", "SELECT conv_id, turn, role, place FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS b FROM conversations) x WHERE b <= 3) y")
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return questions.last_turns(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "role", "place")
@@ -347,6 +360,48 @@ def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return questions.judged(wanted, _hybrid(spark, sf_dir)).select("query_id", "score", F.array_join("reasons", ",").alias("reasons"))
 
 
+def answer_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark passages as questions: every second one searched in rounds, the others once, every third with a metric besides. Written once."""
+
+    def make():
+        wanted = asked(spark, sf_dir)
+        hits = _hybrid(spark, sf_dir)
+        judged = questions.judged(wanted.withColumn("kb_type", F.lit(None).cast("string")), hits).select("query_id", "score", F.array_join("reasons", ",").alias("reasons"))
+        rows = wanted.join(hits.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").join(judged, "query_id")
+        none = F.lit(None)
+        step = lambda name, hits, score, reasons: F.struct(F.lit(name).alias("step"), hits.cast("long").alias("hits"), score.cast("double").alias("score"), reasons.cast("string").alias("reasons"))
+        steps = F.array(step("retrieve", F.coalesce("n", F.lit(0)), none, none), step("judge", none, F.col("score"), F.col("reasons")))
+        strategy = F.when(F.col("query_id") % 2 == 0, "agentic").otherwise("single")
+        search = answerlog.call(F.lit("search_kb"), strategy, F.col("query"), steps)
+        metric = answerlog.call(F.lit("query_metric"), none.cast("string"), F.lit("GMV_PAID"), F.array().cast(steps_type))
+        calls = F.when(F.col("query_id") % 3 == 0, F.array(metric, search)).otherwise(F.array(search))
+        rows = rows.select(F.col("query_id").alias("insight_id"), "tenant_id", F.concat(F.lit("thread-"), "query_id").alias("thread_id"), F.col("query").alias("question"), (F.col("score") < 0.5).alias("degraded"), strategy.alias("strategy"), F.lit("high").alias("confidence"), "query_id", "query", "n", "score", "reasons")
+        return kept(answerlog.logged(rows, calls), "answers")
+
+    steps_type = "array<struct<step:string,hits:bigint,score:double,reasons:string>>"
+    return once(spark, ("answers", sf_dir), make)
+
+
+_LOG_SQL = _JUDGED_SQL.rsplit("\nSELECT", 1)
+_TRACE_SQL = f"""{_LOG_SQL[0]},
+judged AS (SELECT{_LOG_SQL[1]}),
+answers AS (SELECT query_id AS insight_id, tenant_id, query AS question, CASE WHEN query_id % 3 = 0 THEN 1 ELSE 0 END::INTEGER AS call, query, coalesce(n, 0) AS n, score, reasons FROM q JOIN judged USING (query_id) LEFT JOIN per USING (query_id) WHERE query_id % 2 = 0 AND tenant_id = 'T2')
+SELECT insight_id, tenant_id, question, call, query, 0::INTEGER AS place, 'retrieve' AS step, n AS hits, NULL::DOUBLE AS score, NULL AS reasons FROM answers
+UNION ALL SELECT insight_id, tenant_id, question, call, query, 1::INTEGER, 'judge', NULL, score::DOUBLE, reasons FROM answers"""
+
+
+@_query("rag_trace", _TRACE_SQL)
+def _trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rounds of the answers that one brand may see, from the log."""
+    return answerlog.replayed(answer_log(spark, sf_dir), "brand", "T2")
+
+
+@_query("rag_recent_answers", _LOG_SQL[0] + f", judged AS (SELECT{_LOG_SQL[1]}) SELECT query_id AS insight_id, tenant_id, query AS question, score < 0.5 AS degraded, CASE WHEN query_id % 2 = 0 THEN 'agentic' ELSE 'single' END AS strategy FROM q JOIN judged USING (query_id) WHERE tenant_id = 'T1' ORDER BY 1 DESC LIMIT 5")
+def _recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest five answers of the tenant that an operator names."""
+    return answerlog.recent(answer_log(spark, sf_dir), 5, "ops", None, "T1").select("insight_id", "tenant_id", "question", "degraded", "strategy")
+
+
 #: Chunks of 200 characters are never compressed; a hit is taken while more than 200 of 400 tokens are left.
 _CONTEXT_SQL = _HITS.rstrip() + """,
 costs AS (SELECT query_id, chunk_id, round(final, 6) AS score, CAST(floor(length(text) / 4) + 1 AS INTEGER) AS cost FROM hits),

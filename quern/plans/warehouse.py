@@ -16,6 +16,7 @@ from quern.operators.products import Matcher
 from quern.plans.registry import ORACLES, QUERIES
 from quern.sources.commerce import SQL, Commerce, table
 from quern.sources.shared import kept, new_path, once
+from quern.sources.snapshots import Snapshots
 
 START, END = date(1992, 1, 1), date(1998, 12, 31)
 #: A window of the comparisons.
@@ -237,6 +238,20 @@ def _tenant_days(d: Detail) -> DataFrame:
     return d.tenant_day()
 
 
+@_detail("snapshot_tenant_day", "SELECT * FROM dws_tenant_day")
+def _snapshot(d: Detail) -> DataFrame:
+    """The tenants' days from the shops' days of a snapshot, to which the next one, of shops' days alone, makes no difference."""
+
+    def make():
+        shots = Snapshots(d.spark, new_path(d.spark, "snapshots"))
+        pinned = shots.published({"dws_shop_day": d.shop_day(), "dim_shop": d.dim_shop()})
+        shots.published({"dws_shop_day": d.shop_day().limit(0)})
+        return pinned
+
+    pinned = once(d.spark, ("snapshot", d.sf_dir), make)
+    return warehouse.tenant_day(pinned.table("dws_shop_day"))
+
+
 @_detail("dws_bounds", "SELECT min(dt) AS first_dt, max(dt) AS last_dt, CAST(max(dt) - 29 AS DATE) AS window_start FROM dws_tenant_day")
 def _bounds(d: Detail) -> DataFrame:
     """The days that have data, and the start of the default window of 30 days."""
