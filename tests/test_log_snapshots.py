@@ -15,7 +15,8 @@ STEP = "struct<step:string,hits:bigint,score:double,reasons:string>"
 def log(spark):
     rows = [(1, "T1", "t-1", "why", False, "agentic", "high"), (2, "T2", "t-2", "how", True, "agentic", "low"), (3, "T1", "t-3", "who", False, "single", "high")]
     answers = spark.createDataFrame(rows, "insight_id int, tenant_id string, thread_id string, question string, degraded boolean, strategy string, confidence string")
-    steps = F.array(F.struct(F.lit("plan").alias("step"), F.lit(None).cast("long").alias("hits"), F.lit(None).cast("double").alias("score"), F.lit("x").alias("reasons")), F.struct(F.lit("judge"), F.lit(3).cast("long"), F.lit(0.5), F.lit(None).cast("string"))).cast(f"array<{STEP}>")
+    step = lambda name, hits, score, reasons: F.struct(F.lit(name).alias("step"), F.lit(hits).cast("long").alias("hits"), F.lit(score).cast("double").alias("score"), F.lit(reasons).cast("string").alias("reasons"))
+    steps = F.array(step("plan", None, None, "x"), step("judge", 3, 0.5, None)).cast(f"array<{STEP}>")
     none = F.array().cast(f"array<{STEP}>")
     calls = F.array(answerlog.call(F.lit("query_metric"), F.lit("agentic"), F.lit("m"), steps), answerlog.call(F.lit("search_kb"), F.col("strategy"), F.col("question"), steps), answerlog.call(F.lit("search_kb"), F.lit("agentic"), F.lit("again"), F.when(F.col("insight_id") == 2, steps).otherwise(none)))
     path = shared.new_path(spark, "log")
