@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quern.functions.text import content_hash, fixed_chunks, hierarchical_chunks, semantic_chunks, token_weight, tokens
-from quern.sources.shared import kept
+from quern.sources.shared import kept, new_path
 
 #: Kinds of knowledge, constants of the fusion and the reranking, lengths of vectors.
 KB_TYPES = ("cs_faq", "product", "policy", "sop")
@@ -77,9 +77,21 @@ class Index:
     def __init__(self, chunks: DataFrame):
         self.chunks = kept(chunks, "chunks")
 
+    @cached_property
+    def banded(self) -> DataFrame | None:
+        """The postings with band, the octave of how many of a sixteenth of the chunks have the token: a folder for each band, so that rare tokens are read without the frequent ones."""
+        spark, path = self.chunks.sparkSession, new_path(self.chunks.sparkSession, "postings")
+        some = self.chunks.where(F.pmod(F.xxhash64("chunk_id"), F.lit(16)) == 0)
+        often = some.select("kb_type", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token")).groupBy("kb_type", "token").agg(F.count("*").alias("df"))
+        often = kept(often.select(F.col("kb_type").alias("kind"), F.col("token").alias("of"), (1 + F.floor(F.log2("df"))).cast("int").alias("b")), "octaves")
+        made = postings(self.chunks, "chunk_id", "tenant_id", "kb_type")
+        met = made.join(often, (F.col("kb_type") == F.col("kind")) & (F.col("token") == F.col("of")), "left").select("chunk_id", "tenant_id", "kb_type", "token", "weight", F.coalesce("b", F.lit(0)).alias("band"))
+        met.write.partitionBy("band").parquet(path)
+        return spark.read.schema(met.schema).parquet(path)
+
     @cached_property
     def postings(self) -> DataFrame:
-        return kept(postings(self.chunks, "chunk_id", "tenant_id", "kb_type"), "postings")
+        return self.banded.drop("band")
 
     @cached_property
     def idf(self) -> DataFrame:
@@ -88,6 +100,11 @@ class Index:
         counts = self.postings.groupBy("kb_type", "token").agg(F.count("*").alias("df")).join(sizes, "kb_type")
         return kept(counts.select("kb_type", "token", F.log(1 + F.col("n") / (1 + F.col("df"))).alias("idf")), "idf")
 
+    @cached_property
+    def greatest(self) -> DataFrame:
+        """tenant_id, kb_type, token, band and the greatest weight: what a posting of the token can add at most."""
+        return kept(self.banded.groupBy("tenant_id", "kb_type", "token", "band").agg(F.max("weight").alias("most")), "greatest")
+
     @cached_property
     def vectors(self) -> DataFrame:
         return kept(hashed_vectors(self.chunks, "chunk_id", "tenant_id", "kb_type"), "vectors")
@@ -97,20 +114,78 @@ def _index(chunks: DataFrame | Index) -> Index:
     return chunks if isinstance(chunks, Index) else Index(chunks)
 
 
+def _weighed(queries: DataFrame, index: Index) -> DataFrame:
+    """query_id, tenant_id, kb_type, token and qw (its weight in the query by the inverse document frequency), written."""
+    asked = _asked(queries)
+    asked = asked.select("query_id", "query", "tenant_id", (F.col("kb_type") if "kb_type" in queries.columns else F.lit(None).cast("string")).alias("want"))
+    terms = kept(postings(asked, "query_id", "tenant_id", "want", text="query").withColumnRenamed("weight", "qw"), "terms")
+    met = index.idf.join(terms, "token").where("want is null or want = kb_type")
+    return kept(met.select("query_id", "tenant_id", "token", "kb_type", (F.col("qw") * F.col("idf")).alias("qw")), "weighed")
+
+
 def sparse_scores(queries: DataFrame, chunks: DataFrame | Index) -> DataFrame:
     """query_id, kb_type, chunk_id, score. Document frequencies are of a kind's chunks of all tenants; a query's kb_type, if it has one, narrows.
 
     The queries' terms are written first: where they are few, as their size
     then tells, they go to the postings and not the other way round.
     """
-    index, asked = _index(chunks), _asked(queries)
-    asked = asked.select("query_id", "query", "tenant_id", (F.col("kb_type") if "kb_type" in queries.columns else F.lit(None).cast("string")).alias("want"))
-    terms = kept(postings(asked, "query_id", "tenant_id", "want", text="query").withColumnRenamed("weight", "qw"), "terms")
-    weighed = kept(index.idf.join(terms, "token").select("query_id", "tenant_id", "want", "token", "kb_type", (F.col("qw") * F.col("idf")).alias("qw")), "weighed")
-    met = index.postings.join(weighed.where("want is null or want = kb_type"), ["token", "tenant_id", "kb_type"])
+    index = _index(chunks)
+    met = index.postings.join(_weighed(queries, index), ["token", "tenant_id", "kb_type"])
     return met.groupBy("query_id", "kb_type", "chunk_id").agg(F.sum(F.col("qw") * F.col("weight")).alias("score"))
 
 
+#: Octaves of the most frequent tokens that a round leaves out, one round after the other, and room for rounding.
+LEFT_OUT, ROOM = (4, 2, 0), 1e-6
+#: Share of what a query's rare tokens can score at most that its frequent ones may reach for a round without them to be worth while.
+WORTH = 0.4
+#: Different words a query, on the average, up to which the sparse search goes by bounds.
+SHORT = 8
+
+
+def best_sparse_scores(queries: DataFrame, chunks: Index, limit: int) -> DataFrame:
+    """Like ``sparse_scores``, for chunks that may be among the ``limit`` best of their query and kind: all of these are there.
+
+    A round reads the postings of the tokens below an octave of frequency. The
+    ``limit``-th score that they make is one that the best exceed; what the
+    frequent tokens could add to a chunk is known from their greatest weights.
+    Where that is less, no chunk without a rarer token can be among the best,
+    and of the others only those that it could lift so far are scored, from
+    their texts. Queries for which it is more go on to the next round, which
+    reads more frequent tokens, the last one all.
+    """
+    terms = kept(_weighed(queries, chunks).join(chunks.greatest, ["tenant_id", "kb_type", "token"]), "bounded")
+    top = terms.agg(F.max("band")).first()[0]
+    cell, out = ["query_id", "kb_type"], None
+    for less in LEFT_OUT if top is not None else ():
+        band = top - less
+        if band < 0 or terms.isEmpty():
+            continue
+        rare, open_terms = F.col("band") <= band, terms
+        if less:
+            bounds = terms.groupBy(*cell).agg(F.sum(F.when(rare, F.col("qw") * F.col("most"))).alias("a"), F.coalesce(F.sum(F.when(~rare, F.col("qw") * F.col("most"))), F.lit(0.0)).alias("b"))
+            terms = kept(terms.join(bounds.where(F.col("b") <= WORTH * F.col("a")).select(*cell), cell, "left_semi"), "tried")
+            if terms.isEmpty():
+                terms = open_terms
+                continue
+        low, high = terms.where(rare), terms.where(~rare)
+        held = chunks.banded.where(F.col("band") <= band).drop("band").join(low.drop("band", "most"), ["token", "tenant_id", "kb_type"])
+        made = kept(held.groupBy("query_id", "kb_type", "chunk_id").agg(F.sum(F.col("qw") * F.col("weight")).alias("part")), "parts")
+        order = F.row_number().over(W.partitionBy(*cell).orderBy(F.desc("part")))
+        least = made.withColumn("k", order).where(F.col("k") == limit).select(*cell, F.col("part").alias("least"))
+        rest = high.groupBy(*cell).agg(F.sum(F.col("qw") * F.col("most")).alias("more"), F.collect_list(F.struct("token", "qw")).alias("rest"))
+        state = terms.select(*cell).distinct().join(rest, cell, "left").join(least, cell, "left")
+        state = kept(state.withColumn("done", F.col("more").isNull() | F.coalesce(F.col("more") < F.col("least") - ROOM, F.lit(False))), "state")
+        near = made.join(state.where("done"), cell).where(F.col("more").isNull() | (F.col("part") + F.col("more") >= F.col("least") - ROOM))
+        whole = near.where("more is null").select(*cell, "chunk_id", F.col("part").alias("score"))
+        some = near.where("more is not null").join(chunks.chunks.select("chunk_id", tokens(F.col("text")).alias("tokens")), "chunk_id")
+        count = lambda t: F.size(F.filter("tokens", lambda x: x == t))
+        add = F.aggregate("rest", F.lit(0.0), lambda a, t: a + F.when(F.array_contains("tokens", t["token"]), t["qw"] * F.round(1 + F.log(count(t["token"])), 6)).otherwise(0.0))
+        found = whole.unionByName(some.select(*cell, "chunk_id", (F.col("part") + add).alias("score")))
+        out = found if out is None else out.unionByName(found)
+        terms = kept(open_terms.join(state.where("done").select(*cell), cell, "left_anti"), "open")
+    return sparse_scores(queries, chunks) if out is None else out
+
+
 def place_of(token: Column, dimensions: int) -> Column:
     """A token's place in a hashed vector: the leading 32 bits of its MD5, by ``dimensions``."""
     return (F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("long") % dimensions).cast("int")
@@ -151,7 +226,10 @@ MODES = ("dense", "sparse", "hybrid")
 def channels(queries: DataFrame, chunks: DataFrame | Index, top_k: int = 5, modes: tuple[str, ...] = ("dense", "sparse")) -> dict[str, DataFrame]:
     """The best of each channel (query_id, kb_type, chunk_id, score, rank), written: six times top_k (20 at least) of each kind."""
     index, limit = _index(chunks), max(20, 6 * top_k)
-    scores = {"dense": hashed_dense_scores, "sparse": sparse_scores}
+    # Bounds tell apart what few words ask for; those of a long passage never do, and rounds in vain cost more than all postings.
+    words = queries.agg(F.avg(F.size(F.array_distinct(tokens(F.col("query")))))).first()[0] or 0
+    bounded = index.banded is not None and words <= SHORT
+    scores = {"dense": hashed_dense_scores, "sparse": (lambda q, i: best_sparse_scores(q, i, limit)) if bounded else sparse_scores}
     return {m: kept(_best(scores[m](queries, index), limit), m) for m in modes}
 
 
@@ -249,6 +327,17 @@ def recall(hits: DataFrame, truth: DataFrame) -> DataFrame:
     return each.agg(F.count("*").alias("queries"), F.round(F.avg(F.col("rank").isNotNull().cast("int")), 4).alias("recall_at_k"), F.round(F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))), 4).alias("mrr"))
 
 
+def ablation(found: dict[str, DataFrame], right: DataFrame) -> DataFrame:
+    """A row per strategy: strategy, queries, recall_at_k (queries with a right document among the hits) and mean_hits (right documents a query), for hits by strategy and right documents (query_id, doc_id)."""
+    out = None
+    for name, hits in found.items():
+        met = hits.select("query_id", "doc_id").distinct().join(right, ["query_id", "doc_id"]).groupBy("query_id").agg(F.count("*").alias("n"))
+        each = right.select("query_id").distinct().join(met, "query_id", "left").select(F.coalesce("n", F.lit(0)).alias("n"))
+        one = each.agg(F.count("*").alias("queries"), F.round(F.avg((F.col("n") > 0).cast("int")), 4).alias("recall_at_k"), F.round(F.avg("n"), 4).alias("mean_hits")).select(F.lit(name).alias("strategy"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def neighbours(hits: DataFrame, chunks: DataFrame, documents: int = 4) -> DataFrame:
     """query_id, chunk_id: chunks next to the best hit of each of the first four documents, unless they are hits themselves."""
     best = hits.groupBy("query_id", "doc_id").agg(F.min(F.struct("rank", "chunk_ix")).alias("b"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quern.functions.text import tokens
 from quern.operators import answerlog, questions, retrieval
 from quern.operators.segments import StoredIndex
 from quern.operators.vectors import VectorIndex
@@ -158,6 +159,19 @@ def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("rank <= 5").select("query_id", "rank", "chunk_id", F.round("score", 4).alias("score"))
 
 
+_PASSAGES = "text AS query FROM benchmark)"
+_KEYWORDS = "array_to_string(list_transform(list_slice(list_sort(list_transform(list_distinct(list_transform(regexp_extract_all(text, '[a-zA-Z0-9]+'), lambda x: lower(x))), lambda x: {'k': -length(x), 't': x})), 1, 5), lambda s: s.t), ' ') AS query FROM benchmark)"
+
+
+@_query("kb_keyword_search", _CHUNKS.replace(_PASSAGES, _KEYWORDS, 1) + "SELECT query_id, rank, chunk_id, round(score, 4) AS score FROM sparse_rank WHERE rank <= 5")
+def _keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five longest words of each passage as a question: short ones, which the search answers by bounds."""
+    words = F.array_sort(F.transform(F.array_distinct(tokens(F.col("query"))), lambda t: F.struct((-F.length(t)).alias("k"), t.alias("t"))))
+    wanted = asked(spark, sf_dir).withColumn("query", F.array_join(F.transform(F.slice(words, 1, 5), lambda w: w["t"]), " "))
+    found = retrieval.channels(kept(wanted, "keywords"), index(spark, sf_dir), modes=("sparse",))["sparse"]
+    return found.where("rank <= 5").select("query_id", "rank", "chunk_id", F.round("score", 4).alias("score"))
+
+
 _SEARCHED = "query_id, rank, chunk_id, doc_id, kb_type, chunk_ix, text, round(final, 6) AS score, round(fused, 6) AS rrf_score, lexical AS lexical_score, source"
 
 
@@ -243,6 +257,33 @@ def _chunking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.compared_chunking(Commerce(spark, sf_dir).kb_document(), asked(spark, sf_dir), kept(_truth(spark, sf_dir), "truth"))
 
 
+# Two passages of a tenant as one question, and their right documents: those of either.
+_PAIRS_SQL = "q AS (SELECT a.item_id AS query_id, 'T' || (a.item_id % 5) AS tenant_id, a.text || ' ' || b.text AS query FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 5 WHERE a.item_id % 10 < 5)"
+_PARTS_SQL = "q AS (SELECT item_id AS query_id, 'T' || (item_id % 5) AS tenant_id, text AS query FROM benchmark)"
+_RIGHT_SQL = "SELECT DISTINCT item_id - CASE WHEN item_id % 10 >= 5 THEN 5 ELSE 0 END AS query_id, doc_id FROM benchmark b JOIN kb_document d ON d.tenant_id = 'T' || (item_id % 5) AND contains(content, text)"
+
+
+def _ablation_sql(strategy: str, hits: str, query: str) -> str:
+    whole = hits.split("WITH ", 1)[1]
+    return f"""SELECT '{strategy}' AS strategy, count(*) AS queries, round(avg((n > 0)::INT), 4) AS recall_at_k, round(avg(n), 4) AS mean_hits FROM (
+WITH {whole}, right_docs AS ({_RIGHT_SQL}), pairs AS (SELECT DISTINCT r.query_id FROM right_docs r JOIN benchmark b ON b.item_id = r.query_id + 5)
+SELECT p.query_id, count(DISTINCT f.doc_id) AS n FROM pairs p LEFT JOIN (SELECT {query} AS query_id, doc_id FROM hits) h USING (query_id) LEFT JOIN right_docs f ON f.query_id = p.query_id AND f.doc_id = h.doc_id GROUP BY 1) x"""
+
+
+@_query("rag_ablation", _ablation_sql("single", _HITS.replace(_PARTS_SQL, _PAIRS_SQL, 1), "query_id") + " UNION ALL " + _ablation_sql("split", _HITS, "query_id - CASE WHEN query_id % 10 >= 5 THEN 5 ELSE 0 END"))
+def _ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions of two parts, searched whole and part by part: how many find a right document, and how many of those."""
+    known, parts = index(spark, sf_dir), asked(spark, sf_dir)
+    first = lambda c: F.col(c) - F.when(F.col(c) % 10 >= 5, 5).otherwise(0)
+    later = parts.select((F.col("query_id") - 5).alias("query_id"), F.col("query").alias("second"))
+    whole = parts.where("query_id % 10 < 5").join(later, "query_id").select("query_id", F.concat_ws(" ", "query", "second").alias("query"), "tenant_id")
+    right = _truth(spark, sf_dir).select(first("query_id").alias("query_id"), "doc_id").distinct().join(whole.select("query_id"), "query_id", "left_semi")
+    right = kept(right, "right")
+    single = retrieval.search(kept(whole, "pairs"), known)
+    split = _hybrid(spark, sf_dir).select(first("query_id").alias("query_id"), "doc_id")
+    return retrieval.ablation({"single": single, "split": split}, right)
+
+
 _ENTITIES = _HITS.rstrip() + """,
 named AS (SELECT query_id, rank, unnest(list_concat(regexp_extract_all(text, '\\b((?:POLICY|SOP|FAQ)-\\d+)\\b', 1), regexp_extract_all(text, '\\b(NOVA|AURORA|LUMEN|VERDE)\\b', 1))) AS seed,
   generate_subscripts(list_concat(regexp_extract_all(text, '\\b((?:POLICY|SOP|FAQ)-\\d+)\\b', 1), regexp_extract_all(text, '\\b(NOVA|AURORA|LUMEN|VERDE)\\b', 1)), 1) AS place FROM hits),
