@@ -76,13 +76,14 @@ def cut_points(sized: DataFrame, wanted: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def takes(sized: DataFrame, points: DataFrame, seed: int = 0) -> DataFrame:
-    """``sized`` (id, source, size, any more) with source_size, target and taken, by the points of ``cut_points``.
+    """``sized`` (id, source, size, any more of any names) with source_size, target and taken, which take the place of columns of those names, by the points of ``cut_points``.
 
     Documents that share an id share a place in the order; at the cut they share
     what is left in proportion to their sizes.
     """
     at = points.withColumnRenamed("key", "k")
-    met = _placed(sized, seed).join(at, F.col("key") == F.col("k"))
+    columns = [c for c in sized.columns if c not in ("source_size", "target", "taken")]
+    met = _placed(sized.select(F.struct(*columns).alias("row"), "id", "source", "size"), seed).join(at, F.col("key") == F.col("k"))
     size = F.col("size")
     more = (
         F.when(F.col("slot") <= F.coalesce("last", F.lit(-1)), size)
@@ -91,7 +92,7 @@ def takes(sized: DataFrame, points: DataFrame, seed: int = 0) -> DataFrame:
         .when(F.col("h") == F.col("edge"), F.floor(size * F.col("part") / F.col("of")))
         .otherwise(0)
     )
-    return met.select(*sized.columns, "source_size", "target", (F.col("whole") * size + more).cast("long").alias("taken"))
+    return met.select(*(F.col("row")[c].alias(c) for c in columns), "source_size", "target", (F.col("whole") * size + more).cast("long").alias("taken"))
 
 
 def source_sizes(sized: DataFrame) -> DataFrame:

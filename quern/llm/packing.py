@@ -86,7 +86,12 @@ def best_fit(sizes: np.ndarray, limits: Limits) -> tuple[np.ndarray, np.ndarray]
 
 
 def pieces(docs: DataFrame, size: int = 1024, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, ranks: str | None = RANKS) -> DataFrame:
-    """doc_id, piece, start, length and ids_crc32 of every document's pieces; its ids end with 2. A null text is empty."""
+    """doc_id, piece, start, length and ids_crc32 of every document's pieces; its ids end with 2.
+
+    A null text is empty: its end token is a piece. Ids may be null or repeated
+    and rows stay; a very long text is encoded whole in one task; an empty table
+    gives no rows; other columns are left out, whatever their names.
+    """
     kept = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
@@ -107,22 +112,28 @@ def pieces(docs: DataFrame, size: int = 1024, id_col: str = "doc_id", text_col:
 
 
 def packed(found: DataFrame, limits: Limits = Limits(), group: int = GROUP) -> DataFrame:
-    """Pieces with sequence_id and offset. Repeated rows and null ids are packed like any; an empty table stays empty.
+    """Pieces (length, any more) with sequence_id and offset, which take the place of columns of those names.
+
+    Repeated rows and null ids are packed like any; an empty table stays empty;
+    other columns may have any names. A text's length doesn't matter here, its
+    pieces are rows of their own.
 
     Pieces get a number where they are written, by which they are dealt to
     groups, so that many rows of one document don't meet in one group.
     """
-    rows, _ = staged_at(found.withColumn("number", F.monotonically_increasing_id()), "pieces")
+    columns = [c for c in found.columns if c not in ("sequence_id", "offset")]
+    rows, _ = staged_at(found.select(F.struct(*columns).alias("row"), F.col("length").alias("size"), F.monotonically_increasing_id().alias("number")), "pieces")
     groups = max(1, -(-rows.count() // group))
-    dealt = rows.select("*", F.pmod(F.xxhash64("number"), F.lit(groups)).alias("bin_group")).drop("number")
+    dealt = rows.select("row", "size", F.pmod(F.xxhash64("number"), F.lit(groups)).alias("bin_group"))
 
     def pack(key, table):
-        bins, offsets = best_fit(table.column("length").to_numpy(), limits)
+        bins, offsets = best_fit(table.column("size").to_numpy(), limits)
         ids = key[0].as_py() + groups * bins
-        return table.drop_columns(["bin_group"]).append_column("sequence_id", pa.array(ids, pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
+        return table.select(["row"]).append_column("sequence_id", pa.array(ids, pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
 
-    schema = found.select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).schema
-    return dealt.groupBy("bin_group").applyInArrow(pack, schema)
+    schema = rows.select("row", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).schema
+    made = dealt.groupBy("bin_group").applyInArrow(pack, schema)
+    return made.select(*(F.col("row")[c].alias(c) for c in columns), "sequence_id", "offset")
 
 
 def sequences(found: DataFrame, settings: list[Limits], group: int = GROUP) -> DataFrame:

@@ -89,8 +89,9 @@ def lengths(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABULAR
 def histogram(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABULARY, ranks: str | None = RANKS) -> DataFrame:
     """n_tokens and n_docs, a row per length that occurs.
 
-    Nulls and empty texts count at length zero, repeated rows each time; empty
-    input gives no rows.
+    Nulls and empty texts count at length zero, repeated rows each time; a very
+    long text is encoded whole, in one task; empty input gives no rows; other
+    columns are left out, whatever their names.
     """
     return lengths(docs, text_col, vocabulary, ranks).groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
 

@@ -103,3 +103,11 @@ def test_odd_rows_pack(odd, none):
     assert packing.packed(packing.pieces(none)).count() == 0
     assert packing.cut(2050, 1024) == [(0, 2), (2, 1024), (1026, 1024)] and packing.cut(1024, 1024) == [(0, 1024)]
     assert odd.select(F.count("*")).first()[0] == 10
+
+
+def test_columns_of_any_names_are_packed(spark):
+    found = spark.createDataFrame([(k, 100 + k, "a", "b", k, -1) for k in range(30)], "doc_id long, length long, number string, bin_group string, row long, offset long")
+    out = packing.packed(found)
+    assert sorted(out.columns) == sorted([*found.columns, "sequence_id"])
+    rows = out.collect()
+    assert len(rows) == 30 and all((r.number, r.bin_group, r.row) == ("a", "b", r.doc_id) and r.offset >= 0 for r in rows)

@@ -180,3 +180,11 @@ def test_repeated_texts(spark, odd, none):
     want = {r.source: r.taken for r in mixing.takes(sized, mixing.mix_points(sized, mixing.cycled_weights(sized))).groupBy("source").agg(F.sum("taken").alias("taken")).collect() if r.taken}
     assert words(out) == want
     assert mixing.repeated(none).count() == 0
+
+
+def test_columns_of_any_names_are_mixed(spark):
+    sized = spark.createDataFrame([(k, "ab"[k % 2], 10, "x", "y", k) for k in range(40)], "id long, source string, size long, slot string, h string, key long")
+    points = mixing.mix_points(sized.select("id", "source", "size"), mixing.cycled_weights(sized))
+    named = mixing.takes(sized.withColumn("target", F.lit("t")), points).collect()
+    plain = {r.id: r.taken for r in mixing.takes(sized.select("id", "source", "size"), points).collect()}
+    assert len(named) == 40 and all((r.slot, r.h, r.key) == ("x", "y", r.id) and r.taken == plain[r.id] and r.target > 0 for r in named)
