@@ -150,6 +150,22 @@ def negatives(results: DataFrame, codes: tuple[str, ...]) -> DataFrame:
     return results.where(F.col("metric_code").isin(*codes)).groupBy("metric_code").agg(F.min("value").alias("least")).where("least < 0")
 
 
+def verified(results: DataFrame, definitions: DataFrame, amounts: tuple[str, ...]) -> DataFrame:
+    """One row: verdict, failed, warned, and how many findings each check has: the latest day's volume, versions that the dictionary lacks, negative amounts.
+
+    A day's volume counts against the six days before it, if there are two at
+    least. Errors make the verdict fail, warnings alone warn.
+    """
+    days = volume(results)
+    last = results.agg(F.max("dt").alias("last"))  # one row, as are the next
+    level = days.join(last, F.col("dt") == F.col("last")).agg(F.count_if(F.col("level") == "error").alias("volume_errors"), F.count_if(F.col("level") == "warn").alias("volume_warnings"))
+    ghosts = unknown_versions(results, definitions).agg(F.least(F.count("*"), F.lit(1)).alias("version_errors"))
+    below = negatives(results, amounts).agg(F.count("*").alias("negative_errors"))
+    every = level.crossJoin(ghosts).crossJoin(below)
+    failed, warned = F.col("volume_errors") + F.col("version_errors") + F.col("negative_errors"), F.col("volume_warnings")
+    return every.select(F.when(failed > 0, "fail").when(warned > 0, "warn").otherwise("pass").alias("verdict"), failed.alias("failed"), warned.alias("warned"), "volume_errors", "volume_warnings", "version_errors", "negative_errors")
+
+
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     out = None
     for name, df in tables.items():

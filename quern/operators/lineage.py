@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quern.operators.metrics import DEFINITIONS, formula_parts
+from quern.sources.shared import kept
 
 #: What each task reads and writes: (task, sources, targets).
 FLOWS = (
@@ -41,16 +42,16 @@ def all_edges(spark: SparkSession, definitions: DataFrame) -> DataFrame:
     return every.groupBy("source", "target").agg(F.min(F.struct("place", "via")).alias("e")).select("source", "target", F.col("e.via").alias("via"))
 
 
-def upstream(edges: DataFrame, node: str, most: int = 16) -> DataFrame:
-    """Every node that leads to ``node``, with its least distance."""
+def upstream(edges: DataFrame, node: str) -> DataFrame:
+    """Every node that leads to ``node``, with its least distance; steps are taken until one finds nothing new."""
     found = edges.sparkSession.createDataFrame([(node, 0)], "node string, distance int")
-    edge = found
-    for k in range(1, most + 1):
-        edge = edges.join(edge, F.col("target") == F.col("node")).select(F.col("source").alias("node"), F.lit(k).alias("distance")).distinct()
-        if edge.isEmpty():
-            break
+    edge, k = found, 0
+    while not edge.isEmpty():
+        k += 1
+        step = edges.join(edge, F.col("target") == F.col("node")).select(F.col("source").alias("node"), F.lit(k).alias("distance")).distinct()
+        edge = kept(step.join(found.select("node"), "node", "left_anti"), "step")
         found = found.unionByName(edge)
-    return found.groupBy("node").agg(F.min("distance").alias("distance")).where(F.col("node") != node)
+    return found.where(F.col("node") != node)
 
 
 def cyclic_metrics() -> list[str]:

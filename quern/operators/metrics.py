@@ -115,6 +115,12 @@ def formula_column(formula: str, names: dict[str, str] | None = None) -> Column:
     return F.expr(named.replace("\0", "nullif"))
 
 
+def notices(definitions: DataFrame) -> DataFrame:
+    """metric_code, caliber_version and notice: what a version means and when it holds."""
+    until = F.coalesce(F.col("effective_to").cast("string"), F.lit("now"))
+    return definitions.select("metric_code", "caliber_version", F.format_string("version %s (%s to %s): %s, in %s", "caliber_version", F.col("effective_from").cast("string"), until, "metric_name", "unit").alias("notice"))
+
+
 def in_force(definitions: DataFrame, days: DataFrame) -> DataFrame:
     """For each day of ``days`` (as_of) and code the version in force."""
     met = definitions.join(days, (F.col("effective_from") <= F.col("as_of")) & (F.col("as_of") <= F.coalesce("effective_to", F.lit(date(9999, 12, 31)))))

@@ -147,6 +147,22 @@ def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks(spark, sf_dir).groupBy("kb_type").agg(F.count("*").alias("n"), F.round(F.avg("char_len"), 4).alias("mean_chars"), F.count_distinct("doc_id").alias("documents"))
 
 
+@_query("kb_ingest_stats", _CHUNKS + "SELECT kb_type, pieces, coalesce(chunks, 0)::BIGINT AS chunks, (pieces - coalesce(chunks, 0))::BIGINT AS repeats FROM (SELECT kb_type, count(*) AS pieces FROM pieces GROUP BY 1) p LEFT JOIN (SELECT kb_type, count(*) AS chunks FROM kb_chunk GROUP BY 1) c USING (kb_type)")
+def _ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces, the chunks that they became, and the repeats that were left out, by kind."""
+    pieces = retrieval.pieces_of(Commerce(spark, sf_dir).kb_document(), "fixed").groupBy("kb_type").agg(F.count("*").alias("pieces"))
+    kept_ones = chunks(spark, sf_dir).groupBy("kb_type").agg(F.count("*").alias("chunks"))
+    n = F.coalesce("chunks", F.lit(0))
+    return pieces.join(kept_ones, "kb_type", "left").select("kb_type", "pieces", n.alias("chunks"), (F.col("pieces") - n).alias("repeats"))
+
+
+@_query("kb_document_chunks", _CHUNKS + "SELECT chunk_ix, chunk_id, text, char_len FROM kb_chunk WHERE doc_id = 'D9' AND tenant_id = 'T4'")
+def _document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document's chunks in order, for its tenant."""
+    own = chunks(spark, sf_dir).where("doc_id = 'D9' and tenant_id = 'T4'")
+    return own.orderBy("chunk_ix").select("chunk_ix", "chunk_id", "text", "char_len")
+
+
 @_query("kb_documents", _CHUNKS + "SELECT d.doc_id, d.tenant_id, d.kb_type, title, coalesce(n, 0)::BIGINT AS chunks FROM kb_document d LEFT JOIN (SELECT doc_id, count(*) AS n FROM kb_chunk GROUP BY 1) c USING (doc_id)")
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = chunks(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n"))
@@ -222,8 +238,9 @@ def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The first and the last word may be the end and the beginning of longer ones.
     keys = long.select("query_id", "tenant_id", "query", first(F.slice(F.col("w"), 2, 5)).alias("key"))
     w = words(F.col("content"))
-    windows = docs.select("doc_id", "tenant_id", "content", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 4, F.lit(1))), lambda k: F.array_join(F.slice(w, k, 5), " ")))).alias("key"))
-    met = windows.join(keys, ["tenant_id", "key"])
+    windows = docs.select("doc_id", "tenant_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 4, F.lit(1))), lambda k: F.array_join(F.slice(w, k, 5), " ")))).alias("key"))
+    # Windows meet keys without the texts, which are fetched for the documents that met.
+    met = windows.join(keys, ["tenant_id", "key"]).select("query_id", "doc_id", "query").distinct().join(docs.select("doc_id", "content"), "doc_id")
     rest = docs.join(short, "tenant_id")
     both = met.select("query_id", "doc_id", "content", "query").unionByName(rest.select("query_id", "doc_id", "content", "query"))
     return both.where(F.expr("contains(content, query)")).select("query_id", "doc_id").distinct()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.text import extract_numeric, normalize_barcode, normalize_code, normalize_text
 from quern.operators import checks, lineage, policy, warehouse
-from quern.operators.metrics import AMOUNTS, DEFINITIONS, DIMENSIONS, TARGETS, Dictionary, Engine, daily_series, in_force, kpis, shifted
+from quern.operators.metrics import AMOUNTS, DEFINITIONS, DIMENSIONS, TARGETS, Dictionary, Engine, daily_series, in_force, kpis, notices, shifted
 from quern.operators.pages import Pages
 from quern.operators.products import Matcher
 from quern.plans.registry import ORACLES, QUERIES
@@ -332,6 +332,13 @@ every_pair AS (SELECT * FROM close SEMI JOIN full_three USING (tenant_id, code)
 SELECT tenant_id, code, rank::INTEGER AS rank, matched, round(score / 100, 3) AS score, sku_id FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, code ORDER BY score DESC, id) AS rank FROM every_pair) r WHERE rank <= 3"""
 
 
+@_detail("mapping_review_top", _EXACT_SQL + "SELECT tenant_id, platform, platform_sku_code, count(*) AS n, max(coalesce(exact_confidence, score3, 0))::DOUBLE AS confidence FROM resolved WHERE coalesce(exact_confidence, 0) < 0.99 GROUP BY ALL ORDER BY n DESC, tenant_id, platform, platform_sku_code NULLS LAST LIMIT 30")
+def _review_top(d: Detail) -> DataFrame:
+    """The thirty codes to look over that most order lines have, with their greatest confidence."""
+    codes = d.dwd_order_sku().where("map_confidence < 0.99").groupBy("tenant_id", "platform", "platform_sku_code").agg(F.count("*").alias("n"), F.max("map_confidence").alias("confidence"))
+    return codes.orderBy(F.desc("n"), "tenant_id", "platform", F.col("platform_sku_code").asc_nulls_last()).limit(30)
+
+
 @_detail("review_candidates", _REVIEW_SQL)
 def _candidates(d: Detail) -> DataFrame:
     """The three most similar codes for each code that no exact rule resolves."""
@@ -436,6 +443,7 @@ def _negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.negatives(Detail(spark, sf_dir).results(), AMOUNTS)
 
 
+_BEFORE = "n AS (SELECT dt, count(*) AS n FROM metric_result GROUP BY dt), w AS (SELECT dt, n, sum(n) OVER b AS s, count(n) OVER b AS k FROM n WINDOW b AS (ORDER BY dt ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)), last AS (SELECT * FROM w WHERE k >= 2 AND dt = (SELECT max(dt) FROM n))"
 _VALID_DEFS = ", ".join(f"('{m.code}', '{m.version}', DATE '{m.start}', {f"DATE '{m.end}'" if m.end else 'NULL'})" for m in DEFINITIONS)
 
 
@@ -446,6 +454,24 @@ def _ghosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.unknown_versions(Detail(spark, sf_dir).results(), first)
 
 
+@_query("metric_verdict", _WITH_RESULTS + ", " + _BEFORE + f""", found AS (SELECT (SELECT count(*) FROM last WHERE n < s / k * 0.5) AS volume_errors, (SELECT count(*) FROM last WHERE n > s / k * 2) AS volume_warnings,
+  (SELECT least(count(*), 1) FROM metric_result WHERE (metric_code, caliber_version) NOT IN (SELECT (c, v) FROM (VALUES {_VALID_DEFS}) d(c, v, a, b))) AS version_errors, (SELECT count(*) FROM (SELECT metric_code FROM metric_result WHERE metric_code IN ('GMV_ORDER', 'GMV_PAID', 'GMV_SETTLE', 'REFUND_AMOUNT') GROUP BY 1 HAVING min(value) < 0)) AS negative_errors)
+SELECT CASE WHEN volume_errors + version_errors + negative_errors > 0 THEN 'fail' WHEN volume_warnings > 0 THEN 'warn' ELSE 'pass' END AS verdict, volume_errors + version_errors + negative_errors AS failed, volume_warnings AS warned, * FROM found""")
+def _verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three checks of what was materialized as one verdict."""
+    return checks.verified(Detail(spark, sf_dir).results(), Dictionary().frame(spark), AMOUNTS)
+
+
+_NOTICES = ", ".join(f"('{m.code}', '{m.version}', 'version {m.version} ({m.start} to {m.end or 'now'}): {m.name}, in {m.unit}')" for m in DEFINITIONS)
+
+
+@_query("metric_notices", _WITH_RESULTS + f"SELECT metric_code, caliber_version, notice, count(*) AS points FROM metric_result JOIN (VALUES {_NOTICES}) n(metric_code, caliber_version, notice) USING (metric_code, caliber_version) GROUP BY ALL")
+def _notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the versions of the stored points mean, beside how many points each has."""
+    used = Detail(spark, sf_dir).results().groupBy("metric_code", "caliber_version").agg(F.count("*").alias("points"))
+    return used.join(notices(Dictionary().frame(spark)), ["metric_code", "caliber_version"]).select("metric_code", "caliber_version", "notice", "points")
+
+
 @_query("metric_versions", f"SELECT as_of, metric_code, caliber_version FROM (SELECT x::DATE AS as_of, c AS metric_code, v AS caliber_version, row_number() OVER (PARTITION BY x, c ORDER BY a DESC, v DESC) AS k FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS x FROM orders) o, (VALUES {_VALID_DEFS}) d(c, v, a, b) WHERE a <= x AND (b IS NULL OR x <= b)) y WHERE k = 1")
 def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The version of each metric in force on each day of orders."""

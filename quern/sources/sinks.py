@@ -39,9 +39,16 @@ def document_upserted(documents: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def mapping_verified(mapping: DataFrame, skus: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The mapping with decisions made by hand (tenant_id, platform, shop_id, platform_sku_code, sku_id, id) in place; those of unknown SKUs are left out."""
+    """The mapping with decisions made by hand (tenant_id, platform, shop_id, platform_sku_code, sku_id, id) in place.
+
+    A decision for a SKU that isn't in the catalog, or without a code, is an
+    error when the rows are read: none of the decisions is taken then.
+    """
     keys = ["tenant_id", "platform", "shop_id", "platform_sku_code"]
-    return merged(mapping, decisions.join(skus.select("sku_id"), "sku_id", "left_semi").select(*mapping.columns), *keys)
+    met = decisions.join(skus.select(F.col("sku_id").alias("known")).distinct(), F.col("sku_id") == F.col("known"), "left")
+    wrong = F.col("known").isNull() | (F.trim(F.coalesce("platform_sku_code", F.lit(""))) == "")
+    checked = met.withColumn("sku_id", F.when(wrong, F.raise_error(F.concat(F.lit("not a SKU of the catalog, or no code: "), F.coalesce("sku_id", F.lit("null"))))).otherwise(F.col("sku_id")))
+    return merged(mapping, checked.select(*mapping.columns), *keys)
 
 
 def exported(df: DataFrame, path: str, *columns: str) -> None:
@@ -49,6 +56,14 @@ def exported(df: DataFrame, path: str, *columns: str) -> None:
     df.select(*columns).write.mode("overwrite").option("header", True).csv(path)
 
 
+def exported_points(points: DataFrame, path: str, tenant: str | None, code: str, version: str) -> None:
+    """A tenant's points (dt, tenant_id, dim_value, value) as CSV in the fixed columns. Without a tenant nothing is exported: brands don't mix in a file."""
+    if not tenant:
+        raise ValueError("an export needs a tenant")
+    own = points.where(F.col("tenant_id") == tenant).withColumns({"metric_code": F.lit(code), "caliber_version": F.lit(version)})
+    exported(own, path, "dt", "tenant_id", "dim_value", "value", "metric_code", "caliber_version")
+
+
 def ensured(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The table at a path; an empty one of the schema is made where there is none."""
     spark.createDataFrame([], schema).write.mode("ignore").parquet(path)

@@ -59,6 +59,8 @@ def test_lineage(spark):
     edges = lineage.all_edges(spark, Dictionary().frame(spark))
     assert edges.count() == edges.select("source", "target").distinct().count()
     assert {r.node for r in lineage.upstream(edges, "dws_shop_day").collect()} >= {"raw_order", "raw_refund", "raw_cs_session", "dim_shop"}
+    long = spark.createDataFrame([(f"n{k}", f"n{k + 1}") for k in range(20)] + [("n20", "n0")], "source string, target string")
+    assert {r.node: r.distance for r in lineage.upstream(long, "n20").collect()} == {f"n{k}": 20 - k for k in range(20)}
     assert lineage.cyclic_metrics() == []
 
 
@@ -80,8 +82,17 @@ def test_merging_and_exports(spark, tmp_path):
     sinks.exported(docs, f"file://{tmp_path}/csv", "content", "doc_id")
     assert spark.read.option("header", True).csv(f"file://{tmp_path}/csv").columns == ["content", "doc_id"]
     mapping = spark.createDataFrame([(1, "T", "p", "s", "c", "k1")], "id long, tenant_id string, platform string, shop_id string, platform_sku_code string, sku_id string")
-    decided = spark.createDataFrame([(2, "T", "p", "s", "c", "k2"), (3, "T", "p", "s", "d", "none")], mapping.schema)
-    assert [r.sku_id for r in sinks.mapping_verified(mapping, spark.createDataFrame([("k2",)], "sku_id string"), decided).collect()] == ["k2"]
+    skus = spark.createDataFrame([("k2",)], "sku_id string")
+    decided = spark.createDataFrame([(2, "T", "p", "s", "c", "k2")], mapping.schema)
+    assert [r.sku_id for r in sinks.mapping_verified(mapping, skus, decided).collect()] == ["k2"]
+    for bad in ((3, "T", "p", "s", "d", "none"), (3, "T", "p", "s", "d", None), (3, "T", "p", "s", " ", "k2")):
+        with pytest.raises(Exception, match="not a SKU"):
+            sinks.mapping_verified(mapping, skus, decided.unionByName(spark.createDataFrame([bad], mapping.schema))).collect()
+    points = spark.createDataFrame([("1997-01-01", "T1", "x", 1.5), ("1997-01-01", "T2", "y", 2.5)], "dt string, tenant_id string, dim_value string, value double")
+    with pytest.raises(ValueError):
+        sinks.exported_points(points, f"file://{tmp_path}/points", None, "GMV_PAID", "v1.0")
+    sinks.exported_points(points, f"file://{tmp_path}/points", "T1", "GMV_PAID", "v1.0")
+    assert [tuple(r) for r in spark.read.option("header", True).csv(f"file://{tmp_path}/points").collect()] == [("1997-01-01", "T1", "x", "1.5", "GMV_PAID", "v1.0")]
 
 
 def test_stream_equals_batch(spark, tmp_path):
