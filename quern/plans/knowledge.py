@@ -268,7 +268,20 @@ def _evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.evaluated(asked(spark, sf_dir), index(spark, sf_dir), _truth(spark, sf_dir))
 
 
-@_query("kb_chunking_comparison", None)
+def _chunking_sql(strategy: str, cut: str | None) -> str:
+    """The figures of one way of cutting: the tables of the search over its chunks."""
+    tables = _CHUNKS
+    if cut is not None:
+        head, tail = cut.rsplit("\nSELECT printf", 1)
+        tables = f"{head},\nkb_chunk AS (SELECT printf{tail}),\npost AS (" + _CHUNKS.split("\npost AS (", 1)[1]
+    hits = tables.rstrip() + ",\n" + _ranked_sql("hybrid", True, "hits")
+    return f"SELECT * FROM ({hits} SELECT '{strategy}' AS strategy, c.*, r.* FROM (SELECT count(*) AS chunks, round(avg(char_len), 4) AS mean_chars FROM kb_chunk) c, ({_recall_sql('hits')}) r) x"
+
+
+_COMPARISON_SQL = "WITH found AS (" + " UNION ALL ".join(_chunking_sql(*x) for x in (("fixed", None), ("semantic", _SEMANTIC_SQL), ("hierarchical", _HIERARCHICAL_SQL))) + ") SELECT *, row_number() OVER (ORDER BY recall_at_k DESC, mrr DESC, strategy) = 1 AS best FROM found"
+
+
+@_query("kb_chunking_comparison", _COMPARISON_SQL)
 def _chunking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same for each way of cutting chunks."""
     return retrieval.compared_chunking(Commerce(spark, sf_dir).kb_document(), asked(spark, sf_dir), kept(_truth(spark, sf_dir), "truth"))

@@ -10,7 +10,7 @@ from tools.compare import plain
 
 DATA = "/root/testdata/sf0.001"
 #: Made of parts that are tested elsewhere, and long.
-SLOW = {"rag_answers", "kb_chunking_comparison"}
+SLOW = {"rag_answers"}
 
 
 @pytest.fixture(scope="module")
