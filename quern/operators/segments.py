@@ -88,8 +88,8 @@ class StoredIndex(Index):
         counts = self._table("frequencies").groupBy("kb_type", "token").agg(F.sum("df").alias("df")).where("df > 0").join(sizes, "kb_type")
         return counts.select("kb_type", "token", F.log(1 + F.col("n") / (1 + F.col("df"))).alias("idf"))
 
-    #: Postings of segments are not in bands.
-    banded = None
+    #: Postings of segments are not in bands, and are there already.
+    banded, scanned = None, False
 
     @cached_property
     def vectors(self) -> DataFrame:
