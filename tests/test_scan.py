@@ -86,3 +86,16 @@ def test_windows_of_characters(spark, size, overlap):
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", fixed_chunks(F.col("t"), size, overlap).alias("c")).collect()
     assert [r.c for r in got] == [plain(r.t) for r in got]
     assert re.search("[^ ]", got[3].c[0])
+
+
+def test_passages_in_documents(spark, monkeypatch):
+    """A few passages are looked for outright, with what windows of words find."""
+    from quern.plans import knowledge
+
+    got = {}
+    for sent in (1000, 0):
+        monkeypatch.setattr(knowledge, "SENT", sent)
+        found = knowledge._truth(spark, "/root/testdata/sf0.001")
+        got[sent] = sorted(map(tuple, found.collect()))
+        assert ("Generate" in found._jdf.queryExecution().executedPlan().toString()) == (not sent)
+    assert got[1000] == got[0]
