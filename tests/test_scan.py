@@ -99,3 +99,12 @@ def test_passages_in_documents(spark, monkeypatch):
         got[sent] = sorted(map(tuple, found.collect()))
         assert ("Generate" in found._jdf.queryExecution().executedPlan().toString()) == (not sent)
     assert got[1000] == got[0]
+
+
+@pytest.mark.parametrize("name", ["entity_hop"])
+def test_queries_write_no_postings_and_no_vectors(spark, name):
+    from quern.plans import knowledge
+
+    data = "/root/testdata/./sf0.001"  # a path that no other test reads by
+    knowledge.QUERIES[name](spark, data).collect()
+    assert not {"postings", "banded", "vectors", "idf", "greatest"} & knowledge.index(spark, data).__dict__.keys()
