@@ -101,7 +101,7 @@ def test_passages_in_documents(spark, monkeypatch):
     assert got[1000] == got[0]
 
 
-@pytest.mark.parametrize("name", ["entity_hop", "rag_recent_answers"])
+@pytest.mark.parametrize("name", ["entity_hop", "rag_recent_answers", "kb_evaluation"])
 def test_queries_write_no_postings_and_no_vectors(spark, name):
     from quern.plans import knowledge
 
