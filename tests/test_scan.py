@@ -101,7 +101,7 @@ def test_passages_in_documents(spark, monkeypatch):
     assert got[1000] == got[0]
 
 
-@pytest.mark.parametrize("name", ["entity_hop", "rag_recent_answers", "kb_evaluation", "rag_answers", "kb_recall_sparse", "rag_ablation", "entity_seeds", "kb_hybrid_search"])
+@pytest.mark.parametrize("name", ["entity_hop", "rag_recent_answers", "kb_evaluation", "rag_answers", "kb_recall_sparse", "rag_ablation", "entity_seeds", "kb_hybrid_search", "rag_trace"])
 def test_queries_write_no_postings_and_no_vectors(spark, name):
     from quern.plans import knowledge
 
